@@ -15,6 +15,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -45,5 +51,5 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_license_scans, op6_toxicity, op7_quality_classifier, op8_decontamination, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_license_scans, op6_toxicity, op7_quality_classifier, op8_decontamination, op9_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
