@@ -26,7 +26,7 @@ COMMON = {
 OTHER = [w for ws in COMMON.values() for w in ws[:3]][:10]
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Greatest distances kept, and the length guard: what a text of n words may deviate more, over the root of n.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, GUARD = 0.25, 0.45, 1.5
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, GUARD = 0.165, 0.25, 0.5
 CELLS = 1000
 CLASSES = ["space", "upper", "digit", "symbol", "punctuation", "beyond_ascii", "other"]
 LETTERS = "abcdefghij"
@@ -136,6 +136,6 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     chars, common = js_distance(F.col("char_shares"), F.col("char_ref")), js_distance(F.col("word_shares"), F.col("word_ref"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", chars.alias("char_distance"), common.alias("word_distance"), slack.alias("slack")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce((F.col("char_distance") <= MAX_CHAR_DISTANCE + F.col("slack") / 4) & (F.col("word_distance") <= MAX_WORD_DISTANCE + F.col("slack")), F.lit(True))).alias("kept"),
+        (~F.col("base_failed") & F.coalesce((F.col("char_distance") <= MAX_CHAR_DISTANCE + F.col("slack")) & (F.col("word_distance") <= MAX_WORD_DISTANCE + F.col("slack")), F.lit(True))).alias("kept"),
         "char_distance", "word_distance",
     )
