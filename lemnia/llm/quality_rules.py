@@ -26,7 +26,7 @@ COMMON = {
 OTHER = [w for ws in COMMON.values() for w in ws[:3]][:10]
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Greatest distances kept, and the length guard: what a text of n words may deviate more, over the root of n.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, GUARD = 0.165, 0.25, 0.5
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, GUARD = 0.165, 0.25, 0.6
 CELLS = 1000
 CLASSES = ["space", "upper", "digit", "symbol", "punctuation", "beyond_ascii", "other"]
 LETTERS = "abcdefghij"

@@ -27,6 +27,12 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeated
+
+    return remove_repeated(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import join_near_duplicates
 
@@ -57,5 +63,5 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_license_scans, op5_ngram_join, op6_toxicity, op7_quality_classifier, op8_decontamination, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_license_scans, op4_suffix_dedup, op5_ngram_join, op6_toxicity, op7_quality_classifier, op8_decontamination, op9_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
