@@ -63,5 +63,11 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_license_scans, op4_suffix_dedup, op5_ngram_join, op6_toxicity, op7_quality_classifier, op8_decontamination, op9_secret_scans)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_license_scans, op4_suffix_dedup, op5_ngram_join, op6_toxicity, op7_quality_classifier, op8_decontamination, op9_secret_scans, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}
