@@ -24,9 +24,10 @@ def connected(links: DataFrame, tables: Tables, name: str) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         up = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
         up = tables.write(up, f"{name}-u{k}")
-        for j in (1, 2, 3):  # pointer jumping
+        for j in (1, 2):  # pointer jumping
             far = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            up = tables.write(up.join(far, "p", "left").select("u", F.coalesce("q", "p").alias("p")), f"{name}-u{k}{j}")
+            up = up.join(far, "p", "left").select("u", F.coalesce("q", "p").alias("p"))
+            up = tables.write(up, f"{name}-u{k}{j}")
         at = up.select(F.col("u").alias("comp"), F.col("p").alias("root"))
         labels = tables.write(labels.join(at, "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp")), f"{name}-l{k}")
         a = up.select(F.col("u").alias("a"), F.col("p").alias("ra"))

@@ -1,11 +1,10 @@
 """Jaccard join of word-shingle sets with adaptive multi-match prefixes.
 
-Texts with equal sets are one class, named by a hash of the set.  Shingles are
-ordered by hash.  Two sets with similarity t or more share at least l of the
+Texts with equal sets are one class, named by a hash of the set.  Two sets with similarity t or more share at least l of the
 first n - ceil(t n) + l shingles of each, for any l.  A first pass looks at the
-prefixes with l a tenth of the set and drops every class that shares fewer than
+prefixes (by hash) with l a tenth of the set and drops every class that shares fewer than
 l of them with anything; what is left is close to something, or made of
-passages that many share.  Their candidate costs (the lengths of the posting lists) are
+passages that many share.  Its shingles are ordered anew, frequent ones last.  Candidate costs (the lengths of the posting lists) are
 estimated, and classes with costly prefixes lengthen them.  Links are then
 verified exactly, first against one pivot per class and round, and at last for all
 candidate pairs that are still in different components.
@@ -25,9 +24,13 @@ from .textcore import Words, blocks, mix, shingles
 WORDS, LEAST = 5, 75
 #: Rows up to which a list of ids is broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+#: Length from which a posting list is handled by blocks, and what a block holds, about.
+LONG_LIST, BLOCK_CLASSES, BLOCK_TOKENS = 64, 512, 150_000
 #: Mean length of a prefix's posting lists beyond which the prefix is lengthened.
-CHEAP = 4
+CHEAP = 1
+#: Classes among those left from which on a shingle counts as frequent.
+FREQUENT = 8
 MANY = -(1 << 63)
 
 POST_SCHEMA = "kind int, bucket int, batch long, id long, n long, cid long, first long, found long, tokens binary, cids binary"
@@ -150,10 +153,68 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return got.where(F.col("both") * 100 >= LEAST * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _compare(table: pa.Table) -> pa.Table:
+    """Edges that connect what the links between two blocks' classes connect.
+
+    All intersections come from products of incidence matrices, over the
+    shingles that occur twice, some thousand at a time.
+    """
+    side = table.column("side").to_numpy()
+    order = np.argsort(side, kind="stable")
+    table = table.take(pa.array(order))
+    side, cid, comp, n = side[order], table.column("cid").to_numpy(), table.column("comp").to_numpy(), table.column("n").to_numpy().astype(np.float64)
+    s = table.column("s").combine_chunks()
+    row = np.repeat(np.arange(len(cid)), s.value_lengths().to_numpy())
+    token = np.unique(s.flatten().to_numpy(), return_inverse=True)[1]
+    count = np.bincount(token)
+    keep = count[token] > 1
+    row, token = row[keep], np.unique(token[keep], return_inverse=True)[1]
+    first = np.argsort(token, kind="stable")
+    row, token = row[first], token[first]
+    both = np.zeros((len(cid), len(cid)), np.float32)
+    width = 2048
+    for base in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        a, b = np.searchsorted(token, [base, base + width])
+        x = np.zeros((len(cid), width), np.float32)
+        x[row[a:b], token[a:b] - base] = 1
+        both += x @ x.T
+    link = (both * 100 >= LEAST * (n[:, None] + n[None, :] - both)) | (comp[:, None] == comp[None, :])
+    label = np.arange(len(cid))
+    while True:
+        new = np.where(link, label[None, :], len(cid)).min(axis=1)
+        new = np.minimum(new, label)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    edge = np.flatnonzero((label != np.arange(len(cid))) & (comp != comp[label]))
+    return pa.table({"a": cid[edge], "b": cid[label[edge]]})
+
+
+def _compare_blocks(posts: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
+    """Links (a, b) among classes that long posting lists connect.
+
+    Their clusters are cut into blocks of a bounded size by hash, and every two
+    blocks that hold different components meet in a task.
+    """
+    stars = posts.groupBy("token").agg(F.min("cid").alias("b")).join(posts.select("token", "cid"), "token").select(F.col("cid").alias("a"), "b").distinct()
+    cluster = connected(stars, tables, "clusters").withColumnRenamed("comp", "cluster")
+    member = posts.groupBy("cid").agg(F.max("comp").alias("comp"), F.max("n").alias("n")).join(cluster, "cid")
+    member = tables.write(member, "members")
+    per = member.groupBy("cluster", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    main = per.groupBy("cluster").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("mc"), F.max_by("t", F.struct("c", "comp")).alias("mt"), F.sum("c").alias("c"), F.sum("t").alias("t"), F.count("*").alias("comps")).where("comps > 1")
+    main = main.select("cluster", "main", F.greatest(F.ceil(F.col("mc") / BLOCK_CLASSES), F.ceil(F.col("mt") / BLOCK_TOKENS)).cast("int").alias("k"), F.greatest(F.ceil((F.col("c") - F.col("mc")) / BLOCK_CLASSES), F.ceil((F.col("t") - F.col("mt")) / BLOCK_TOKENS)).cast("int").alias("m"))
+    # blocks 0 .. k-1 are of the cluster's largest component, k .. k+m-1 of the others
+    h = F.xxhash64("cid", F.lit(99))
+    placed = member.join(main, "cluster").withColumn("x", F.when(F.col("comp") == F.col("main"), F.pmod(h, F.col("k"))).otherwise(F.col("k") + F.pmod(h, F.col("m"))))
+    meets = placed.withColumn("y", F.explode(F.when(F.col("x") < F.col("k"), F.sequence(F.col("k").cast("bigint"), (F.col("k") + F.col("m") - 1).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), (F.col("k") + F.col("m") - 1).cast("bigint")))))
+    meets = meets.select("cid", "comp", "cluster", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("int").alias("side"))
+    return meets.join(sets, "cid").select("cluster", "i", "j", "cid", "comp", "side", "n", "s").groupBy("cluster", "i", "j").applyInArrow(_compare, "a long, b long")
+
+
 def classes_and_links(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """((id, n, cid) per row, (cid, comp) of the linked classes)."""
-    spark = docs.sparkSession
-    buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(8, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     posted = tables.write(picked.mapInArrow(_pass(buckets), POST_SCHEMA), "posted")
     rows = posted.where("kind = 0").select("id", "n", "cid", "batch", F.col("found").alias("here"))
@@ -167,49 +228,60 @@ def classes_and_links(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataF
     chosen = picked.where(F.col("id").isNotNull()).join(F.broadcast(left) if few else left, "id").select("cid", "text")
     sets = tables.write(chosen.mapInArrow(_sets, "cid long, n long, s array<long>").dropDuplicates(["cid"]), "sets")
 
-    # postings of the left classes, by ascending length of the lists; the cost of a prefix is the sum of its lists' lengths
+    # the order of shingles: those of few classes by hash, then the frequent ones by frequency, so that passages that
+    # many share come last and stay out of most prefixes
+    frequent = sets.select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= FREQUENT)
+    frequent = tables.write(frequent, "frequent")
+    side = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
+    late = sets.select("cid", F.explode("s").alias("token")).join(side, "token").groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("late"))
+    none = F.array().cast("array<bigint>")
+    ordered = sets.join(late, "cid", "left").select("cid", "n", F.concat(F.array_except("s", F.coalesce("late", none)), F.coalesce("late", none)).alias("s"))
+    ordered = tables.write(ordered, "ordered")
+
+    # the cost of a prefix is the sum of its posting lists' lengths
     n = F.col("n")
     plain = n - F.ceil(n * LEAST / 100) + 1
     prefix = lambda frame, size: frame.select("cid", "n", "l", F.explode(F.slice("s", F.lit(1), size.cast("int"))).alias("token"))
-    short = prefix(sets.withColumn("l", F.lit(1)), plain)
+    short = prefix(ordered.withColumn("l", F.lit(1)), plain)
     lists = short.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     costs = tables.write(short.join(lists, "token").groupBy("cid").agg(F.sum("df").alias("cost")), "costs")
-    more = F.when(F.col("cost") > CHEAP * plain, F.least(F.floor(n / 10), F.floor(2 * F.log2(F.col("cost") / plain)))).otherwise(0)
-    long_ = prefix(sets.join(costs, "cid").withColumn("l", (1 + more).cast("int")), plain + F.col("l") - 1)
-    lists = long_.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    posts = tables.write(long_.join(lists, "token").select("token", "cid", "n", "l"), "posts")
-    tables.drop("posted/kind=1")
+    # costs an l of a twentieth of the set at least where anything is shared, of a tenth where lists are long
+    more = F.when(F.col("cost") > CHEAP * plain, F.floor(n / 10)).otherwise(F.floor(n / 20))
+    long_ = prefix(ordered.join(costs, "cid").withColumn("l", (1 + more).cast("int")), plain + F.col("l") - 1)
+    lists = long_.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    posts = tables.write(long_.join(lists, "token").select("token", "cid", "n", "l", "df"), "posts")
 
-    comp, links = None, None
+    # stars: every class against one pivot a round, that it meets in the most lists and is not linked to yet
+    links = None
     for k in range(STAR_ROUNDS):
-        named = posts if comp is None else posts.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        named = named.withColumn("comp", F.col("cid")) if comp is None else named
+        named = posts.withColumn("comp", F.col("cid")) if links is None else posts.join(links.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         order = F.xxhash64("cid", F.lit(k))
         pivots = named.groupBy("token").agg(F.min_by(F.struct("cid", "comp", "n"), order).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         size_fits = (F.col("p.n") * 100 >= LEAST * n) & (n * 100 >= LEAST * F.col("p.n"))
-        # one pivot per class and round: the one it meets in the most lists
         votes = named.join(pivots, "token").where((F.col("p.comp") != F.col("comp")) & size_fits).groupBy("cid", F.col("p.cid").alias("b")).agg(F.count("*").alias("v"))
         pairs = votes.groupBy("cid").agg(F.max_by("b", F.struct("v", "b")).alias("b")).select(F.col("cid").alias("a"), "b")
         new = tables.write(_verified(pairs, sets), f"star{k}")
-        if not new.head(1):
-            continue
         links = new if links is None else links.unionByName(new)
-        comp = connected(links, tables, f"star{k}")
-    # all candidate pairs left between components: what is outside of a list's largest component against the whole list
-    named = posts.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")) if comp is not None else posts.withColumn("comp", F.col("cid"))
+    comp = connected(links, tables, "stars")
+    # all candidate pairs left between components: over short lists what is outside of a list's largest component against
+    # the whole list; classes that long lists connect are compared in blocks
+    named = posts.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    dense = _compare_blocks(named.where(F.col("df") > LONG_LIST), sets, tables)
+    named = named.where(F.col("df") <= LONG_LIST)
     mixed = named.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     open_ = tables.write(named.join(mixed, "token").select("token", "cid", "n", "l", "comp", "main"), "open")
     a = open_.where("comp <> main").select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("l").alias("la"))
     b = open_.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("l").alias("lb"), "main")
     rest = a.join(b, "token").where("ca <> cb and (cb = main or a < b)").where((F.col("na") * 100 >= LEAST * F.col("nb")) & (F.col("nb") * 100 >= LEAST * F.col("na")))
     met = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("v"), F.max(F.least("la", "lb")).alias("l"))
-    rest = met.where("v >= l").select("a", "b")
-    new = tables.write(_verified(rest, sets), "rest")
-    if new.head(1):
-        links = new if links is None else links.unionByName(new)
-        comp = connected(links, tables, "rest")
-    if comp is None:
-        comp = spark.createDataFrame([], "cid long, comp long")
+    rest = tables.write(met.where("v >= l").select("a", "b"), "pairs")
+    new = tables.write(_verified(rest, sets).unionByName(dense), "rest")
+    # the last links join whole components
+    of = lambda end: comp.select(F.col("cid").alias(end), F.col("comp").alias(f"c{end}"))
+    between = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    last = connected(between, tables, "rest").select(F.col("cid").alias("comp"), F.col("comp").alias("root"))
+    alone = last.select(F.col("comp").alias("cid"), F.col("comp"), "root").join(comp.select("cid"), "cid", "left_anti").select("cid", F.col("root").alias("comp"))
+    comp = comp.join(last, "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp")).unionByName(alone)
     return rows.select("id", "n", "cid"), comp
 
 
