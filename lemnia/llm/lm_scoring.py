@@ -19,10 +19,12 @@ from .context_mixing import BITS, GATES, ORDERS, STEPS, Model, count_slots, text
 from .store import Tables
 from .textcore import Words, blocks, buffers, mix
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: The hash of the end token; no word has it but by chance.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 RANGES = 8
+#: The greatest count that is stored.
+MOST = (1 << 32) - 1
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 _PASS = "kind int, bucket int, chunk long, ids array<long>, held array<boolean>, body binary, keys binary, counts binary"
@@ -127,7 +129,7 @@ def _word_totals(table: pa.Table) -> pa.Table:
 
 def _gram_totals(table: pa.Table) -> pa.Table:
     _, keys, sums = _summed(table)
-    return pa.table({"bucket": table.column("bucket")[:1], "keys": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([_small(np.minimum(sums, (1 << 32) - 1))], pa.binary())})
+    return pa.table({"bucket": table.column("bucket")[:1], "keys": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([_small(np.minimum(sums, MOST))], pa.binary())})
 
 
 def _slot_counts(bits: int):
@@ -139,7 +141,7 @@ def _slot_counts(bits: int):
                 for order in range(1, ORDERS + 1):
                     s, zeros, ones = count_slots(g, c, order, bits)
                     edge = np.searchsorted(s, np.arange(RANGES + 1) << (bits - 3))
-                    rows += [(order, r, s[a:b].astype("<u4").tobytes(), zeros[a:b].astype("<f8").tobytes(), ones[a:b].astype("<f8").tobytes()) for r, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a]
+                    rows += [(order, r, _packed(s[a:b].astype(np.uint64)), _small(np.minimum(zeros[a:b], MOST)), _small(np.minimum(ones[a:b], MOST))) for r, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a]
                 types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["ord", "rng", "slots", "zeros", "ones"])
 
@@ -153,9 +155,9 @@ def _slot_totals(bits: int):
         both = np.zeros((2, size))
         base = key[1].as_py() * size
         for s, zeros, ones in zip(*(table.column(x).to_pylist() for x in ("slots", "zeros", "ones")), strict=True):
-            at = np.frombuffer(s, "<u4").astype(np.int64) - base
-            both[0][at] += np.frombuffer(zeros, "<f8")
-            both[1][at] += np.frombuffer(ones, "<f8")
+            at = _unpacked(s).astype(np.int64) - base
+            both[0][at] += _ints(zeros)
+            both[1][at] += _ints(ones)
         big = both.max(axis=0)
         both = np.rint(both * np.minimum(1, 65535 / np.maximum(big, 1))).astype("<u2")
         return pa.table({"ord": pa.array([key[0].as_py()], pa.int32()), "rng": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(both.tobytes())], pa.binary())})
@@ -209,7 +211,8 @@ def _score(shared, weights, refine, n_train: int, n_known: int):
     def run(batches):
         model = Model(shared.value, weights, refine)
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # one chunk at a time
+                row = batch.slice(k, 1).to_pylist()[0]
                 buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
                 off = np.concatenate([[0], np.cumsum(_ints(row["keys"]).astype(np.int64))])
                 totals = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x["totals"]), "<i8") for x in sorted(row["found"], key=lambda x: x["bucket"])])
