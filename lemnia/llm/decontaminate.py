@@ -44,13 +44,14 @@ def find_contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     id are one document (or item); a null id matches nothing.
     """
     spark = docs.sparkSession
-    table = item_shingles(items.where(F.col("item_id").isNotNull())).distinct().withColumn("n_item", F.col("n_item"))
+    table = item_shingles(items.where(F.col("item_id").isNotNull())).distinct()
     stats = table.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths")).first()
     widths = sorted(stats["widths"])
     if not widths:
         return spark.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long, containment double")
     w = F.col("w")
-    grams = F.concat(*(F.transform(gram_hashes(w, k), lambda h, k=k: F.struct(F.lit(k).alias("width"), h.alias("hash"))) for k in widths)) if widths != [WORDS] else None
+    sized = lambda k: F.transform(gram_hashes(w, k), lambda h: F.struct(F.lit(k).alias("width"), h.alias("hash")))
+    grams = F.concat(*map(sized, widths)) if widths != [WORDS] else None
     base = _lowered(docs.where(F.col("doc_id").isNotNull()), "doc_id")
     if grams is None:
         rows = base.select("doc_id", F.explode(gram_hashes(w, WORDS)).alias("hash")).withColumn("width", F.lit(WORDS))
