@@ -38,13 +38,22 @@ class Network:
         self.out = r.normal(0, 0.1, 3 * FILTERS).astype(np.float32)
         self.out_bias = np.zeros(1, np.float32)
 
+    @staticmethod
+    def spread(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The bytes with WIDTH - 1 zeros after each text, so that no filter reaches into the next one."""
+        n = len(off) - 1
+        wide = np.zeros(len(buf) + n * (WIDTH - 1), np.uint8)
+        wide[np.arange(len(buf)) + np.repeat(np.arange(n), np.diff(off)) * (WIDTH - 1)] = buf
+        return wide
+
     def chunks(self, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, start, end) of all chunks of a block."""
+        """(row, start, end) of all chunks of a block, as positions in its spread bytes."""
         n = np.diff(off)
         starts = [chunk_starts(int(k)) for k in n]
         row = np.repeat(np.arange(len(n)), [len(s) for s in starts])
         a = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        return row, off[row] + a, off[row] + np.minimum(a + CHUNK, n[row])
+        base = off[row] + row * (WIDTH - 1)
+        return row, base + a, base + np.minimum(a + CHUNK, n[row])
 
     def respond(self, buf: np.ndarray) -> np.ndarray:
         """Each filter's response at each byte position, bytes beyond the end as 0."""
@@ -63,7 +72,7 @@ class Network:
             return row, np.zeros((0, FILTERS), np.float32), None
         if not len(buf):
             return row, np.zeros((len(row), FILTERS), np.float32), np.full((len(row), FILTERS), -1)
-        y = np.concatenate([self.respond(buf), np.full((1, FILTERS), -1e9, np.float32)])
+        y = np.concatenate([self.respond(self.spread(buf, off)), np.full((1, FILTERS), -1e9, np.float32)])
         if where:
             at = np.full((len(row), FILTERS), -1)
             for i in range(len(row)):
@@ -114,7 +123,7 @@ class Network:
                 g_top = dz[row, :f] / count[row]
                 g_top += dz[row, f : 2 * f] * (top == z[row, f : 2 * f]) + dz[row, 2 * f :] * (top == z[row, 2 * f :])
                 g_top = g_top * (top > 0)
-                x = np.concatenate([buf, np.zeros(WIDTH + 1, np.uint8)])
+                x = np.concatenate([self.spread(buf, off), np.zeros(WIDTH + 1, np.uint8)])
                 g_table = 1e-5 * self.table
                 lane = np.broadcast_to(np.arange(f), at.shape)
                 live = g_top != 0
