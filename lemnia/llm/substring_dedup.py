@@ -78,11 +78,16 @@ def units(buf: np.ndarray, off: np.ndarray, least: int = LEAST, gram: int = GRAM
 
 
 def _units(batches):
+    """Units met once in their block with c = 1.  Of those met again one has c = 2 and stands for all, and each is known to be repeated."""
     for batch in batches:
         for part, buf, off in blocks(batch):
             row, s, n, a, h = units(buf, off)
+            _, one, which, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            pick = np.concatenate([one, np.flatnonzero(count[which] > 1)])
+            known = np.arange(len(pick)) >= len(one)
+            c = np.where(known, 0, np.minimum(count[which[pick]], 2)).astype(np.int32)
             u = part.column("u").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(h.view(np.int64)), pa.array(u[row]), pa.array(s), pa.array(n.astype(np.int32))], ["a", "h", "u", "s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[pick].view(np.int64), h[pick].view(np.int64), u[row[pick]], s[pick], n[pick].astype(np.int32), c)], ["a", "h", "u", "s", "n", "c"])
 
 
 def _cut(batches):
@@ -199,14 +204,14 @@ def remove_repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """
     tables = Tables(docs.sparkSession, "substrings")
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("u", F.xxhash64(F.coalesce(F.col("id"), F.lit(-1)), F.col("text")))
-    all_units = tables.write(picked.select("u", "text").mapInArrow(_units, "a long, h long, u long, s long, n int"), "units")
-    often = all_units.groupBy("a").agg(F.count("*").alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("c > 1").select("a", (F.col("lo") == F.col("hi")).alias("same"))
-    found = tables.write(all_units.join(often, "a"), "found")
-    tables.drop("units")
+    all_units = tables.write(picked.select("u", "text").mapInArrow(_units, "a long, h long, u long, s long, n int, c int"), "units")
     end = (F.col("s") + F.col("n") + LEAST - 1).alias("e")
+    known, counted_units = all_units.where("c = 0").select("u", "s", end), all_units.where("c > 0")
+    often = counted_units.groupBy("a").agg(F.sum("c").alias("t"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("t > 1").select("a", (F.col("lo") == F.col("hi")).alias("same"))
+    found = tables.write(counted_units.join(often, "a"), "found")
     whole = found.where("same").select("u", "s", end)
     mixed = found.where("not same").drop("same")
-    distinct = tables.write(mixed.groupBy("a", "h").agg(F.count("*").alias("c"), F.min(F.struct("u", "s", "n")).alias("one")), "distinct")
+    distinct = tables.write(mixed.groupBy("a", "h").agg(F.sum("c").alias("c"), F.min(F.struct("u", "s", "n")).alias("one")), "distinct")
     again = mixed.join(distinct.where("c > 1").select("a", "h"), ["a", "h"]).select("u", "s", end)
 
     wanted = distinct.select(F.col("one.u").alias("u"), F.struct("a", F.col("one.s").alias("s"), F.col("one.n").alias("n")).alias("unit")).groupBy("u").agg(F.collect_list("unit").alias("wanted"))
@@ -223,8 +228,8 @@ def remove_repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     inner = cool.groupBy(F.pmod(F.xxhash64("a"), F.lit(shards)).alias("shard")).applyInArrow(_shard, "u long, s long, e long")
     windows = cut.join(hot, "a", "left_semi").select("u", "s", "n", "bytes").mapInArrow(_windows, "w long, u long, s long")
     twice = windows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-    counted = windows.join(twice, "w").select("u", "s", (F.col("s") + LEAST).alias("e"))
+    by_windows = windows.join(twice, "w").select("u", "s", (F.col("s") + LEAST).alias("e"))
 
-    runs = whole.unionByName(again).unionByName(inner).unionByName(counted).groupBy("u").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    runs = known.unionByName(whole).unionByName(again).unionByName(inner).unionByName(by_windows).groupBy("u").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     schema = SCHEMA + (", kept binary" if keep_text else "")
     return picked.join(runs, "u", "left").select("id", "text", "spans").mapInArrow(_remove(keep_text), schema)
