@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge_quality
 
-    return judge_quality(_table(spark, sf_dir, "documents"))
+    return judge_quality(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +74,3 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_license_scans, op4_suffix_dedup, op5_ngram_join, op6_toxicity, op7_quality_classifier, op8_decontamination, op9_secret_scans, op10_lm_scoring)}
-ORACLE_SQL: dict[str, str] = {}
