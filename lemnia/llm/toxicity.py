@@ -129,19 +129,27 @@ class Lexicon:
 def learn_terms(texts: list[str], toxic: list[int]) -> list[tuple[bytes, bool]]:
     """Words and stems found almost only in toxic rows, with the seeds.
 
-    A stem is taken at its longest form that keeps nine tenths of its rows.
+    A stem is taken at its longest form that keeps nine tenths of its rows.  A
+    word must follow several different words, or it may stem from copies of one text.
     """
     bad, good = Counter(), Counter()
+    after: dict[bytes, set[bytes]] = {}
     stems_bad, stems_good = Counter(), Counter()
     for k, y in enumerate(toxic):
         buf, off = buffers(pa.array([texts[k]], pa.large_string()))
         w = Words(buf, off, lower=True, alnum=True)
-        words = {w.buf[s:e].tobytes() for s, e in zip(w.start, w.end, strict=True) if e - s <= 40}
+        seq = [w.buf[s:e].tobytes() for s, e in zip(w.start, w.end, strict=True)]
+        words = {x for x in seq if len(x) <= 40}
+        if y:
+            for before, x in zip([b"", *seq], seq, strict=False):
+                known = after.setdefault(x, set())
+                if len(known) < 8:
+                    known.add(before)
         (bad if y else good).update(words)
         (stems_bad if y else stems_good).update({x[:n] for x in words for n in range(STEM_LEAST, min(len(x), 9))})
     pure = lambda b, g: b >= LEAST_ROWS and b >= PURITY * (b + g)
     total = max(1, sum(toxic))
-    words = {x for x, b in bad.items() if len(x) >= STEM_LEAST and pure(b, good[x]) and b >= 0.01 * total}
+    words = {x for x, b in bad.items() if len(x) >= STEM_LEAST and pure(b, good[x]) and b >= 0.01 * total and len(after[x]) >= min(b, 8) / 2}
     stems = {x for x, b in stems_bad.items() if pure(b, stems_good[x]) and b >= max(2 * LEAST_ROWS, 0.02 * total)}
     chosen = set()
     for x in stems:
