@@ -1,6 +1,6 @@
 """Language-model scores: a word-unigram base, and bits by context mixing.
 
-The corpus is cut into chunks.  Word counts and byte-gram counts of each chunk are
+The corpus is cut into chunks, one block of texts each.  Word counts and byte-gram counts of each chunk are
 summed by hash range; word totals go back to the chunks that asked, and gram
 totals fill the mixing model's fixed-size tables.
 """
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from .context_mixing import BITS, GATES, ORDERS, STEPS, Model, count_slots, text_grams
 from .store import Tables
-from .textcore import Words, blocks, buffers, mix
+from .textcore import Words, blocks, mix
 
-CHUNK_BYTES = 2 << 20
 #: The hash of the end token; no word has it but by chance.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 RANGES = 8
@@ -67,24 +66,9 @@ def _bucket_of_grams(g: np.ndarray, buckets: int) -> np.ndarray:
     return ((mix((g >> np.uint64(8)) & np.uint64(0xFFFF)) >> np.uint64(32)).astype(np.int64) * buckets) >> 32
 
 
-def _chunks(batches):
-    """Groups of rows of about CHUNK_BYTES."""
-    for batch in batches:
-        held, size = [], 0
-        for part, _, off in blocks(batch):
-            held.append(part)
-            size += int(off[-1])
-            if size >= CHUNK_BYTES:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _gather(buckets: int):
     def run(batches):
-        for c in _chunks(batches):
-            buf, off = buffers(c.column("text"))
+        for c, buf, off in (x for batch in batches for x in blocks(batch)):
             held = c.column("held").fill_null(False).to_numpy(zero_copy_only=False)
             raw = zstandard.ZstdCompressor(level=1).compress(buf.tobytes())
             sizes = _small(np.diff(off))
