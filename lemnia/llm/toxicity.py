@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, training_sample
-from .textcore import LOWER, Words, blocks, buffers
+from .textcore import Words, blocks, buffers
 
 #: Seed terms, and words that mark what follows as quoted or reported.
 SEEDS = ["idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "pathetic", "disgusting", "imbecile", "bastard", "asshole", "scumbag", "retard"]
