@@ -147,16 +147,14 @@ def best_fit(left: dict[int, int], capacity: int) -> list[Pattern]:
     return [tuple(sorted(s.items(), reverse=True)) for seqs in free.values() for s in seqs]
 
 
-def _size(plan: list[tuple[Pattern, int]], capacity: int) -> int:
-    return sum(padded(sum(n * k for n, k in p), capacity) * c for p, c in plan)
-
-
 def integer_plan(demand: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Patterns with whole counts that hold each item exactly once."""
+    """Patterns with whole counts that hold each item exactly once.
+
+    The counts come from the linear program at any size of the demand.
+    """
     left = {k: v for k, v in demand.items() if v > 0}
     if not left:
         return []
-    whole = dict(left)
     solved = solve(left, capacity)
     counts = {}
     for p, x in solved:
@@ -171,8 +169,4 @@ def integer_plan(demand: dict[int, int], capacity: int) -> list[tuple[Pattern, i
             counts[p] += 1
             for n, k in p:
                 left[n] -= k
-    plan = [(p, c) for p, c in counts.items() if c] + [(p, 1) for p in best_fit({n: c for n, c in left.items() if c}, capacity)]
-    if sum(whole.values()) <= 20_000:
-        plain = [(p, 1) for p in best_fit(whole, capacity)]
-        plan = min(plan, plain, key=lambda q: _size(q, capacity))
-    return plan
+    return [(p, c) for p, c in counts.items() if c] + [(p, 1) for p in best_fit({n: c for n, c in left.items() if c}, capacity)]

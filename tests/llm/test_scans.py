@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from lemnia.llm import cutting_stock
 from lemnia.llm.cutting_stock import integer_plan, padded
 from lemnia.llm.decontaminate import find_contained
 from lemnia.llm.licenses import TEMPLATES, scan_licenses
@@ -137,6 +138,16 @@ def test_plans():
     assert sum(padded(sum(n * k for n, k in p), 1024) * c for p, c in plan) <= 1.02 * total
 
 
+def test_plans_by_columns(monkeypatch):
+    given = []
+    plain = cutting_stock.best_fit
+    monkeypatch.setattr(cutting_stock, "best_fit", lambda left, capacity: given.append(sum(left.values())) or plain(left, capacity))
+    small = {k: 40 + k % 7 for k in range(1, 1024, 5)}
+    for times in (1, 100):
+        integer_plan({k: c * times for k, c in small.items()}, 1024)
+    assert len(given) == 2 and max(given) < 0.2 * sum(small.values()), "best fit gets the rest of the rounding only"
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
