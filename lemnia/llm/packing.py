@@ -9,6 +9,7 @@ finds its place from its rank alone.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -30,36 +31,46 @@ _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _MAYBE = np.zeros(256, bool)
 _MAYBE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
     """Byte-level BPE of a tokenizers file, run once per distinct piece of a block.
 
     A space between two characters that are no white space always starts a
-    pre-token, so the ids of a text are those of its pieces cut there.
+    pre-token, so the ids of a text are those of its pieces cut there.  The
+    file's added tokens cut a text and are one id each; as in tokenizers,
+    ``encode_special_tokens`` spells the special ones out like any other text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = False):
         import public_tokenizers
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab, tokens = file["model"]["vocab"], file.get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+            raise ValueError("added tokens that take in or look at their surroundings are not supported")
+        self.added = {t["content"].encode(): t["id"] for t in tokens if not (encode_special_tokens and t["special"])}
+        # at one place the longest is taken
+        self.find = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
+        names = {t["content"] for t in tokens}
         # the file writes bytes as characters: printable ones as themselves, the others from U+0100 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if all(c in byte for c in token) and token != "<|endoftext|>"}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if all(c in byte for c in token) and token not in names}
         self.bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.size[i] = len(token)
 
     @staticmethod
-    def get(path: str) -> Encoder:
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        return _encoders[path]
+    def get(path: str, encode_special_tokens: bool = False) -> Encoder:
+        key = path, encode_special_tokens
+        if key not in _encoders:
+            _encoders[key] = Encoder(*key)
+        return _encoders[key]
 
     def pieces(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Starts of the pieces of all texts."""
@@ -73,6 +84,32 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by END_ID; offsets of the texts in them)."""
+        start, end, ids = self._added_at(buf, off)
+        if not len(start):
+            return self._ordinary(buf, off)
+        # the parts between added tokens are encoded as texts; in place of its end id, each has the token after it
+        keep = np.ones(len(buf), bool)
+        for s, e in zip(start, end, strict=True):
+            keep[s:e] = False
+        kept = np.concatenate([[0], np.cumsum(keep)])
+        stop = np.concatenate([start, off[1:]])
+        row = np.concatenate([np.searchsorted(off, start, "right") - 1, np.arange(len(off) - 1)])
+        order = np.lexsort((np.arange(len(row)), row))
+        out, at = self._ordinary(buf[keep], np.concatenate([[0], kept[stop[order]]]))
+        out[at[1:] - 1] = np.concatenate([ids, np.full(len(off) - 1, END_ID)])[order]
+        return out, at[np.searchsorted(row[order], np.arange(len(off)))]
+
+    def _added_at(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and ids of the added tokens, none of them across two texts."""
+        found: list[tuple[int, int, int]] = []
+        raw = buf.tobytes()
+        if self.find is not None and self.find.search(raw):
+            for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                found += [(m.start(), m.end(), self.added[m.group()]) for m in self.find.finditer(raw, s, e)]
+        return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+    def _ordinary(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of texts without added tokens."""
         n_rows = len(off) - 1
         if not len(buf):
             return np.full(n_rows, END_ID, np.uint32), np.arange(n_rows + 1)
@@ -112,9 +149,9 @@ class Encoder:
         return out, rows + np.arange(n_rows + 1)
 
 
-def _measure(path: str, capacity: int):
+def _measure(path: str, capacity: int, encode_special_tokens: bool):
     def run(batches):
-        encoder = Encoder.get(path)
+        encoder = Encoder.get(path, encode_special_tokens)
         for batch in batches:
             for part, buf, off in blocks(batch):
                 ids, at = encoder.encode(buf, off)
@@ -160,12 +197,14 @@ def _place(keys: np.ndarray, rows: np.ndarray):
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, encode_special_tokens: bool = True) -> DataFrame:
     """One row per piece: its document, place in it, checksum of its ids, sequence and offset there.
 
     Null and empty texts are the end id alone.  Repeated rows are packed each;
     tails of equal length are ranked by id, equal ids in any order, as they are
     interchangeable.  Tails are never cut; longer texts fill whole sequences first.
+    encode_special_tokens is that of tokenizers: True spells special tokens in
+    the texts out, False, as the query and the pipeline have it, gives them their own ids.
     """
     import public_tokenizers
 
@@ -173,7 +212,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     spark = docs.sparkSession
     tables = Tables(spark, "packing")
     picked = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
-    sized = tables.write(picked.mapInArrow(_measure(str(path), capacity), "doc_id long, n long, crcs array<long>"), "sized")
+    sized = tables.write(picked.mapInArrow(_measure(str(path), capacity, encode_special_tokens), "doc_id long, n long, crcs array<long>"), "sized")
     n, tail = F.col("n"), F.col("n") % capacity
     demand = {r["t"]: r["c"] for r in sized.groupBy(tail.alias("t")).agg(F.count("*").alias("c")).collect() if r["t"]}
     keys, rows, sequences = _places(integer_plan(demand, capacity), capacity)

@@ -22,7 +22,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"))
+    return pack_documents(_table(spark, sf_dir, "documents"), encode_special_tokens=False)
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from lemnia.llm.decontaminate import find_contained
 from lemnia.llm.licenses import TEMPLATES, scan_licenses
 from lemnia.llm.packing import pack_documents
 from lemnia.llm.quality_rules import judge_quality
+from lemnia.llm.queries import op2_packing
 from lemnia.llm.secrets import redact_secrets, scan_secrets, scan_text
 
 from .fixtures import documents, empty, frame
@@ -177,6 +178,22 @@ def test_packing(spark):
     assert pack_documents(empty(spark)).count() == 0
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end} x", "plain text", f" it's{end}", "<|endof", "text|>", None, f"é {end}\n\n{end}  ü {end} " + "word " * 1500, ""]
+    frame(spark, list(enumerate(texts))).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op2_packing(spark, str(tmp_path)).collect()
+    want = set()
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        want |= {(i, k, len(ids[k : k + 1024]), zlib.crc32(b"".join(v.to_bytes(4, "little") for v in ids[k : k + 1024])), len(ids)) for k in range(0, len(ids), 1024)}
+    assert {(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows} == want and len(rows) == len(want)
+
+
 @pytest.mark.parametrize("kind", ["judge", "licenses", "secrets"])
 def test_all_null(spark, kind):
     rows = frame(spark, [(None, None), (1, None)])
