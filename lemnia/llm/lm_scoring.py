@@ -7,11 +7,10 @@ totals fill the mixing model's fixed-size tables.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,11 +67,13 @@ def _bucket_of_grams(g: np.ndarray, buckets: int) -> np.ndarray:
 
 def _gather(buckets: int):
     def run(batches):
-        for c, buf, off in (x for batch in batches for x in blocks(batch)):
+        # a block's name is its task's partition and its number there, as equal blocks are different chunks
+        partition = TaskContext.get().partitionId()
+        for number, (c, buf, off) in enumerate(x for batch in batches for x in blocks(batch)):
             held = c.column("held").fill_null(False).to_numpy(zero_copy_only=False)
             raw = zstandard.ZstdCompressor(level=1).compress(buf.tobytes())
             sizes = _small(np.diff(off))
-            chunk = zlib.crc32(sizes) << 31 | zlib.crc32(raw) >> 1
+            chunk = partition << 32 | number
             tok, at = _tokens(buf, off)
             train = np.repeat(~held, np.diff(at))
             words, inverse = np.unique(tok, return_inverse=True)

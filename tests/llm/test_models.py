@@ -136,3 +136,15 @@ def test_language_model(spark):
     assert all(r["base_score"] == pytest.approx(base[r["doc_id"]]) for r in rows if r["doc_id"] is not None)
     assert all(r["score"] <= 0 for r in rows) and len({r["score"] for r in rows if r["doc_id"] == 5}) == 1
     assert score_documents(empty(spark)).count() == 0
+
+
+def test_equal_blocks(spark):
+    text = words(random.Random(9), 300)
+    rows = score_documents(frame(spark, [(1, text)]).union(frame(spark, [(2, text)])).union(frame(spark, [(3, "other words here")]))).collect()
+    count = Counter([*WORD.findall(text), None] * 2 + ["other", "words", "here", None])
+    n, v = sum(count.values()), len(count)
+    want = sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in [*WORD.findall(text), None])
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 3 and not any(r["held_out"] for r in rows)
+    assert [got[k]["base_score"] for k in (1, 2)] == pytest.approx([want, want])
+    assert [got[k]["n_known"] for k in (1, 2)] == [got[1]["n_tokens"]] * 2
