@@ -106,7 +106,7 @@ def _scan(index: Index, least: float):
                 at = np.searchsorted(index.hash, g)
                 near = index.hash[np.minimum(at, len(index.hash) - 1)] == g
                 chars, row_of = None, w.row()
-                rows, seen = [], set()
+                rows, tried, found = [], set(), {}
                 for p in np.flatnonzero(near):
                     row = int(row_of[p])
                     lo, hi = int(w.first[row]), int(w.first[row + 1])
@@ -117,12 +117,18 @@ def _scan(index: Index, least: float):
                         t, q = index.where[k]
                         k += 1
                         shift = int(p) - lo - q
-                        if any((row, t, shift // BAND + d) in seen for d in (-1, 0, 1)):
+                        # left out are only a diagonal tried before, and words of a span that was found with this diagonal in its band
+                        if (row, t, shift) in tried or any(s <= p < e and abs(shift - d) <= BAND for s, e, d in found.get((row, t), ())):
                             continue
-                        seen.add((row, t, shift // BAND))
-                        n, s, e = align(w.hash[lo:hi], index.words[t], shift)
-                        if s >= 0 and n >= least * len(index.words[t]):
+                        tried.add((row, t, shift))
+                        doc, template = w.hash[lo:hi], index.words[t]
+                        # no more words can match than occur in reach at all
+                        if np.isin(template, doc[max(0, shift - BAND) : max(0, shift + len(template) + BAND)]).sum() < least * len(template):
+                            continue
+                        n, s, e = align(doc, template, shift)
+                        if s >= 0 and n >= least * len(template):
                             rows.append((row, t, n, lo + s, lo + e))
+                            found.setdefault((row, t), []).append((lo + s, lo + e, shift))
                 if not rows:
                     continue
                 chars = char_positions(buf)

@@ -61,6 +61,21 @@ def test_licenses(spark):
     assert scan_licenses(empty(spark)).count() == 0
 
 
+def test_licenses_adjacent(spark):
+    note = TEMPLATES["MIT-short"]
+    gpl = TEMPLATES["GPL-3.0-short"]
+    docs = [(1, f"{note} {note}"), (2, f"{note} and {note} {note}"), (3, f"this work is{' x' * 9} {gpl} end")]
+    # a stray beginning of the template, at each distance that shares its band's neighbourhood
+    docs += [(10 + k, f"this work is licensed{' x' * k} {gpl} end") for k in range(12)]
+    got = {}
+    for r in scan_licenses(frame(spark, docs)).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["span_start"], r["span_end"], r["coverage"]))
+    for i, t in docs:
+        name, notice = ("MIT-short", note) if i < 3 else ("GPL-3.0-short", gpl)
+        want = [(name, m.start(), m.end() - 1, 1.0) for m in re.finditer(re.escape(notice), t)]
+        assert sorted(got.get(i, [])) == want, i
+
+
 def shingles(text):
     w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(text or "")]
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
