@@ -17,34 +17,53 @@ from lemnia.llm.quality_rules import judge_quality
 from lemnia.llm.secrets import redact_secrets
 from lemnia.llm.store import Tables
 
-#: Rows up to which a list of rejected ids is broadcast; beyond, the join is shuffled.
+#: Rows up to which a list of rejected rows' keys is broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rejected ids (column bad); rows that share an id go together, a null id is an id."""
-    bad = Tables(docs.sparkSession, "rejected").write(rejected.distinct(), "ids")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, a hash of all columns: ids may be null or shared, so each row is judged under its key."""
+    cols = [F.col(c) for c in docs.columns]
+    return docs.withColumn("row_key", F.xxhash64(*cols, *(c.isNull() for c in cols)))
+
+
+def _under_key(keyed: DataFrame) -> DataFrame:
+    """What an operator gets: the key in place of the id."""
+    return keyed.withColumn("doc_id", F.col("row_key")).drop("row_key")
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows whose keys are not rejected (column bad), without the key."""
+    bad = Tables(keyed.sparkSession, "rejected").write(rejected.distinct(), "keys")
     side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["bad"]), "left_anti")
+    return keyed.join(side, keyed["row_key"] == side["bad"], "left_anti").drop("row_key")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _without(docs, judge_quality(docs).where("not kept").select(F.col("doc_id").alias("bad")))
+    keyed = _keyed(docs)
+    return _without(keyed, judge_quality(_under_key(keyed)).where("not kept").select(F.col("doc_id").alias("bad")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of linked ones; a repeated id keeps one row."""
-    found = join_near_duplicates(docs)
-    kept = _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("bad")))
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """One document, that of the least id, null last, of each group of linked ones; a row that is repeated as it is stays once."""
+    keyed = _keyed(docs)
+    found = Tables(spark, "linked").write(join_near_duplicates(_under_key(keyed)).select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("comp")).distinct(), "keys")
+    # only groups of several rows are looked at further
+    several = found.where("row_key <> comp").select("comp").distinct()
+    members = found.join(several, "comp")
+    ids = keyed.select("row_key", "doc_id").join(members, "row_key")
+    best = ids.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"].alias("row_key"))
+    kept = _without(keyed, members.select("row_key").join(best, "row_key", "left_anti").select(F.col("row_key").alias("bad")))
+    repeated = keyed.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return kept.dropDuplicates() if repeated else kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, find_contained(docs, items).select(F.col("doc_id").alias("bad")))
+    keyed = _keyed(docs)
+    return _without(keyed, find_contained(_under_key(keyed), items).select(F.col("doc_id").alias("bad")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

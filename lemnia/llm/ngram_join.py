@@ -33,7 +33,7 @@ CHEAP = 1
 FREQUENT = 8
 MANY = -(1 << 63)
 
-POST_SCHEMA = "kind int, bucket int, batch long, id long, n long, cid long, first long, found long, tokens binary, cids binary"
+POST_SCHEMA = "kind int, bucket int, batch long, id long, n long, cid long, text_key long, found long, tokens binary, cids binary"
 
 
 def least_overlap(n):
@@ -63,13 +63,14 @@ def _pass(buckets: int):
 
     def run(batches):
         for batch in batches:
-            ids, ns, cids, toks, owners, uniq = [], [], [], [], [], []
+            ids, keys, ns, cids, toks, owners = [], [], [], [], [], []
             for part, buf, off in blocks(batch):
                 w = Words(buf, off, lower=True)
                 row, h = shingles(w, WORDS)
                 n = np.bincount(row, minlength=part.num_rows)
                 cid = set_hash(row, h, part.num_rows)
                 ids.append(part.column("id"))
+                keys.append(part.column("text_key"))
                 ns.append(n)
                 cids.append(cid)
                 first = np.searchsorted(row, np.arange(part.num_rows))
@@ -103,8 +104,8 @@ def _pass(buckets: int):
             null = lambda k, t: pa.nulls(k, t)
             key = int(mix(np.array([len(tok) + 1, *(cid[:1].astype(np.uint64))], np.uint64)).sum() >> np.uint64(1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(count, np.int32)), null(count, pa.int32()), pa.array(np.full(count, key)), pa.concat_arrays(ids), pa.array(n), pa.array(cid), null(count, pa.int64()), pa.array(here), null(count, pa.binary()), null(count, pa.binary())],
-                ["kind", "bucket", "batch", "id", "n", "cid", "first", "found", "tokens", "cids"],
+                [pa.array(np.zeros(count, np.int32)), null(count, pa.int32()), pa.array(np.full(count, key)), pa.concat_arrays(ids), pa.array(n), pa.array(cid), pa.concat_arrays(keys), pa.array(here), null(count, pa.binary()), null(count, pa.binary())],
+                ["kind", "bucket", "batch", "id", "n", "cid", "text_key", "found", "tokens", "cids"],
             )
             lead = start
             p_tok, p_own = tok[lead], np.where(size > 1, MANY, own[lead])
@@ -114,7 +115,7 @@ def _pass(buckets: int):
             k = len(full)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(k, np.int32)), pa.array(full.astype(np.int32)), pa.array(np.full(k, key)), *(null(k, pa.int64()) for _ in range(5)), pa.array([p_tok[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary()), pa.array([p_own[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary())],
-                ["kind", "bucket", "batch", "id", "n", "cid", "first", "found", "tokens", "cids"],
+                ["kind", "bucket", "batch", "id", "n", "cid", "text_key", "found", "tokens", "cids"],
             )
 
     return run
@@ -216,16 +217,18 @@ def classes_and_links(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataF
     """((id, n, cid) per row, (cid, comp) of the linked classes)."""
     buckets = max(8, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    # an id may be null or on several texts, so a class finds its text by a key of both
+    picked = picked.withColumn("text_key", F.xxhash64("id", F.col("id").isNull(), "text"))
     posted = tables.write(picked.mapInArrow(_pass(buckets), POST_SCHEMA), "posted")
-    rows = posted.where("kind = 0").select("id", "n", "cid", "batch", F.col("found").alias("here"))
+    rows = posted.where("kind = 0").select("id", "n", "cid", "text_key", "batch", F.col("found").alias("here"))
     met = posted.where("kind = 1").select("bucket", "batch", "tokens", "cids").groupBy("bucket").applyInArrow(_meet, "batch long, cid long, found long")
     found = met.groupBy("batch", "cid").agg(F.sum("found").alias("found")).groupBy("cid").agg(F.max("found").alias("found"))
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("here").alias("here"))
+    classes = rows.where("n > 0").groupBy("cid").agg(F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.max("here").alias("here"))
     left = tables.write(
-        classes.join(found, "cid", "left").where(F.col("here") + F.coalesce("found", F.lit(0)) >= 1 + F.floor(F.ceil(F.col("n") * LEAST / 100) / 10)).select("cid", "id"), "left"
+        classes.join(found, "cid", "left").where(F.col("here") + F.coalesce("found", F.lit(0)) >= 1 + F.floor(F.ceil(F.col("n") * LEAST / 100) / 10)).select("cid", "text_key"), "left"
     )
     few = left.count() <= BROADCAST_ROWS
-    chosen = picked.where(F.col("id").isNotNull()).join(F.broadcast(left) if few else left, "id").select("cid", "text")
+    chosen = picked.join(F.broadcast(left) if few else left, "text_key").select("cid", "text")
     sets = tables.write(chosen.mapInArrow(_sets, "cid long, n long, s array<long>").dropDuplicates(["cid"]), "sets")
 
     # the order of shingles: those of few classes by hash, then the frequent ones by frequency, so that passages that

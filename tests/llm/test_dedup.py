@@ -115,6 +115,13 @@ def test_ngram_edges(spark):
     assert sorted((tuple(r) for r in rows), key=repr) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 0, None)]
 
 
+def test_ngram_shared_ids(spark):
+    docs = near(6)
+    for docs in ([(None if k % 3 == 0 else i, t) for k, (i, t) in enumerate(docs)], [(1 + k % 40, t) for k, (_, t) in enumerate(docs)]):
+        got = sorted((tuple(x) for x in ngram_join.join_near_duplicates(frame(spark, docs)).collect()), key=repr)
+        assert got == linked(docs)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]

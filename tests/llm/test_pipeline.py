@@ -1,10 +1,12 @@
 """The pipeline on a small folder, stage by stage."""
 
+import random
+
 import corpus_pipeline
 from lemnia.llm.decontaminate import find_contained
 from lemnia.llm.secrets import scan_text
 
-from .fixtures import documents, frame
+from .fixtures import documents, frame, words
 from .test_dedup import linked
 from .test_scans import SECRETS
 
@@ -39,3 +41,19 @@ def test_stages(spark, tmp_path):
     pieces = corpus_pipeline.packing(spark, df, str(tmp_path))
     assert pieces.select("doc_id").distinct().count() == df.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == pieces.count()
+
+
+def test_null_and_shared_ids(spark, tmp_path):
+    r = random.Random(12)
+    clean = [words(r, 120) for _ in range(30)]
+    item = " ".join(clean[0].split()[10:40])
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else k for k in range(30)]
+    docs = list(zip(ids, clean, strict=True))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = lambda stage, rows: sorted(x["text"] for x in stage(spark, frame(spark, rows), str(tmp_path)).collect())
+    assert texts(corpus_pipeline.quality, docs + [(None, "too short"), (7, "short too")]) == sorted(clean)
+    assert texts(corpus_pipeline.decontamination, docs) == sorted(clean[1:])
+    copies = [(3, clean[0]), (None, clean[1] + " end"), (7, clean[2]), (7, clean[2])]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, docs + copies), str(tmp_path)).collect()
+    want = [(3, clean[0]), *docs[1:]]
+    assert sorted(((x["doc_id"], x["text"]) for x in got), key=repr) == sorted(want, key=repr)
