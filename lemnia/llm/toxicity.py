@@ -21,7 +21,8 @@ from .textcore import Words, blocks, buffers
 #: Seed terms, and words that mark what follows as quoted or reported.
 SEEDS = ["idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "pathetic", "disgusting", "imbecile", "bastard", "asshole", "scumbag", "retard"]
 REPORTING = [b"said", b"says", b"quoted", b"quote", b"wrote", b"called", b"word", b"term", b"definition", b"dit", b"dijo", b"sagte", b"cited", b"mot", b"palabra", b"wort"]
-QUOTES = (b'"', b"\xe2\x80\x9c", b"\xe2\x80\x9d", b"\xc2\xab", b"\xc2\xbb", b"'")
+#: Marks that open a quotation, each with the one that closes it.
+QUOTES = [('"', '"'), ("'", "'"), ("\u201c", "\u201d"), ("\u201e", "\u201c"), ("\u201e", "\u201d"), ("\u00ab", "\u00bb"), ("\u00bb", "\u00ab")]
 MAX_EDITS, FUZZY_LEAST, STEM_LEAST, CONTEXT = 1, 6, 4, 6
 #: The bound of the labelled sample.
 TRAIN_ROWS = 6000
@@ -81,6 +82,33 @@ def match_words(matrix: np.ndarray, length: np.ndarray, trie: dict, sizes: np.nd
     return best, np.where(best >= 0, edits, 0)
 
 
+def enclosed(left: str, right: str) -> bool:
+    """Whether a quotation opens in left, what comes before a word, and closes in right, what comes after it.
+
+    A mark between two letters or digits is an apostrophe.  Marks that look
+    alike on both sides open where what follows touches them, and close where
+    what precedes does, or stand in blanks.
+    """
+    apart = lambda c: not c or c.isspace()
+
+    def marks(text: str, at_end: bool):
+        for k, c in enumerate(text):
+            a, b = text[max(0, k - 1) : k], text[k + 1 : k + 2]
+            # the word itself lies beyond the inner end
+            inside = "x" if at_end and k + 1 == len(text) else b, "x" if not at_end and k == 0 else a
+            b, a = inside
+            if not (a.isalnum() and b.isalnum()):
+                yield c, not a.isalnum() and (apart(a) or not apart(b)), not b.isalnum() and (apart(b) or not apart(a))
+
+    before, after = list(marks(left, True)), list(marks(right, False))
+    for opening, closing in QUOTES:
+        last = next((m for m in reversed(before) if m[0] in (opening, closing)), None)
+        first = next((m for m in after if m[0] in (opening, closing)), None)
+        if last and first and last[0] == opening and first[0] == closing and (opening != closing or (last[1] and first[2])):
+            return True
+    return False
+
+
 class Lexicon:
     def __init__(self, terms: list[tuple[bytes, bool]], bias: np.ndarray):
         self.terms, self.weights = terms, bias
@@ -119,9 +147,9 @@ class Lexicon:
     def _quoted(self, w: Words, off: np.ndarray, i: int, row: int) -> bool:
         """Whether quotation marks enclose the word closely, or a reporting word stands shortly before it in its sentence."""
         lo, hi = max(int(w.first[row]), i - CONTEXT), min(int(w.first[row + 1]), i + CONTEXT + 1)
-        left = w.buf[max(int(off[row]), int(w.start[lo]) - 2) : w.start[i]].tobytes()
-        right = w.buf[w.end[i] : min(int(off[row + 1]), int(w.end[hi - 1]) + 3)].tobytes()
-        if any(q in left and q in right for q in QUOTES) or (QUOTES[1] in left and QUOTES[2] in right):
+        left = w.buf[max(int(off[row]), int(w.start[lo]) - 3) : w.start[i]].tobytes()
+        right = w.buf[w.end[i] : min(int(off[row + 1]), int(w.end[hi - 1]) + 4)].tobytes()
+        if enclosed(left.decode(errors="ignore"), right.decode(errors="ignore")):
             return True
         return any(w.text(j) in REPORTING and not any(p in w.buf[w.end[j] : w.start[i]].tobytes() for p in (b".", b"\n", b"!")) for j in range(max(lo, i - 3), i))
 

@@ -52,6 +52,16 @@ def test_quotation():
     assert list(f("")[1:4]) == [0, 0, 0]
 
 
+def test_apostrophes():
+    lex = Lexicon([(b"idiot", False)], np.zeros(0))
+    f = lambda t: list(lex.features(*buffers(pa.array([t])))[0][1:4])
+    plain = ["you can't be serious, idiot, it's over", "l'homme, idiot, c'est fini", '"hello", you idiot, "bye"', '"ok." you idiot "no"', "the dogs' idiot 'friend", 'a 6" idiot screen', "idiot 'x'", "'x' idiot"]
+    for t in plain:
+        assert f(t) == [1, 0, 0], t
+    for t in ["he's an 'idiot', isn't he", "'an idiot'", '"what an idiot!" they wept', 'a " idiot " there', "« idiot »", "\u201c an idiot \u201d"]:
+        assert f(t) == [0, 0, 1], t
+
+
 def labelled(spark, n=600, bad=lambda r, t: t, column="toxic", share=0.3):
     r = random.Random(4)
     rows, labels = [], []
