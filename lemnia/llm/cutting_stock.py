@@ -41,16 +41,18 @@ def _column(u: int, lengths: np.ndarray, took: np.ndarray) -> np.ndarray:
     return col
 
 
-def starting_basis(lengths: np.ndarray, d: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A first basis: (columns, counts).
+def starting_basis(lengths: np.ndarray, d: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A first basis: (columns, counts, inverse).
 
     The longest length with demand left is filled up with the longest that
     still fit, and the pattern is used until one of its lengths runs out.  That
-    length's column is the pattern, so the basis is triangular.
+    length's column is the pattern.  Later patterns hold none of it, so in the
+    order of running out the basis is lower triangular.
     """
     m = len(lengths)
     left = d.copy()
     cols, x = np.zeros((m, m)), np.zeros(m)
+    order: list[int] = []
     for _ in range(m):
         open_ = np.flatnonzero(left > 0)
         if not len(open_):
@@ -73,9 +75,30 @@ def starting_basis(lengths: np.ndarray, d: np.ndarray, capacity: int) -> tuple[n
         left[out] = 0
         left[np.abs(left) < 1e-9] = 0
         cols[:, out], x[out] = col, step
-    for i in np.flatnonzero(~cols.any(axis=0)):  # lengths that ran out together with another
+        # lengths that ran out together with another are columns of their own
+        order += [int(out), *(int(i) for i in used if i != out and left[i] == 0)]
+    rest = set(range(m)) - set(order)
+    order += sorted(rest)
+    for i in np.flatnonzero(~cols.any(axis=0)):
         cols[i, i] = 1
-    return cols, x
+    return cols, x, triangular_inverse(cols, np.array(order))
+
+
+def triangular_inverse(a: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The inverse of a matrix that is lower triangular in the given order of rows and columns, by substitution.
+
+    Sums run without the linear-algebra library, whose threads may hang in a
+    process that has forked, as a Spark driver has.
+    """
+    out = np.zeros_like(a)
+    for k in order:
+        row = a[k].copy()
+        row[k] = 0
+        used = np.flatnonzero(row)
+        out[k] = -(row[used, None] * out[used]).sum(axis=0)
+        out[k, k] += 1
+        out[k] /= a[k, k]
+    return out
 
 
 def solve(demand: dict[int, int], capacity: int, gap: float = 2e-4, rounds: int = 150) -> list[tuple[Pattern, float]]:
@@ -90,14 +113,13 @@ def solve(demand: dict[int, int], capacity: int, gap: float = 2e-4, rounds: int
     if not m:
         return []
     cost_of = np.array([0] + [padded(u, capacity) for u in range(1, capacity + 1)], float)
-    cols, x = starting_basis(lengths, d, capacity)
-    cost = cost_of[(lengths @ cols).astype(int)]
-    inv = np.linalg.inv(cols)
-    floor = float(d @ lengths)
+    cols, x, inv = starting_basis(lengths, d, capacity)
+    cost = cost_of[(lengths[:, None] * cols).sum(axis=0).astype(int)]
+    floor = float((d * lengths).sum())
     for _ in range(rounds):
-        if cost @ x <= floor * (1 + gap):
+        if (cost * x).sum() <= floor * (1 + gap):
             break
-        dual = cost @ inv
+        dual = (cost[:, None] * inv).sum(axis=0)
         best, took = price(lengths, dual, capacity)
         better = best - cost_of
         better[0] = -np.inf
@@ -106,9 +128,10 @@ def solve(demand: dict[int, int], capacity: int, gap: float = 2e-4, rounds: int
             if not better[u] > 1e-7 * capacity:
                 break
             col = _column(int(u), lengths, took)
-            if (cost @ inv) @ col - cost_of[u] <= 1e-7 * capacity:
+            used = np.flatnonzero(col)
+            w = (inv[:, used] * col[used]).sum(axis=1)
+            if (cost * w).sum() - cost_of[u] <= 1e-7 * capacity:
                 continue
-            w = inv @ col
             up = w > 1e-9
             if not up.any():
                 continue

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lemnia.llm import cutting_stock
@@ -154,6 +155,18 @@ def test_plans():
     assert sum(padded(sum(n * k for n, k in p), 1024) * c for p, c in plan) <= 1.02 * total
 
 
+def test_starting_basis(spark):
+    """In a process that has started Spark, as on a driver."""
+    r = np.random.default_rng(3)
+    for m in (1, 2, 7, 60, 400):
+        lengths = np.sort(r.choice(np.arange(1, 1024), m, replace=False))
+        d = r.integers(1, 5, m).astype(float)  # many lengths run out together
+        cols, x, inv = cutting_stock.starting_basis(lengths, d, 1024)
+        assert np.allclose(np.einsum("ij,jk->ik", cols, inv), np.eye(m), atol=1e-6) and (x >= 0).all()
+        assert np.allclose((cols * x).sum(axis=1), d) and ((lengths[:, None] * cols).sum(axis=0) <= 1024).all()
+    assert spark.range(3).count() == 3
+
+
 def test_plans_by_columns(monkeypatch):
     given = []
     plain = cutting_stock.best_fit
