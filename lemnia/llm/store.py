@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in local tests, a temporary folder is set."""
+    """spark.checkpoint.dir; where it is unset, on a local master only, a temporary folder is set."""
     jsc = spark.sparkContext._jsc.sc()
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (
         jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
     )
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lemnia-")
         spark.sparkContext.setCheckpointDir(found)
         found = jsc.getCheckpointDir().get()
@@ -27,19 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
 class Tables:
     """Tables written once, read by later jobs, and dropped when no longer needed.
 
-    A written table cuts the lineage and survives the loss of any executor.
+    A written table cuts the lineage and survives the loss of any executor, so
+    the shuffle files that made it go as soon as it is there.
     """
 
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str = "") -> None:
+    def drop(self, *names: str) -> None:
+        """Remove tables by name; all without one."""
+        for name in names or ("",):
+            self._remove(name)
+
+    def _remove(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
