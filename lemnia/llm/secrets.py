@@ -31,6 +31,7 @@ SENSITIVE = {
     "api-key": 3, "private_key": 3, "access_key": 3, "auth": 2, "credential": 3, "bearer": 2,
 }
 _HINT = re.compile("|".join(sorted(SENSITIVE, key=len, reverse=True)).encode())
+_AKIA = re.compile(b"akia")
 _LEX = re.compile(
     r"""["']?(?P<name>[A-Za-z_$][\w.$-]*)["']?\x20*(?::=|=>|(?<![=!<>])=(?!=)|:)\x20*(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9+/_.=$\{\}-]+)(?P<more>(?:\x20*\+\x20*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_]\w*))*)""",
     re.A,
@@ -71,26 +72,49 @@ def literal_score(name: str, value: str) -> float:
 
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants."""
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    known: dict[str, list] = {}
     found = set()
     for m in _LEX.finditer(text):
-        parts: list[tuple[str, int, int]] = []
+        # a part is a literal's span, or the list of parts of a name that was assigned before
+        parts: list = []
         at = m.start("value")
         value = m["value"]
         if value[0] in "\"'":
-            parts.append((value[1:-1], at + 1, at + len(value) - 1))
+            parts.append((at + 1, at + len(value) - 1))
         elif value in known:
-            parts += known[value]
+            parts.append(known[value])
         else:
-            parts.append((value, at, at + len(value)))
+            parts.append((at, at + len(value)))
         for p in _PART.finditer(text, m.start("more"), m.end("more")):
-            parts += [(p[0][1:-1], p.start() + 1, p.end() - 1)] if p[0][0] in "\"'" else known.get(p[0], [])
-        known[m["name"]] = parts[:64]
-        if literal_score(m["name"], "".join(v for v, _, _ in parts)) >= LEAST_SCORE:
-            found |= {(s, e) for _, s, e in parts if e > s}
+            if p[0][0] in "\"'":
+                parts.append((p.start() + 1, p.end() - 1))
+            elif p[0] in known:
+                parts.append(known[p[0]])
+        known[m["name"]] = parts
+        if sensitivity(m["name"]):
+            spans = _literals(parts)
+            if literal_score(m["name"], "".join(text[s:e] for s, e in spans)) >= LEAST_SCORE:
+                found |= {(s, e) for s, e in spans if e > s}
     return sorted(found)
 
 
+def _literals(parts: list) -> list[tuple[int, int]]:
+    """The spans that nested parts reach, in order; what is reached again counts once, so constants of constants don't multiply."""
+    out: list[tuple[int, int]] = []
+    seen, stack = {id(parts)}, [iter(parts)]
+    while stack:
+        for x in stack[-1]:
+            if isinstance(x, tuple):
+                out.append(x)
+            elif id(x) not in seen:
+                seen.add(id(x))
+                stack.append(iter(x))
+                break
+        else:
+            stack.pop()
+    return out
+
+
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and those with the added literals that no base span covers."""
     base = base_spans(text)
@@ -113,7 +137,8 @@ def _batches(batches):
         for part, buf, off in blocks(batch):
             hot = np.zeros(part.num_rows, bool)
             raw = LOWER[buf].tobytes()
-            at = [m.start() for m in _HINT.finditer(raw)] + [m.start() for m in re.finditer(b"akia", raw)]
+            # a hint may seem to reach over a text's end and hide one of the next text, so both ends' texts are looked at
+            at = [x for find in (_HINT, _AKIA) for m in find.finditer(raw) for x in (m.start(), m.end() - 1)]
             s, e = runs(_IS_HEX[buf], off)
             at = np.concatenate([np.asarray(at, np.int64), s[e - s >= MIN_HEX]])
             hot[np.searchsorted(off, at, "right") - 1] = True
