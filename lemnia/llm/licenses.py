@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 GRAM, WINDOW, BAND = 3, 4, 8
+#: Words up to which a template has single words in the index too.
+SHORT = 24
 LEAST_COVERAGE = 0.75
 
 SCHEMA = "doc_id long, license string, coverage double, span_start long, span_end long, n_matched long"
@@ -44,23 +48,42 @@ def winnow(g: np.ndarray, window: int) -> np.ndarray:
 
 
 class Index:
-    """Inverted index from fingerprint to (template, position)."""
+    """Inverted indexes, by gram length, from fingerprint to (template, position).
+
+    Winnowing finds what shares WINDOW + GRAM - 1 words in a row.  A short
+    template may share less of them though enough of its words are there.  As
+    at most m - least * m of its m words are missing, one of any more than that is
+    left, and so many of its longest words are fingerprints too.
+    """
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE):
         self.names = list(templates)
         self.words = []
-        hashes, where = [], []
+        found: dict[int, list[tuple]] = {1: [], GRAM: []}
         for t, text in enumerate(templates.values()):
             buf, off = buffers(pa.array([text]))
-            h = Words(buf, off, lower=True, alnum=True).hash
-            self.words.append(h)
-            g = grams(h, GRAM)
-            for p in winnow(g, WINDOW):
-                hashes.append(g[p])
-                where.append((t, int(p)))
-        order = np.argsort(np.asarray(hashes, np.uint64), kind="stable")
-        self.hash = np.asarray(hashes, np.uint64)[order]
-        self.where = [where[i] for i in order]
+            w = Words(buf, off, lower=True, alnum=True)
+            m = len(w.hash)
+            self.words.append(w.hash)
+            g = grams(w.hash, GRAM)
+            found[GRAM] += [(int(g[p]), t, int(p)) for p in winnow(g, WINDOW)]
+            if m <= SHORT:
+                g = grams(w.hash, 1)
+                longest = sorted(range(m), key=lambda p: (w.start[p] - w.end[p], p))
+                found[1] += [(int(g[p]), t, p) for p in longest[: m - math.ceil(least * m) + 1]]
+        self.by_size = {k: sorted(x) for k, x in found.items() if x}
+        self.hash = {k: np.array([h for h, _, _ in x], np.uint64) for k, x in self.by_size.items()}
+
+    def hits(self, w: Words) -> list[tuple[int, int, int]]:
+        """(word, template, position in the template) of all fingerprints found in the words."""
+        out = []
+        for k, hashes in self.hash.items():
+            g = grams(w.hash, k)
+            at = np.searchsorted(hashes, g)
+            near = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == g)
+            stop = np.searchsorted(hashes, g[near], "right")
+            out += [(int(p), *self.by_size[k][i][1:]) for p, a, b in zip(near, at[near], stop, strict=True) for i in range(a, b)]
+        return sorted(out)
 
 
 def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int = BAND):
@@ -96,39 +119,35 @@ def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int = BAND):
 
 
 def _scan(index: Index, least: float):
+    # of a template's m words at most m - least * m are missing, so at most as many of its distinct ones
+    vocabulary = [set(h.tolist()) for h in index.words]
+    repeats = [len(h) - len(v) for h, v in zip(index.words, vocabulary, strict=True)]
+
     def run(batches):
         for batch in batches:
             for part, buf, off in blocks(batch):
                 w = Words(buf, off, lower=True, alnum=True)
-                g = grams(w.hash, GRAM)
-                if not len(g):
+                hits = index.hits(w)
+                if not hits:
                     continue
-                at = np.searchsorted(index.hash, g)
-                near = index.hash[np.minimum(at, len(index.hash) - 1)] == g
-                chars, row_of = None, w.row()
+                row_of = w.row()
                 rows, tried, found = [], set(), {}
-                for p in np.flatnonzero(near):
+                for p, t, q in hits:
                     row = int(row_of[p])
                     lo, hi = int(w.first[row]), int(w.first[row + 1])
-                    if p + GRAM > hi:
+                    shift = p - lo - q
+                    # left out are only a diagonal tried before, and words of a span that was found with this diagonal in its band
+                    if (row, t, shift) in tried or any(s <= p < e and abs(shift - d) <= BAND for s, e, d in found.get((row, t), ())):
+                        continue
+                    tried.add((row, t, shift))
+                    doc, template = w.hash[lo:hi], index.words[t]
+                    # no more words can match than occur in reach at all
+                    if len(vocabulary[t].intersection(doc[max(0, shift - BAND) : max(0, shift + len(template) + BAND)].tolist())) < least * len(vocabulary[t]) - (1 - least) * repeats[t]:
                         continue
-                    k = int(at[p])
-                    while k < len(index.hash) and index.hash[k] == g[p]:
-                        t, q = index.where[k]
-                        k += 1
-                        shift = int(p) - lo - q
-                        # left out are only a diagonal tried before, and words of a span that was found with this diagonal in its band
-                        if (row, t, shift) in tried or any(s <= p < e and abs(shift - d) <= BAND for s, e, d in found.get((row, t), ())):
-                            continue
-                        tried.add((row, t, shift))
-                        doc, template = w.hash[lo:hi], index.words[t]
-                        # no more words can match than occur in reach at all
-                        if np.isin(template, doc[max(0, shift - BAND) : max(0, shift + len(template) + BAND)]).sum() < least * len(template):
-                            continue
-                        n, s, e = align(doc, template, shift)
-                        if s >= 0 and n >= least * len(template):
-                            rows.append((row, t, n, lo + s, lo + e))
-                            found.setdefault((row, t), []).append((lo + s, lo + e, shift))
+                    n, s, e = align(doc, template, shift)
+                    if s >= 0 and n >= least * len(template):
+                        rows.append((row, t, n, lo + s, lo + e))
+                        found.setdefault((row, t), []).append((lo + s, lo + e, shift))
                 if not rows:
                     continue
                 chars = char_positions(buf)
@@ -157,12 +176,13 @@ def _scan(index: Index, least: float):
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per place where at least ``least`` of a template's words align.
+    """A row per place that a fingerprint points to and where at least ``least`` of a template's words align.
 
-    Words are runs of letters and digits in lower case.  Where templates overlap,
+    Any place whose words drift by at most BAND is found for a template of up to
+    SHORT words; of a longer one, each that keeps WINDOW + GRAM - 1 words in a row.  Words are runs of letters and digits in lower case.  Where templates overlap,
     the one with the most matched words is reported.  Null, empty and clean
     texts give no row; repeated rows each give theirs; spans are code points.
     The index holds the templates only, so its size does not depend on the documents.
     """
     picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return picked.mapInArrow(_scan(Index(templates or TEMPLATES), least), SCHEMA)
+    return picked.mapInArrow(_scan(Index(templates or TEMPLATES, least), least), SCHEMA)

@@ -1,6 +1,7 @@
 """Quality rules, licenses, decontamination, secrets and packing against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -77,6 +78,54 @@ def test_licenses_adjacent(spark):
         assert sorted(got.get(i, [])) == want, i
 
 
+def aligned(doc, template, band):
+    """Most template words on one path through the band around each shift, by plain recursion."""
+    best = 0
+    for shift in range(-len(template) - band, len(doc) + band):
+        last = {}
+        for i, x in enumerate(template):
+            row = {}
+            for o in range(-band, band + 1):
+                p = shift + i + o
+                same = int(0 <= p < len(doc) and doc[p] == x)
+                row[o] = max(last.get(o, 0) + same, last.get(o + 1, 0), row.get(o - 1, 0))
+            last = row
+        best = max(best, *last.values())
+    return best
+
+
+def test_licenses_damaged(spark):
+    """Short notices with words changed, left out or put in, against all alignments."""
+    r = random.Random(7)
+    notes = [n for n in TEMPLATES if len(TEMPLATES[n].split()) <= 14]
+    docs = []
+    for k in range(400):
+        name = notes[k % len(notes)]
+        w = TEMPLATES[name].split()
+        for _ in range(r.randint(0, 4)):
+            i = r.randrange(len(w))
+            w[i : i + r.randint(0, 1)] = r.choice([["zzz"], [], ["qq", "q"]])
+        docs.append((k, " ".join(["some", "text", *w, "more", "words"])))
+    got = {}
+    for x in scan_licenses(frame(spark, docs)).collect():
+        got.setdefault(x["doc_id"], {})[x["license"]] = x["n_matched"]
+    cut = lambda t: re.findall("[a-z0-9]+", t.lower())
+    full = 0
+    for k, t in docs:
+        name = notes[k % len(notes)]
+        w = cut(TEMPLATES[name])
+        n = aligned(cut(t), w, 8)
+        full += n == len(w)
+        if n >= 0.75 * len(w):
+            assert got.get(k), (t, name)
+        assert all(v <= aligned(cut(t), cut(TEMPLATES[x]), 8) for x, v in got.get(k, {}).items()), t
+    assert full > 50
+    for t in ("Licensed under CC BY 9.0.", "Lizensed under CC BY 4.0.", "Licensed below CC BY 4.0.", "Licensed under XX BY 4.0.", "Released under a MIT License."):
+        assert scan_licenses(frame(spark, [(1, t)])).count() == 1, t
+    rows = scan_licenses(frame(spark, [(1, TEMPLATES["MIT-short"])] * 3)).count()
+    assert rows == 3, "repeated rows each give theirs"
+
+
 def shingles(text):
     w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(text or "")]
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
