@@ -48,10 +48,10 @@ g AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p+1], w[p+2]
 c AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM g, range(3) t(o) WHERE c > 1 GROUP BY 1),
 f AS (SELECT b.doc_id, language, len(w)::BIGINT AS n_words, length(t) AS n_chars, w,
   {_N.format(c="\\x20\\x09-\\x0D")} AS space, {_N.format(c="A-Z")} AS upper, {_N.format(c="0-9")} AS digit, {_N.format(c="#*$%&|<>")} AS symbols, {_N.format(c=".,;:!?''\"()\\-")} AS punctuation,
-  least(strlen(t) - length(t), length(t)) AS beyond,
+  length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) AS beyond,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM b LEFT JOIN c USING (doc_id)),
 h AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed, {_COUNTS} AS common,
-  [space, upper, digit, symbols, punctuation, beyond, greatest(0, n_chars - space - upper - digit - symbols - punctuation - beyond)] AS classes FROM f),
+  [space, upper, digit, symbols, punctuation, beyond, n_chars - space - upper - digit - symbols - punctuation - beyond] AS classes FROM f),
 v AS (SELECT *, list_transform(classes, lambda x: x / greatest(list_sum(classes), 1)) AS cs, list_transform(common, lambda x: x / greatest(n_words, 1)) AS ws FROM h),
 u AS (SELECT language, i, floor((cs || ws)[i] * {CELLS} + 0.5) AS step, count(*) AS n FROM v, range(1, 19) r(i) WHERE NOT base_failed GROUP BY ALL),
 o AS (SELECT *, sum(n) OVER (PARTITION BY language, i ORDER BY step) AS seen, sum(n) OVER (PARTITION BY language, i) AS total FROM u),

@@ -22,8 +22,8 @@ COMMON = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "que"],
     "es": ["de", "la", "que", "el", "en", "y", "los", "del", "las", "un"],
 }
-#: Other languages share one reference, over all these words' first three of each list.
-OTHER = [w for ws in COMMON.values() for w in ws[:3]][:10]
+#: Other languages share one reference, over the first distinct ten of all lists' first three words.
+OTHER = list(dict.fromkeys(w for ws in COMMON.values() for w in ws[:3]))[:10]
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Greatest distances kept, and the length guard: what a text of n words may deviate more, over the root of n.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, GUARD = 0.165, 0.25, 0.6
@@ -82,15 +82,15 @@ def _features(docs: DataFrame) -> DataFrame:
         codes = F.when(F.col("language") == lang, listed(ws)).otherwise(codes)
     counted = base.select(
         "doc_id", "language",
-        F.size(w).cast("long").alias("n_words"), F.length(t).cast("long").alias("n_chars"), (F.octet_length(t) - F.length(t)).cast("long").alias("beyond"),
+        F.size(w).cast("long").alias("n_words"), F.length(t).cast("long").alias("n_chars"), _count(t, "[^\\x00-\\x7F]").alias("beyond"),
         _count(t, SPACE).alias("space"), _count(t, "[#*$%&|<>]").alias("n_symbols"), _count(t, "[A-Z]").alias("upper"), _count(t, "[0-9]").alias("digit"), _count(t, "[.,;:!?'\"()-]").alias("punctuation"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(w).alias("n_repeat_words"),
         codes.alias("codes"),
     )
-    beyond = F.least(F.col("beyond"), F.col("n_chars"))
-    named = [F.col(c) for c in ("space", "upper", "digit", "n_symbols", "punctuation")] + [beyond]
-    rest = F.greatest(F.lit(0), F.col("n_chars") - sum(named[1:], named[0]))
+    # the classes have no character in common
+    named = [F.col(c) for c in ("space", "upper", "digit", "n_symbols", "punctuation", "beyond")]
+    rest = F.col("n_chars") - sum(named[1:], named[0])
     classes = F.array(*named, rest)
     common = _code_counts(F.col("codes"))
     return counted.select(

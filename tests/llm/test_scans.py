@@ -14,11 +14,12 @@ from lemnia.llm.cutting_stock import integer_plan, padded
 from lemnia.llm.decontaminate import find_contained
 from lemnia.llm.licenses import TEMPLATES, scan_licenses
 from lemnia.llm.packing import pack_documents
-from lemnia.llm.quality_rules import judge_quality
+from lemnia.llm.oracle import ORACLE_SQL
+from lemnia.llm.quality_rules import OTHER, judge_quality
 from lemnia.llm.queries import op2_packing
 from lemnia.llm.secrets import joined, redact_secrets, scan_secrets, scan_text
 
-from .fixtures import documents, empty, frame
+from .fixtures import documents, empty, frame, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,6 +51,25 @@ def test_quality_verdict(spark):
     assert not kept[900] and sum(kept[i] for i, t in good if len(t.split()) >= 50) >= 0.95 * sum(len(t.split()) >= 50 for _, t in good)
 
 
+def test_quality_sql(spark, tmp_path):
+    """Any language, null ones too, and texts beyond ASCII: query and SQL agree."""
+    import duckdb
+
+    docs = [(i, t) for i, t in documents() if i is not None and t is not None and i != 5]
+    r = random.Random(3)
+    rows = []
+    for k, (i, t) in enumerate(docs + [(600 + k, "中文 かな 한국 " * 30 + words(r, 60 + k)) for k in range(8)] + [(700 + k, "de la le que " * 20 + words(r, 40)) for k in range(4)]):
+        rows.append((i, t, [None, "en", "de", "fr", "es", "ja", "", "it"][k % 8]))
+    rows.append((5000, None, None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df.write.parquet(str(tmp_path / "d"))
+    got = sorted(tuple(x) for x in judge_quality(spark.read.parquet(str(tmp_path / "d"))).drop("char_distance", "word_distance").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    assert got == sorted(con.execute(ORACLE_SQL["op1_quality_rules"]).fetchall())
+    assert len(set(OTHER)) == 10
+
+
 def test_licenses(spark):
     mit = TEMPLATES["MIT"]
     damaged = mit.replace("deal in the", "deal with the").replace("without limitation ", "")
@@ -141,14 +161,19 @@ def test_decontamination(spark):
     texts = dict(docs)
     long_ = texts[408].split()
     items = [(1, " ".join(long_[100:140])), (2, " ".join(long_[200:230] + ["other"] * 3)), (3, "one TWO"), (4, "not in any text at all here"), (5, None), (6, ""), (7, "a"), (8, texts[300][10:300]), (1, " ".join(long_[100:140])), (None, "x y z")]
-    want = []
+    # rows that share an id are one item, of several widths too: half of item 9 is no text's, half of item 10 two words
+    items += [(9, " ".join(long_[300:320])), (9, " ".join(f"no{k}" for k in range(20))), (10, "one two"), (10, " ".join(long_[400:430])), (11, " ".join(long_[500:530])), (11, "qq rr ss")]
+    united = {}
     for i, t in items:
-        s = shingles(t)
-        k = min(5, len(WORD.findall(t or "")))
+        united.setdefault(i, [set(), set()])
+        united[i][0].update(shingles(t))
+        united[i][1].add(min(5, len(WORD.findall(t or ""))))
+    want = []
+    for i, (s, sizes) in united.items():
         if i is None or not s:
             continue
         for d in {d for d, _ in docs if d is not None}:
-            n = len(s & set().union(*(grams(x, k) for e, x in docs if e == d)))
+            n = len(s & set().union(*(grams(x, k) for e, x in docs if e == d for k in sizes if k)))
             if n >= 0.75 * len(s):
                 want.append((d, i, len(s), n))
     got = find_contained(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
