@@ -1,15 +1,19 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
-The induction runs bucket by bucket: all entries of a bucket induce their
-predecessors with one stable partition, in the order in which a scan would.
-Each suffix is moved a fixed number of times, so the work is linear in the text.
+Suffixes are classed as smaller or larger than their successors.  The
+leftmost-smaller substrings are sorted by induction and named; the sequence of
+names is sorted by the same method, whatever its alphabet; and its order
+induces that of all suffixes.  The induction goes over ranges of buckets: as
+long as no suffix of a range induces another within it, one stable partition
+does what a scan of the range would.  Each suffix is moved a fixed number of
+times, so the work is linear in the text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .textcore import prefix_hash, span_hash
+from .textcore import _power, mix, span_hash
 
 
 def suffix_types(t: np.ndarray) -> np.ndarray:
@@ -23,65 +27,77 @@ def suffix_types(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spread(t: np.ndarray, pred: np.ndarray, queues: list[list[np.ndarray]]) -> None:
-    """Append each position to its bucket's queue, in order."""
-    c = t[pred]
+def _place(sa: np.ndarray, t: np.ndarray, pos: np.ndarray, edge: np.ndarray, step: int) -> None:
+    """Write positions, in their order, from their buckets' edges on; the edges move along."""
+    if not len(pos):
+        return
+    c = t[pos]
     order = np.argsort(c, kind="stable")
-    c, pred = c[order], pred[order]
-    edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    for a, b in zip(edge, np.append(edge[1:], len(c)), strict=True):
-        queues[c[a]].append(pred[a:b])
-
-
-def induce(t: np.ndarray, small: np.ndarray, lms: list[np.ndarray], sigma: int) -> np.ndarray:
-    """All suffixes, induced from the leftmost-smaller ones of each bucket in their given order."""
-    none = np.zeros(0, np.int64)
-    queues: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    large = [none] * sigma
-    for c in range(sigma):
-        rounds = [np.concatenate(queues[c])] if queues[c] else []
-        while rounds and len(rounds[-1]):
-            p = rounds[-1][rounds[-1] > 0] - 1
-            rounds.append(p[(t[p] == c) & ~small[p]])
-        large[c] = np.concatenate(rounds) if rounds else none
-        seq = np.concatenate([large[c], lms[c]])
-        p = seq[seq > 0] - 1
-        p = p[~small[p] & (t[p] > c)]
-        if len(p):
-            _spread(t, p, queues)
-    queues = [[] for _ in range(sigma)]
-    out = [none] * sigma
-    for c in range(sigma - 1, -1, -1):
-        rounds = [np.concatenate(queues[c])] if queues[c] else []
-        while rounds and len(rounds[-1]):
-            p = rounds[-1][rounds[-1] > 0] - 1
-            rounds.append(p[(t[p] == c) & small[p]])
-        down = np.concatenate(rounds) if rounds else none
-        if c == 0:  # the end of the text is induced by nothing
-            down = np.concatenate([down, lms[0]])
-        out[c] = np.concatenate([large[c], down[::-1]])
-        seq = np.concatenate([down, large[c][::-1]])
-        p = seq[seq > 0] - 1
-        p = p[small[p] & (t[p] < c)]
-        if len(p):
-            _spread(t, p, queues)
-    return np.concatenate(out)
-
-
-def _by_doubling(r: np.ndarray) -> np.ndarray:
-    """Suffix order of a sequence over a large alphabet, by doubled ranks."""
-    n, k = len(r), 1
-    rank = np.unique(r, return_inverse=True)[1].astype(np.int64)
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
-        rank, k = new, 2 * k
-        if rank[order[-1]] == n - 1 or k >= n:
-            return order
+    c, pos = c[order], pos[order]
+    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    size = np.diff(np.append(first, len(c)))
+    rank = np.arange(len(c)) - np.repeat(first, size)
+    sa[edge[c] + step * rank - (step < 0)] = pos
+    edge[c[first]] += step * size
+
+
+def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """All suffixes, induced from the leftmost-smaller ones, which are in order within each bucket."""
+    n = len(t)
+    start = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=sigma))])
+    large = np.bincount(t[~small], minlength=sigma)
+    sa = np.full(n, -1, np.int64)
+    _place(sa, t, lms, start[:-1] + large, 1)
+    wide = max(256, int(n**0.5))
+
+    def before(part: np.ndarray, kind: bool) -> np.ndarray:
+        p = part[part > 0] - 1
+        return p[small[p] == kind]
+
+    # the larger suffixes, from the least bucket on
+    head = start[:-1].copy()
+    c = 0
+    while c < sigma:
+        stop = max(c + 1, int(np.searchsorted(start, start[c] + wide, "right")) - 1)
+        p = before(sa[start[c] : start[stop]], False)
+        near = t[p][t[p] < stop]
+        if len(near):
+            stop = max(c + 1, int(near.min()))
+            if stop == c + 1:  # a bucket that induces within itself is filled in rounds
+                got = sa[start[c] : head[c]]
+                while len(got):
+                    got = before(got, False)
+                    got = got[t[got] == c]
+                    sa[head[c] : head[c] + len(got)] = got
+                    head[c] += len(got)
+            p = before(sa[start[c] : start[stop]], False)
+            p = p[t[p] >= stop]
+        _place(sa, t, p, head, 1)
+        c = stop
+    # the smaller suffixes, from the greatest bucket down
+    sa[(sa >= 0) & small[sa]] = -1
+    tail = start[1:].copy()
+    c = sigma
+    while c > 0:
+        low = min(c - 1, int(np.searchsorted(start, start[c] - wide, "left")))
+        low = max(low, 0)
+        p = before(sa[start[low] : start[c]][::-1], True)
+        near = t[p][t[p] >= low]
+        if len(near):
+            low = min(c - 1, int(near.max()) + 1)
+            if low == c - 1:
+                got = sa[tail[low] : start[c]][::-1]
+                while len(got):
+                    got = before(got, True)
+                    got = got[t[got] == low]
+                    sa[tail[low] - len(got) : tail[low]] = got[::-1]
+                    tail[low] -= len(got)
+            p = before(sa[start[low] : start[c]][::-1], True)
+            p = p[t[p] < low]
+        _place(sa, t, p, tail, -1)
+        c = low
+    sa[0] = n - 1  # the end of the text is induced by nothing
+    return sa
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -93,39 +109,31 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def _sorted_suffixes(t: np.ndarray, sigma: int) -> np.ndarray:
-    """t ends with 0, its least symbol."""
+    """t ends with 0, its one least symbol."""
     n = len(t)
     small = suffix_types(t)
     first = small.copy()
     first[1:] &= ~small[:-1]
     first[0] = False
     at = np.flatnonzero(first)
-
-    def dealt(order: np.ndarray) -> list[np.ndarray]:
-        lists: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-        _spread(t, order, lists)
-        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in lists]
-
     if len(at) <= 1:
-        return induce(t, small, dealt(at), sigma)
-    sa = induce(t, small, dealt(at), sigma)
+        return induce(t, small, at, sigma)
+    sa = induce(t, small, at, sigma)
     ordered = sa[first[sa]]
     # names of the leftmost-smaller substrings, each up to the next one's first symbol
     end = np.full(n, n, np.int64)
     end[at[:-1]] = at[1:] + 1
-    sums = prefix_hash(((t - 1) & 255).astype(np.uint8))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(t.astype(np.uint64) + np.uint64(1)) * _power(n + 1)[0][:-1])])
+    h = span_hash(sums, ordered, end[ordered])
     name = np.zeros(n, np.int64)
-    h = span_hash(sums, ordered, end[ordered]) ^ (end[ordered] == n).astype(np.uint64)  # the one with the end symbol
     name[ordered] = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
     reduced = name[at]
     count = int(reduced.max()) + 1
     if count == len(at):
         order = np.argsort(reduced)
-    elif count <= 256:  # few names: the same method on the shorter sequence
-        order = _sorted_suffixes(np.concatenate([reduced + 1, [0]]).astype(np.int16), count + 1)[1:]
     else:
-        order = _by_doubling(reduced)
-    return induce(t, small, dealt(at[order]), sigma)
+        order = _sorted_suffixes(np.concatenate([reduced + 1, [0]]).astype(np.int16 if count < 32767 else np.int32), count + 1)[1:]
+    return induce(t, small, at[order], sigma)
 
 
 def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from lemnia.llm import ngram_join, substring_dedup
 from lemnia.llm.components import connected
@@ -53,11 +54,44 @@ def test_substrings(spark, monkeypatch):
     docs = [*documents(), *((900 + k, words(r, 5) + base[40 * k : 40 * k + 500] + words(r, 30)) for k in range(8)), (950, "x" * 1000), (951, "xy" * 150), (952, "y" * 199)]
     got = sorted((tuple(x) for x in substring_dedup.remove_repeated(frame(spark, docs)).collect()), key=repr)
     assert got == removed(docs) and sum(x[2] for x in got) > 3000
-    monkeypatch.setattr(substring_dedup, "ANCHOR_UNITS", 1)  # all by windows
+    monkeypatch.setattr(substring_dedup, "ANCHOR_UNITS", 1)  # all anchors are split
     assert sorted((tuple(x) for x in substring_dedup.remove_repeated(frame(spark, docs)).collect()), key=repr) == got
     assert substring_dedup.remove_repeated(empty(spark)).count() == 0
 
 
+def test_substrings_by_suffixes(spark, monkeypatch):
+    """Nothing is found but by the suffix arrays."""
+    monkeypatch.setattr(substring_dedup, "repeated_windows", lambda texts, n: np.zeros(int(n.sum()), bool))
+    r = random.Random(6)
+    texts = [words(r, 100)] * 4
+    shard = substring_dedup._shard(pa.table({"anchor": [1, 1], "hash": [1, 2], "n": [5, 9], "c": [2, 1], "bytes": [b"x" * 204, b"y" * 208]}))
+    assert shard.num_rows == 0 and len(texts) == 4
+
+
+def test_split_anchors():
+    """Equal windows of hot anchors keep equal anchors through all halvings, and a part's windows all hold its anchor."""
+    r = random.Random(8)
+    base = words(r, 200).encode()
+    docs = [words(r, 3 + k).encode() + base[10 * k : 10 * k + 600] for k in range(12)]
+    rows = []
+    for k, d in enumerate(docs):
+        buf = np.frombuffer(d, np.uint8)
+        row, s, n, a, h, q = substring_dedup.units(buf, np.array([0, len(d)]))
+        rows += [(int(x.view(np.int64)), int(y.view(np.int64)), 0, int(x.view(np.int64)), int(y.view(np.int64)), int(m), int(p), 0, 169, 1, d[i : i + m + 199]) for i, m, x, y, p in zip(s, n, a, h, q)]
+    level = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], substring_dedup._NAMES)
+    while True:
+        where = {}
+        for x in level.to_pylist():
+            for k in range(x["n"]):
+                where.setdefault(x["bytes"][k : k + 200], set()).add(x["anchor"])
+        assert all(len(v) == 1 for v in where.values())
+        if set(level.column("n").to_pylist()) == {1}:
+            break
+        count = sum(level.column("n").to_pylist())
+        level = pa.concat_batches(list(substring_dedup._split([level])))
+        assert sum(level.column("n").to_pylist()) == count
+
+
 def linked(docs):
     sets = [(i, shingles(t)) for i, t in docs]
     parent = list(range(len(sets)))
