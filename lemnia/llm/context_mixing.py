@@ -2,10 +2,14 @@
 
 A byte is predicted bit by bit.  For each order k of 1 to ORDERS, the last k
 bytes and the bits so far hash to a slot of that order's table, which counts
-zeros and ones seen there.  The counts' log odds are summed with weights that a
-gate picks (bit number, and how many orders know the context); the weights are learned online,
-each example without its own counts.  A last table corrects the mixed
-probability by what was seen at it.  Contexts begin and texts end with byte 0.
+zeros and ones seen there; a table has as many slots as its contexts need.  The
+counts' log odds are summed with weights that a gate picks (bit number, and how
+many orders know the context); the weights are learned online, each example
+without its own counts.  A table then corrects the mixed probability by what was
+seen at it.  Two such mixers, of all orders and of the low ones, are followed
+through each text, and the one that did better on the last bytes counts more
+for the next.  Contexts begin and texts end with byte 0; a text's own byte 0
+is taken for byte 255, which UTF-8 never has.
 """
 
 from __future__ import annotations
@@ -14,9 +18,16 @@ import numpy as np
 
 from .textcore import mix
 
-ORDERS, BITS = 5, 21
+ORDERS = 5
+#: Orders whose contexts are so few that their tables are the same for all tasks: at most 2**24 context-byte pairs.
+SHARED = 2
 GATES = 8 * (ORDERS + 1)
 PRIOR, CLIP, RATE, STEPS = 0.15, 7.0, 0.02, 33
+#: Orders of each mixer; bytes back that decide between mixers; how much less likely the others are than the first at first.
+MIXERS = (ORDERS, 3)
+WINDOW, FIRST = 256, 3.0
+#: Steps of a log probability as it is stored, per nat; rounded down, so that probabilities sum to at most 1.
+FINE = 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -25,7 +36,7 @@ def text_grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(off) - 1
     wide = np.zeros(len(buf) + n * (ORDERS + 1), np.uint8)
     row = np.repeat(np.arange(n), np.diff(off))
-    wide[np.arange(len(buf)) + row * (ORDERS + 1) + ORDERS] = buf
+    wide[np.arange(len(buf)) + row * (ORDERS + 1) + ORDERS] = np.where(buf == 0, 255, buf)
     at = off + np.arange(n + 1)
     pick = np.arange(at[-1]) + np.repeat(np.arange(n), np.diff(at)) * ORDERS
     g = np.zeros(len(pick), np.uint64)
@@ -34,75 +45,88 @@ def text_grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return g, at
 
 
-def slots(grams: np.ndarray, order: int, bits: int):
-    """For the 8 bits of each gram's byte: (slot of the order's table, bit)."""
+def nodes(grams: np.ndarray, order: int):
+    """For the 8 bits of each gram's byte: (hash of the order's context and the bits so far, bit)."""
     with np.errstate(over="ignore"):
         ctx = (grams >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
         base = mix(ctx * _STEP + np.uint64(order))
         byte = (grams & np.uint64(255)).astype(np.int64)
         for k in range(8):
             node = ((byte | 256) >> (8 - k)).astype(np.uint64)  # the bits so far, after a leading 1
-            yield (mix(base + node * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)).astype(np.int64), (byte >> (7 - k)) & 1
+            yield mix(base + node * np.uint64(0xC2B2AE3D27D4EB4F)), (byte >> (7 - k)) & 1
 
 
-def count_slots(grams: np.ndarray, counts: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots, zeros, ones) of one order."""
-    suffix = grams & np.uint64((1 << (8 * (order + 1))) - 1)
-    g, inverse = np.unique(suffix, return_inverse=True)
-    c = np.bincount(inverse, weights=counts, minlength=len(g))
-    keys, where, bit = [], [], []
-    for s, b in slots(g, order, bits):
-        keys.append(s)
-        bit.append(b)
-        where.append(c)
-    s, b, c = np.concatenate(keys), np.concatenate(bit), np.concatenate(where)
-    u, inverse = np.unique(s, return_inverse=True)
-    return u, np.bincount(inverse, weights=c * (1 - b), minlength=len(u)), np.bincount(inverse, weights=c * b, minlength=len(u))
+def count_table(grams: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
+    """(2, slots) zeros and ones of ascending distinct grams, with at least sixteen slots for each context and bits so far."""
+    distinct = sum(1 + np.count_nonzero(np.diff(grams >> np.uint64(8 - k))) for k in range(8))
+    bits = max(12, int(16 * distinct).bit_length())
+    out = np.zeros((2, 1 << bits), np.float32)
+    for h, bit in nodes(grams, order):
+        s = (h >> np.uint64(64 - bits)).astype(np.int64)
+        for b in (0, 1):
+            got = bit == b
+            out[b] += np.bincount(s[got], weights=counts[got], minlength=1 << bits)
+    return out
+
+
+def suffixes(grams: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct last order + 1 bytes, their counts)."""
+    g, inverse = np.unique(grams & np.uint64((1 << (8 * (order + 1))) - 1), return_inverse=True)
+    return g, np.bincount(inverse, weights=counts, minlength=len(g))
+
+
+def tables_of(grams: np.ndarray, counts: np.ndarray, orders) -> list[np.ndarray]:
+    """A table for each of the orders, from distinct grams."""
+    return [count_table(*suffixes(grams, counts, k), k) for k in orders]
 
 
 class Model:
-    """Count tables by order, gated weights, and the last correction."""
+    """Count tables by order, gated weights, and the last correction, for each mixer."""
 
-    def __init__(self, tables: np.ndarray, weights: np.ndarray | None = None, refine: np.ndarray | None = None):
-        self.tables = tables  # (ORDERS, 2, slots)
-        self.bits = int(tables.shape[2]).bit_length() - 1
-        self.weights = np.tile(np.append(np.full(ORDERS, 0.3), 0.0), (GATES, 1)) if weights is None else weights
-        self.refine = refine  # (8, STEPS) log odds, or None
+    def __init__(self, tables: list[np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
+        self.tables = tables
+        first = np.tile(np.append(np.full(ORDERS, 0.3), 0.0), (len(MIXERS), GATES, 1))
+        self.weights = (first if weights is None else weights.copy()).astype(np.float32)
+        for e, k in enumerate(MIXERS):
+            self.weights[e, :, k:ORDERS] = 0
+        self.refine = refine  # (mixers, 8, STEPS) log odds, or None
 
     def inputs(self, grams: np.ndarray, without: bool):
         """For each bit: (number, inputs, gate, the bit); without: each gram's own count is left out."""
-        its = [slots(grams, k + 1, self.bits) for k in range(ORDERS)]
+        its = [nodes(grams, k + 1) for k in range(ORDERS)]
         for number in range(8):
-            x = np.ones((len(grams), ORDERS + 1))
+            x = np.ones((len(grams), ORDERS + 1), np.float32)
             known = np.zeros(len(grams), np.int64)
-            for k in range(ORDERS):
-                s, bit = next(its[k])
-                zeros, ones = self.tables[k, 0, s].astype(float), self.tables[k, 1, s].astype(float)
+            for k, table in enumerate(self.tables):
+                h, bit = next(its[k])
+                s = (h >> np.uint64(65 - int(table.shape[1]).bit_length())).astype(np.int64)
+                zeros, ones = table[0, s], table[1, s]
                 if without:
-                    zeros, ones = np.maximum(zeros - (1 - bit), 0), np.maximum(ones - bit, 0)
-                x[:, k] = np.log((ones + PRIOR) / (zeros + PRIOR))
+                    zeros, ones = np.maximum(zeros - (1 - bit), 0).astype(np.float32), np.maximum(ones - bit, 0).astype(np.float32)
                 known += zeros + ones > 0
+                x[:, k] = np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
             yield number, np.clip(x, -CLIP, CLIP), number * (ORDERS + 1) + known, bit
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -CLIP - 3, CLIP + 3)
+    def mixed(self, mixer: int, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return np.clip(np.einsum("ij,ij->i", x, self.weights[mixer][gate]), -CLIP - 3, CLIP + 3)
 
-    def refined(self, number: int, z: np.ndarray) -> np.ndarray:
+    def refined(self, mixer: int, number: int, z: np.ndarray) -> np.ndarray:
         """Log odds after the correction, interpolated between its steps and averaged with what came in."""
         if self.refine is None:
             return z
         at = (np.clip(z, -CLIP, CLIP) + CLIP) / (2 * CLIP) * (STEPS - 1)
         i = np.minimum(at.astype(np.int64), STEPS - 2)
         t = at - i
-        r = self.refine[number]
+        r = self.refine[mixer, number]
         return (z + r[i] * (1 - t) + r[i + 1] * t) / 2
 
     def log_prob(self, grams: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each gram's byte after its context."""
-        out = np.zeros(len(grams))
+        """(mixers, grams) natural log of the probability of each gram's byte after its context."""
+        out = np.zeros((len(MIXERS), len(grams)))
         for number, x, gate, bit in self.inputs(grams, without=False):
-            z = self.refined(number, self.mixed(x, gate))
-            out -= np.logaddexp(0, np.where(bit == 1, -z, z))
+            for e in range(len(MIXERS)):
+                z = self.refined(e, number, self.mixed(e, x, gate))
+                out[e] -= np.logaddexp(0, np.where(bit == 1, -z, z))
         return out
 
     def learn(self, grams: np.ndarray, counts: np.ndarray, batch: int = 2048) -> None:
@@ -112,18 +136,21 @@ class Model:
             pick = order[i : i + batch]
             c = np.sqrt(counts[pick])
             for _, x, gate, bit in self.inputs(grams[pick], without=True):
-                err = (bit - 1 / (1 + np.exp(-self.mixed(x, gate)))) * c
                 total = np.bincount(gate, weights=c, minlength=GATES)
-                step = np.stack([np.bincount(gate, weights=err * x[:, j], minlength=GATES) for j in range(ORDERS + 1)], 1)
-                self.weights += RATE * step / np.maximum(total, 1)[:, None] * np.minimum(1, total / 32)[:, None] * 4
+                rate = 4 * RATE * np.minimum(1, total / 32) / np.maximum(total, 1)
+                for e, k in enumerate(MIXERS):
+                    err = (bit - 1 / (1 + np.exp(-self.mixed(e, x, gate)))) * c
+                    for j in (*range(k), ORDERS):
+                        self.weights[e, :, j] += rate * np.bincount(gate, weights=err * x[:, j], minlength=GATES)
 
     def observe(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """(8, STEPS, 2) zeros and ones seen at each mixed probability, for the correction."""
-        seen = np.zeros((8, STEPS, 2))
+        """(mixers, 8, STEPS, 2) zeros and ones seen at each mixed probability, for the correction."""
+        seen = np.zeros((len(MIXERS), 8, STEPS, 2))
         for number, x, gate, bit in self.inputs(grams, without=True):
-            i = np.rint((np.clip(self.mixed(x, gate), -CLIP, CLIP) + CLIP) / (2 * CLIP) * (STEPS - 1)).astype(np.int64)
-            for b in (0, 1):
-                seen[number, :, b] = np.bincount(i, weights=counts * (bit == b), minlength=STEPS)
+            for e in range(len(MIXERS)):
+                i = np.rint((np.clip(self.mixed(e, x, gate), -CLIP, CLIP) + CLIP) / (2 * CLIP) * (STEPS - 1)).astype(np.int64)
+                for b in (0, 1):
+                    seen[e, number, :, b] = np.bincount(i, weights=counts * (bit == b), minlength=STEPS)
         return seen
 
     @staticmethod
@@ -131,4 +158,23 @@ class Model:
         """Log odds by step from sums of observe(); a step's own log odds weigh like 20 sights."""
         odds = np.linspace(-CLIP, CLIP, STEPS)
         p = 1 / (1 + np.exp(-odds))
-        return np.log((seen[:, :, 1] + 20 * p) / (seen[:, :, 0] + 20 * (1 - p)))
+        return np.log((seen[..., 1] + 20 * p) / (seen[..., 0] + 20 * (1 - p)))
+
+
+def stored(log_p: np.ndarray) -> np.ndarray:
+    """(mixers, n) log probabilities as whole steps below 0."""
+    return np.minimum(np.ceil(-log_p * FINE), 65535).astype("<u2")
+
+
+def follow(steps: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log of each byte's probability, from stored() ones of each mixer for all texts' bytes.
+
+    A mixer's weight at a byte is what it gave the WINDOW bytes before, in the same text.
+    """
+    log_p = steps.astype(float) / -FINE
+    sums = np.concatenate([np.zeros((len(log_p), 1)), np.cumsum(log_p, axis=1)], axis=1)
+    here = np.arange(log_p.shape[1])
+    begin = np.maximum(here - WINDOW, np.repeat(at[:-1], np.diff(at)))
+    w = sums[:, here] - sums[:, begin]
+    w[1:] -= FIRST
+    return np.logaddexp.reduce(w + log_p, axis=0) - np.logaddexp.reduce(w, axis=0)

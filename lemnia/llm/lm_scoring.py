@@ -1,8 +1,11 @@
 """Language-model scores: a word-unigram base, and bits by context mixing.
 
-The corpus is cut into chunks, one block of texts each.  Word counts and byte-gram counts of each chunk are
-summed by hash range; word totals go back to the chunks that asked, and gram
-totals fill the mixing model's fixed-size tables.
+The corpus is cut into chunks, one block of texts each.  A chunk asks for what
+it needs, its distinct words and byte grams with its own counts of them, by
+bucket.  Each bucket sums the counts of all chunks, and answers each chunk
+for the keys it asked for: a word's total, a gram's log probabilities.  So each
+distinct gram of the corpus is scored once, where all contexts of its higher
+orders meet, and what is counted grows with the corpus.
 """
 
 from __future__ import annotations
@@ -14,37 +17,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .context_mixing import BITS, GATES, ORDERS, STEPS, Model, count_slots, text_grams
+from .context_mixing import GATES, MIXERS, ORDERS, SHARED, STEPS, Model, follow, stored, suffixes, tables_of, text_grams
 from .store import Tables
-from .textcore import Words, blocks, mix
+from .textcore import BLOCK_BYTES, Words, blocks, mix
 
 #: The hash of the end token; no word has it but by chance.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-RANGES = 8
+#: Bytes of text per bucket, about, and the bounds of their number: a bucket has whole contexts of order 3, so more would not split them.
+BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 4 << 20, 16, 4096
+#: Chunks whose questions to a bucket one task answers.
+GROUP_CHUNKS = 16384
 #: The greatest count that is stored.
 MOST = (1 << 32) - 1
+WORD, GRAM = 1, 2
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 _PASS = "kind int, bucket int, chunk long, ids array<long>, held array<boolean>, body binary, keys binary, counts binary"
 
 
+def _zip(x: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x)
+
+
+def _unzip(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def _packed(x: np.ndarray) -> bytes:
     """Ascending 64-bit numbers as compressed byte planes of their differences."""
     d = np.diff(x, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _zip(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_unzip(b), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel())
 
 
 def _small(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").tobytes())
+    return _zip(x.astype("<u4").tobytes())
 
 
 def _ints(b: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<u4")
+    return np.frombuffer(_unzip(b), "<u4")
 
 
 def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +72,19 @@ def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket_of_words(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)).astype(np.int64) * buckets) >> 32
+    return ((mix(h) >> np.uint64(32)).astype(np.int64) * buckets) >> 32
 
 
 def _bucket_of_grams(g: np.ndarray, buckets: int) -> np.ndarray:
-    """Grams with the same last two context bytes meet, and so all contexts of order 2 or more."""
-    return ((mix((g >> np.uint64(8)) & np.uint64(0xFFFF)) >> np.uint64(32)).astype(np.int64) * buckets) >> 32
+    """Grams with the same last SHARED + 1 context bytes meet, and so all contexts of higher orders."""
+    return ((mix((g >> np.uint64(8)) & np.uint64((1 << 8 * (SHARED + 1)) - 1)) >> np.uint64(32)).astype(np.int64) * buckets) >> 32
+
+
+def _questions(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, kind: int, chunk: int) -> list[tuple]:
+    """A row per bucket that ascending keys fall in."""
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    return [(kind, int(bucket[order[a]]), chunk, None, None, None, _packed(keys[order[a:b]]), _small(counts[order[a:b]])) for a, b in zip(edge, edge[1:], strict=False)]
 
 
 def _gather(buckets: int):
@@ -71,22 +93,11 @@ def _gather(buckets: int):
         partition = TaskContext.get().partitionId()
         for number, (c, buf, off) in enumerate(x for batch in batches for x in blocks(batch)):
             held = c.column("held").fill_null(False).to_numpy(zero_copy_only=False)
-            raw = zstandard.ZstdCompressor(level=1).compress(buf.tobytes())
-            sizes = _small(np.diff(off))
             chunk = partition << 32 | number
-            tok, at = _tokens(buf, off)
-            train = np.repeat(~held, np.diff(at))
-            words, inverse = np.unique(tok, return_inverse=True)
-            seen = np.bincount(inverse, weights=train, minlength=len(words)).astype(np.int64)
-            rows = [(0, None, chunk, c.column("id").to_pylist(), c.column("held").to_pylist(), raw, sizes, None)]
-            edge = np.searchsorted(_bucket_of_words(words, buckets), np.arange(buckets + 1))
-            rows += [(1, i, chunk, None, None, None, _packed(words[a:b]), _small(seen[a:b])) for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a]
-            g, at = text_grams(buf, off)
-            g, n = np.unique(g[np.repeat(~held, np.diff(at))], return_counts=True)
-            b = _bucket_of_grams(g, buckets)
-            order = np.argsort(b, kind="stable")
-            edge = np.searchsorted(b[order], np.arange(buckets + 1))
-            rows += [(2, i, chunk, None, None, None, _packed(g[order[s:e]]), _small(n[order[s:e]])) for i, (s, e) in enumerate(zip(edge, edge[1:], strict=False)) if e > s]
+            rows = [(0, None, chunk, c.column("id").to_pylist(), c.column("held").to_pylist(), _zip(buf.tobytes()), _small(np.diff(off)), None)]
+            for kind, (keys, at), bucket_of in ((WORD, _tokens(buf, off), _bucket_of_words), (GRAM, text_grams(buf, off), _bucket_of_grams)):
+                keys, seen = _counted(keys, np.repeat(~held, np.diff(at)))
+                rows += _questions(keys, seen, bucket_of(keys, buckets), kind, chunk)
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
             names = ["kind", "bucket", "chunk", "ids", "held", "body", "keys", "counts"]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -94,122 +105,150 @@ def _gather(buckets: int):
     return run
 
 
-def _summed(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(keys by row, all keys, their sums), merged a few rows at a time."""
-    parts = [_unpacked(x) for x in table.column("keys").to_pylist()]
-    counts = [_ints(x).astype(np.int64) for x in table.column("counts").to_pylist()]
-    keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    return parts, keys, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
+def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, how often each is where train is true)."""
+    out, n = np.unique(keys, return_counts=True)
+    if not train.all():
+        other, m = np.unique(keys[~train], return_counts=True)
+        n[np.searchsorted(out, other)] -= m
+    return out, n
 
 
-def _word_totals(table: pa.Table) -> pa.Table:
-    parts, keys, sums = _summed(table)
-    out = [sums[np.searchsorted(keys, p)].astype("<i8") for p in parts]
-    n = len(parts)
-    first = np.zeros(n, np.int64)
-    known, total = first.copy(), first.copy()
-    known[0], total[0] = (sums > 0).sum(), sums.sum()
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "totals": pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in out], pa.binary()), "known": known, "total": total})
+def _merged(table: pa.Table) -> pa.Table:
+    """One row of a bucket's keys and their sums."""
+    keys, inverse = np.unique(np.concatenate([_unpacked(x) for x in table.column("keys").to_pylist()]), return_inverse=True)
+    sums = np.bincount(inverse, weights=np.concatenate([_ints(x) for x in table.column("counts").to_pylist()]), minlength=len(keys)).astype(np.int64)
+    return pa.table({"bucket": table.column("bucket")[:1], "keys": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([_small(np.minimum(sums, MOST))], pa.binary()), "known": [int((sums > 0).sum())], "total": [int(sums.sum())]})
 
 
-def _gram_totals(table: pa.Table) -> pa.Table:
-    _, keys, sums = _summed(table)
-    return pa.table({"bucket": table.column("bucket")[:1], "keys": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([_small(np.minimum(sums, MOST))], pa.binary())})
+_MERGED = "bucket int, keys binary, counts binary, known long, total long"
 
 
-def _slot_counts(bits: int):
-    def run(batches):
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                g, c = _unpacked(keys), _ints(counts)
-                rows = []
-                for order in range(1, ORDERS + 1):
-                    s, zeros, ones = count_slots(g, c, order, bits)
-                    edge = np.searchsorted(s, np.arange(RANGES + 1) << (bits - 3))
-                    rows += [(order, r, _packed(s[a:b].astype(np.uint64)), _small(np.minimum(zeros[a:b], MOST)), _small(np.minimum(ones[a:b], MOST))) for r, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a]
-                types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["ord", "rng", "slots", "zeros", "ones"])
+def _totals(asked: DataFrame, groups: int) -> DataFrame:
+    """A row per bucket; where a bucket has very many questions, they are summed by groups of chunks first."""
+    if groups > 1:
+        asked = asked.groupBy("bucket", "part").applyInArrow(_merged, _MERGED)
+    return asked.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_merged, _MERGED)
 
-    return run
 
+def _answers(asked: DataFrame, values: DataFrame, groups: int, dtype: str, planes: int) -> DataFrame:
+    """(chunk, kind, bucket, values) for each question; values: (bucket, keys, values) of all buckets."""
 
-def _slot_totals(bits: int):
-    size = 1 << (bits - 3)
+    def answer(questions: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        if questions.num_rows:
+            keys = _unpacked(known.column("keys")[0].as_py())
+            x = np.frombuffer(_unzip(known.column("values")[0].as_py()), dtype).reshape(planes, -1)
+            out = [_zip(x[:, np.searchsorted(keys, _unpacked(q))].tobytes()) for q in questions.column("keys").to_pylist()]
+        return pa.table({"chunk": questions.column("chunk"), "kind": questions.column("kind"), "bucket": questions.column("bucket"), "values": pa.array(out, pa.binary())})
 
-    def run(key, table):
-        both = np.zeros((2, size))
-        base = key[1].as_py() * size
-        for s, zeros, ones in zip(*(table.column(x).to_pylist() for x in ("slots", "zeros", "ones")), strict=True):
-            at = _unpacked(s).astype(np.int64) - base
-            both[0][at] += _ints(zeros)
-            both[1][at] += _ints(ones)
-        big = both.max(axis=0)
-        both = np.rint(both * np.minimum(1, 65535 / np.maximum(big, 1))).astype("<u2")
-        return pa.table({"ord": pa.array([key[0].as_py()], pa.int32()), "rng": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(both.tobytes())], pa.binary())})
+    by = ["bucket", "part"]
+    each = values.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*by, "keys", "values")
+    left = asked.select(*by, "chunk", "kind", "keys").groupBy(*by)
+    return left.cogroup(each.groupBy(*by)).applyInArrow(answer, "chunk long, kind int, bucket int, values binary")
+
+
+def _word_values(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            totals = _ints(batch.column("counts")[k].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column("bucket")[k : k + 1], batch.column("keys")[k : k + 1], pa.array([_zip(totals.tobytes())], pa.binary())], ["bucket", "keys", "values"])
+
+
+def _low_counts(batches):
+    for batch in batches:
+        for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            g, c = suffixes(_unpacked(keys), _ints(counts), SHARED)
+            yield pa.RecordBatch.from_arrays([pa.array(g[c > 0].astype(np.int32)), pa.array(c[c > 0].astype(np.int64))], ["g", "c"])
 
-    return run
+
+def _bucket_model(shared, keys: bytes, counts: bytes, weights=None, refine=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, Model]:
+    """(all grams asked for, those learned from, their counts, the model of the bucket)."""
+    g, c = _unpacked(keys), _ints(counts).astype(float)
+    seen = c > 0
+    tables = [*shared.value, *tables_of(g[seen], c[seen], range(SHARED + 1, ORDERS + 1))]
+    return g, g[seen], c[seen], Model(tables, weights, refine)
 
 
 def _over_grams(work):
-    """Runs work(grams, counts) -> bytes over each bucket's grams, a fixed-size row each."""
+    """Runs work(keys, counts) -> (weight, numbers) over each bucket, a fixed-size row each."""
 
     def run(batches):
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                g, c = _unpacked(keys), _ints(counts).astype(float)
-                yield pa.RecordBatch.from_arrays([pa.array([float(c.sum())]), pa.array([work(g, c)], pa.list_(pa.float64()))], ["n", "x"])
+                n, x = work(keys, counts)
+                yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([x], pa.list_(pa.float64()))], ["n", "x"])
 
     return run
 
 
-def fit(grams: DataFrame, bits: int = BITS) -> Model:
-    """The model from the merged gram counts; the driver gets the tables, whose size is set, and sums."""
-    merged = grams.mapInArrow(_slot_counts(bits), "ord int, rng int, slots binary, zeros binary, ones binary").groupBy("ord", "rng").applyInArrow(_slot_totals(bits), "ord int, rng int, counts binary")
-    tables = np.zeros((ORDERS, 2, 1 << bits), np.uint16)
-    size = 1 << (bits - 3)
-    for r in merged.toLocalIterator():
-        tables[r["ord"] - 1, :, r["rng"] * size : (r["rng"] + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), "<u2").reshape(2, size)
-    sc = grams.sparkSession.sparkContext
-    shared = sc.broadcast(tables)
-
-    def learn(g, c):
-        m = Model(shared.value)
-        m.learn(g, c)
-        return m.weights.ravel()
+def fit(grams: DataFrame):
+    """(shared low-order tables as a broadcast, weights, correction) from the buckets' gram counts.
 
+    The driver gets counts of at most 2**24 grams of order SHARED, and sums of a fixed length.
+    """
+    low = grams.mapInArrow(_low_counts, "g int, c long").groupBy("g").agg(F.sum("c").alias("c")).toPandas()
+    shared = grams.sparkSession.sparkContext.broadcast(tables_of(low["g"].to_numpy().astype(np.uint64), low["c"].to_numpy().astype(float), range(1, SHARED + 1)))
     # sums of a fixed length, one a bucket, met pairwise before the driver
     total = lambda df, n: df.select("n", F.posexplode("x").alias("i", "v")).groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("v").alias("sum")).orderBy("i").limit(n).collect()
-    got = total(grams.mapInArrow(_over_grams(learn), "n double, x array<double>"), GATES * (ORDERS + 1))
-    weights = np.array([r["mean"] for r in got]).reshape(GATES, ORDERS + 1) if got else None
 
-    def observe(g, c):
-        return Model(shared.value, weights).observe(g, c).ravel()
+    def learn(keys, counts):
+        _, g, c, m = _bucket_model(shared, keys, counts)
+        m.learn(g, c)
+        return c.sum(), m.weights.ravel().astype(float)
+
+    shape = (len(MIXERS), GATES, ORDERS + 1)
+    got = total(grams.where("total > 0").mapInArrow(_over_grams(learn), "n double, x array<double>"), int(np.prod(shape)))
+    weights = np.array([r["mean"] for r in got]).reshape(shape) if got else None
+
+    def observe(keys, counts):
+        _, g, c, m = _bucket_model(shared, keys, counts, weights)
+        return 1, m.observe(g, c).ravel()
+
+    shape = (len(MIXERS), 8, STEPS, 2)
+    got = total(grams.where("total > 0").mapInArrow(_over_grams(observe), "n double, x array<double>"), int(np.prod(shape)))
+    refine = Model.correction(np.array([r["sum"] for r in got]).reshape(shape)) if got else None
+    return shared, weights, refine
+
+
+def _gram_values(shared, weights, refine):
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                g, _, _, m = _bucket_model(shared, batch.column("keys")[k].as_py(), batch.column("counts")[k].as_py(), weights, refine)
+                x = np.concatenate([stored(m.log_prob(g[i : i + 65536])) for i in range(0, len(g), 65536)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("bucket")[k : k + 1], batch.column("keys")[k : k + 1], pa.array([_zip(x.tobytes())], pa.binary())], ["bucket", "keys", "values"])
+
+    return run
+
 
-    got = total(grams.mapInArrow(_over_grams(observe), "n double, x array<double>"), 8 * STEPS * 2)
-    refine = Model.correction(np.array([r["sum"] for r in got]).reshape(8, STEPS, 2)) if got else None
-    return Model(tables, weights, refine)
+def _told(keys: np.ndarray, bucket: np.ndarray, found: list[dict], kind: int, dtype: str, planes: int) -> np.ndarray:
+    """(planes, keys) answers in the order of the ascending keys."""
+    mine = sorted((x for x in found if x["kind"] == kind), key=lambda x: x["bucket"])
+    parts = [np.frombuffer(_unzip(x["values"]), dtype).reshape(planes, -1) for x in mine]
+    out = np.empty((planes, len(keys)), dtype)
+    out[:, np.argsort(bucket, kind="stable")] = np.concatenate(parts, axis=1)
+    return out
 
 
-def _score(shared, weights, refine, n_train: int, n_known: int):
+def _score(buckets: int, n_train: int, n_known: int):
     scale = n_train + 0.1 * (n_known + 1)
 
     def run(batches):
-        model = Model(shared.value, weights, refine)
         for batch in batches:
             for k in range(batch.num_rows):  # one chunk at a time
                 row = batch.slice(k, 1).to_pylist()[0]
-                buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
+                buf = np.frombuffer(_unzip(row["body"]), np.uint8)
                 off = np.concatenate([[0], np.cumsum(_ints(row["keys"]).astype(np.int64))])
-                totals = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x["totals"]), "<i8") for x in sorted(row["found"], key=lambda x: x["bucket"])])
                 tok, at = _tokens(buf, off)
-                _, inverse = np.unique(tok, return_inverse=True)
-                c = totals[inverse]
+                words, inverse = np.unique(tok, return_inverse=True)
+                c = _told(words, _bucket_of_words(words, buckets), row["found"], WORD, "<u4", 1)[0].astype(np.int64)[inverse]
                 base = np.add.reduceat(np.log10((c + 0.1) / scale), at[:-1])
                 known = np.add.reduceat((c > 0).astype(np.int64), at[:-1])
                 g, ends = text_grams(buf, off)
                 g, inverse = np.unique(g, return_inverse=True)
-                p = np.concatenate([model.log_prob(g[i : i + 65536]) for i in range(0, len(g), 65536)])
-                score = np.add.reduceat(p[inverse], ends[:-1]) / np.log(10)
+                steps = _told(g, _bucket_of_grams(g, buckets), row["found"], GRAM, "<u2", len(MIXERS))
+                score = np.add.reduceat(follow(steps[:, inverse], ends), ends[:-1]) / np.log(10)
                 n = len(off) - 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.diff(at)), pa.array(known), pa.array(np.full(n, n_train)), pa.array(base), pa.array(score), pa.array(-score * np.log2(10) / np.diff(ends))],
@@ -224,20 +263,25 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Null and empty texts are their end alone.  Repeated rows count each and get
     equal scores.  A null id belongs to no fold: its row has held_out null and is learned
-    from.  The score is the log10 probability of the bytes and the end.
+    from.  The score is the log10 probability of the bytes and the end.  A text's
+    own rows are among what is learned from, where it isn't held out; a
+    word's stored count ends at 2**32 - 1.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "lm")
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    n_bytes = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, n_bytes // BUCKET_BYTES))
+    groups = 1 + n_bytes // BLOCK_BYTES // GROUP_CHUNKS
     picked = picked.withColumn("held", F.crc32(F.col("id").cast("string")) % 10 == 0)
     gathered = tables.write(picked.mapInArrow(_gather(buckets), _PASS), "gathered")
-    words = gathered.where("kind = 1").select("bucket", "chunk", "keys", "counts").groupBy("bucket").applyInArrow(_word_totals, "chunk long, bucket int, totals binary, known long, total long")
-    words = tables.write(words, "words")
+    asked = gathered.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
+    words = tables.write(_totals(asked.where(F.col("kind") == WORD), groups), "words")
     sums = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
-    grams = tables.write(gathered.where("kind = 2").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_gram_totals, "bucket int, keys binary, counts binary"), "grams")
-    model = fit(grams)
-    shared = spark.sparkContext.broadcast(model.tables)
-    asked = words.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals")).alias("found"))
+    word_values = words.mapInArrow(_word_values, "bucket int, keys binary, values binary")
+    grams = tables.write(_totals(asked.where(F.col("kind") == GRAM), groups), "grams")
+    gram_values = tables.write(grams.mapInArrow(_gram_values(*fit(grams)), "bucket int, keys binary, values binary"), "values")
+    told = _answers(asked.where(F.col("kind") == WORD), word_values, groups, "<u4", 1).unionByName(_answers(asked.where(F.col("kind") == GRAM), gram_values, groups, "<u2", len(MIXERS)))
+    found = tables.write(told, "told").groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "values")).alias("found"))
     texts = gathered.where("kind = 0").select("chunk", "ids", "held", "body", "keys")
-    return texts.join(asked, "chunk").mapInArrow(_score(shared, model.weights, model.refine, int(sums["n"]), int(sums["v"])), SCHEMA)
+    return texts.join(found, "chunk").mapInArrow(_score(buckets, int(sums["n"]), int(sums["v"])), SCHEMA)

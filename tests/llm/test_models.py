@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lemnia.llm import toxicity
-from lemnia.llm.context_mixing import ORDERS, Model, count_slots, text_grams
+from lemnia.llm import lm_scoring, toxicity
+from lemnia.llm.context_mixing import CLIP, FINE, FIRST, MIXERS, ORDERS, PRIOR, STEPS, WINDOW, Model, follow, stored, tables_of, text_grams
 from lemnia.llm.lm_scoring import score_documents
 from lemnia.llm.quality_cnn import Network, score_quality
 from lemnia.llm.textcore import buffers
@@ -114,22 +114,83 @@ def test_chunks_cover():
     assert both == pytest.approx([whole[0]] * 2)
 
 
-def test_mixing_is_a_distribution():
-    text = (words(random.Random(8), 400) + " ").encode() * 3
+def plain_slot(context, prefix, bits):
+    """The table's slot of a context and the bits so far."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    base = mixed(int.from_bytes(context, "big") * 0x9E3779B97F4A7C15 + len(context) & mask)
+    return mixed(base + prefix * 0xC2B2AE3D27D4EB4F & mask) >> 64 - bits
+
+
+def plain_log_prob(count, bits, weights, refine, context, byte):
+    """The same model in plain steps, bit by bit: (log probability of each mixer)."""
+    out = []
+    for e, orders in enumerate(MIXERS):
+        total = 0.0
+        for number in range(8):
+            prefix, bit = (byte | 256) >> (8 - number), byte >> (7 - number) & 1
+            x, known = [], 0
+            for k in range(1, ORDERS + 1):
+                s = plain_slot(context[-k:], prefix, bits[k - 1])
+                zeros, ones = count.get((k, s, 0), 0), count.get((k, s, 1), 0)
+                known += zeros + ones > 0
+                x.append(max(-CLIP, min(CLIP, math.log((ones + PRIOR) / (zeros + PRIOR)))))
+            w = weights[e, number * (ORDERS + 1) + known]
+            z = sum(a * b for a, b in zip(x[:orders], w[:orders], strict=True)) + w[ORDERS]
+            z = max(-CLIP - 3, min(CLIP + 3, z))
+            at = (max(-CLIP, min(CLIP, z)) + CLIP) / (2 * CLIP) * (STEPS - 1)
+            i = min(int(at), STEPS - 2)
+            r = refine[e, number]
+            z = (z + r[i] * (1 - at + i) + r[i + 1] * (at - i)) / 2
+            total -= math.log1p(math.exp(-z if bit else z))
+        out.append(total)
+    return out
+
+
+def test_mixing():
+    """Probabilities sum to 1, equal those of exact contexts, and follow the text."""
+    text = (words(random.Random(8), 400) + " ").encode() * 2
     buf, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    g, c = np.unique(text_grams(buf, off)[0], return_counts=True)
-    tables = np.zeros((ORDERS, 2, 1 << 14), np.uint16)
-    for k in range(ORDERS):
-        s, z, o = count_slots(g, c, k + 1, 14)
-        tables[k, 0, s], tables[k, 1, s] = np.minimum(z, 65535), np.minimum(o, 65535)
-    m = Model(tables)
+    all_grams, at = text_grams(buf, off)
+    g, c = np.unique(all_grams, return_counts=True)
+    m = Model(tables_of(g, c.astype(float), range(1, ORDERS + 1)))
+    before = m.weights.copy()
     m.learn(g, c.astype(float))
+    assert not np.allclose(before, m.weights)
     m.refine = Model.correction(m.observe(g, c.astype(float)))
     ctx = g[::97] & ~np.uint64(255)
     every = (ctx[:, None] | np.arange(256, dtype=np.uint64)).ravel()
-    assert np.exp(m.log_prob(every)).reshape(-1, 256).sum(axis=1) == pytest.approx(1)
-    bits = -m.log_prob(text_grams(buf, off)[0]).sum() / math.log(2) / len(buf)
-    assert bits < 3, bits
+    for p in np.exp(m.log_prob(every)).reshape(len(MIXERS), -1, 256):
+        assert p.sum(axis=1) == pytest.approx(1)
+    count, bits = Counter(), [int(x.shape[1]).bit_length() - 1 for x in m.tables]
+    for x in all_grams.tolist():
+        context, byte = x.to_bytes(8, "big")[2:7], x & 255
+        for k in range(1, ORDERS + 1):
+            for number in range(8):
+                count[k, plain_slot(context[-k:], (byte | 256) >> (8 - number), bits[k - 1]), byte >> (7 - number) & 1] += 1
+    plain = np.array([plain_log_prob(count, bits, m.weights, m.refine, x.to_bytes(8, "big")[2:7], x & 255) for x in all_grams[:1500].tolist()]).T
+    assert m.log_prob(all_grams[:1500]) == pytest.approx(plain, abs=1e-4)
+    steps = stored(m.log_prob(all_grams)).astype(int)
+    got = follow(steps, at)
+    want = []
+    for i in range(len(all_grams)):
+        w = [-(FIRST if e else 0.0) - steps[e, max(0, i - WINDOW) : i].sum() / FINE for e in range(len(MIXERS))]
+        top = max(w)
+        share = [math.exp(x - top) for x in w]
+        want.append(math.log(sum(s / sum(share) * math.exp(-steps[e, i] / FINE) for e, s in enumerate(share))))
+    assert got == pytest.approx(want)
+    assert -got.sum() / math.log(2) / len(buf) < 3
+
+
+def test_nul_is_no_end():
+    raw = [b"a\0b", b"a", b"b"]
+    g, at = text_grams(np.frombuffer(b"".join(raw), np.uint8), np.array([0, 3, 4, 5]))
+    assert (g & np.uint64(255)).tolist() == [97, 255, 98, 0, 97, 0, 98, 0] and at.tolist() == [0, 4, 6, 8]
 
 
 def test_language_model(spark):
@@ -148,6 +209,17 @@ def test_language_model(spark):
     assert score_documents(empty(spark)).count() == 0
 
 
+def test_groups_of_questions(spark, monkeypatch):
+    """Buckets whose questions are summed and answered in groups give the same scores."""
+    docs = [(i, t) for i, t in documents() if i is not None and i != 5]
+    score = lambda: {r["doc_id"]: tuple(r)[:7] for r in score_documents(frame(spark, docs)).collect()}
+    want = score()
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 1 << 12)
+    monkeypatch.setattr(lm_scoring, "GROUP_CHUNKS", 2)
+    got = score()
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_equal_blocks(spark):
     text = words(random.Random(9), 300)
     rows = score_documents(frame(spark, [(1, text)]).union(frame(spark, [(2, text)])).union(frame(spark, [(3, "other words here")]))).collect()
