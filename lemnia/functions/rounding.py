@@ -2,63 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEC = "decimal(38,18)"
+from .guards import let
+
+#: Powers of ten that a long holds.
+_TENS = 18
+
+
+def decimal_parts(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(struct(m, k)): |x| is m * 10^k by its shortest decimal text; m is null for NaN and the infinities."""
+    text = F.abs(x).cast("string")
+    mantissa, exponent = F.get(F.split(text, "E"), F.lit(0)), F.coalesce(F.get(F.split(text, "E"), F.lit(1)).try_cast("int"), F.lit(0))
+    fraction = F.coalesce(F.get(F.split(mantissa, "\\."), F.lit(1)), F.lit(""))
+    # "1.0E20" has a zero that is no digit
+    digits = F.regexp_replace(fraction, "0+$", "")
+    m = F.concat(F.get(F.split(mantissa, "\\."), F.lit(0)), digits).try_cast("bigint")
+    return let(F.struct(m.alias("m"), (exponent - F.length(digits)).alias("k")), body)
+
 
+def _power(n: Column) -> Column:
+    return F.get(F.array(*(F.lit(10**i).cast("bigint") for i in range(_TENS + 1))), F.greatest(F.lit(0), F.least(n, F.lit(_TENS))).cast("int"))
 
-def decimal(x: Column) -> Column:
-    """The shortest decimal text of a double as a decimal."""
-    return x.cast("string").cast(DEC)
 
+def _div(a: Column, b: Column) -> Column:
+    """Whole division of longs."""
+    return F.call_function("div", a, b)
 
-def _scaled(x: Column, n: Column, f) -> Column:
-    """f at n decimals, on decimals, as binary fractions would shift digits."""
-    p = F.pow(F.lit(10.0), n).cast("decimal(20,0)")
-    down = F.pow(F.lit(10.0), -n).cast("decimal(20,0)")
-    return F.when(n >= 0, f((x.cast("string").cast("decimal(28,12)") * p)).cast("double") / p.cast("double")).otherwise(f(x.cast("string").cast("decimal(28,12)") / F.greatest(down, F.lit(1))).cast("double") * down.cast("double"))
 
+def _joined(m: Column, k: Column, x: Column) -> Column:
+    """m * 10^k with the sign of x, read as decimal text."""
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), m.cast("string"), F.lit("E"), k.cast("string")).cast("double")
 
-def _half_up(d: Column) -> Column:
-    return F.round(d, 0)
+
+def _scaled(x: Column, n: Column, mode: str) -> Column:
+    """x at n decimals: half up, or towards a side.  Digits are dropped from the shortest decimal text, as binary fractions would shift them."""
+
+    def by(p: Column) -> Column:
+        drop = F.greatest(F.lit(-400.0), F.least(F.lit(400.0), -n)).cast("int") - p["k"]
+        ten = _power(drop)
+        rest = F.when(drop > _TENS, p["m"]).otherwise(p["m"] % ten)
+        whole = F.when(drop > _TENS, F.lit(0).cast("bigint")).otherwise(_div(p["m"], ten))
+        up = {"half": (drop <= _TENS) & (2 * rest >= ten), "ceil": (rest > 0) & (x > 0), "floor": (rest > 0) & (x < 0)}[mode]
+        return F.when(p["m"].isNull() | (drop <= 0), x).otherwise(_joined(whole + up.cast("bigint"), p["k"] + drop, x))
+
+    return decimal_parts(x, by)
 
 
 def digits_before(x: Column) -> Column:
-    """Decimals that leave d significant digits: d - 1 - floor(log10 |x|)."""
-    return F.floor(F.log10(F.when(x == 0, F.lit(1.0)).otherwise(F.abs(x)))).cast("double")
+    """floor(log10 |x|), from the decimal text; 0 for 0."""
+    return decimal_parts(x, lambda p: F.when(F.coalesce(p["m"], F.lit(0)) == 0, F.lit(0.0)).otherwise((F.length(p["m"].cast("string")) + p["k"] - 1).cast("double")))
 
 
 def round_x(n: Column, x: Column) -> Column:
     """Half up, one digit at a time from the last one to n decimals."""
-    steps = F.sequence(F.lit(11), F.lit(0), F.lit(-1))
-    return F.aggregate(steps, x, lambda a, k: F.when(k.cast("double") >= n, _scaled(a, k.cast("double"), _half_up)).otherwise(a))
-
-
-def _plain(x: Column) -> Column:
-    """Plain digits without trailing zeros, sign and exponent."""
-    return F.regexp_replace(F.regexp_replace(F.abs(decimal(x)).cast("string"), "(\\.\\d*?)0+$", "$1"), "\\.$", "")
 
+    def by(p: Column) -> Column:
+        drop = F.greatest(F.lit(-400.0), F.least(F.lit(400.0), -n)).cast("int") - p["k"]
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(drop, F.lit(_TENS))))
+        m = F.aggregate(steps, p["m"], lambda a, _: _div(a, F.lit(10)) + (a % 10 >= 5).cast("bigint"))
+        return F.when(p["m"].isNull() | (drop <= 0), x).otherwise(_joined(m, p["k"] + drop, x))
 
-def _whole(x: Column) -> Column:
-    return F.when(F.abs(x) < 1, F.lit("")).otherwise(F.split(_plain(x), "\\.")[0])
+    return decimal_parts(x, by)
 
 
 def length_decimal(x: Column) -> Column:
-    return F.length(_whole(x)).cast("double")
+    """Digits before the point; none for numbers under 1."""
+    return decimal_parts(x, lambda p: F.when(F.abs(x) < 1, F.lit(0)).otherwise(F.greatest(F.lit(0), F.length(p["m"].cast("string")) + p["k"])).cast("double"))
 
 
 def length_fractional(x: Column) -> Column:
-    return F.length(F.coalesce(F.get(F.split(_plain(x), "\\."), F.lit(1)), F.lit(""))).cast("double")
+    return decimal_parts(x, lambda p: F.when(p["m"] == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), -p["k"])).cast("double"))
 
 
 ROUNDING = {
     "round": lambda x: F.round(x, 0),
-    "roundN": lambda n, x: _scaled(x, n, _half_up),
+    "roundN": lambda n, x: _scaled(x, n, "half"),
     "roundX": round_x,
-    "roundDigitsN": lambda d, x: _scaled(x, d - 1 - digits_before(x), _half_up),
-    "ceilN": lambda n, x: _scaled(x, n, F.ceil), "floorN": lambda n, x: _scaled(x, n, F.floor),
-    "ceilDigitsN": lambda d, x: _scaled(x, d - 1 - digits_before(x), F.ceil), "floorDigitsN": lambda d, x: _scaled(x, d - 1 - digits_before(x), F.floor),
+    "roundDigitsN": lambda d, x: _scaled(x, d - 1 - digits_before(x), "half"),
+    "ceilN": lambda n, x: _scaled(x, n, "ceil"), "floorN": lambda n, x: _scaled(x, n, "floor"),
+    "ceilDigitsN": lambda d, x: _scaled(x, d - 1 - digits_before(x), "ceil"), "floorDigitsN": lambda d, x: _scaled(x, d - 1 - digits_before(x), "floor"),
     "length": lambda x: length_decimal(x) + length_fractional(x), "lengthDecimal": length_decimal, "lengthFractional": length_fractional,
 }
 
