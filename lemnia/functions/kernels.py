@@ -69,8 +69,7 @@ def rope(a: Column, position: Column, base: float = 10000.0) -> Column:
 def attention(q: Column, keys: Column, values: Column) -> Column:
     """One query against arrays of keys and values."""
     weights = softmax(F.transform(keys, lambda k: dot(q, k) / F.sqrt(F.size(q).cast("double"))))
-    zero = F.transform(F.get(values, F.lit(0)), lambda _: F.lit(0.0))
-    return F.aggregate(F.zip_with(weights, values, lambda w, v: F.transform(v, lambda x: w * x)), zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return accum_v(weights, values)
 
 
 def gemv(rows: Column, x: Column) -> Column:
@@ -90,3 +89,39 @@ def loss(name: str, a: Column, b: Column) -> Column:
     f = {"mse": lambda x, y: (x - y) * (x - y), "mae": lambda x, y: F.abs(x - y), "cross_entropy": lambda p, t: -t * F.ln(F.greatest(p, F.lit(1e-15)))}[name]
     s = total(F.zip_with(a, b, f))
     return s if name == "cross_entropy" else s / F.size(a)
+
+
+def accum_v(weights: Column, values: Column) -> Column:
+    """The sum of the value vectors, each by its weight."""
+    zero = F.transform(F.get(values, F.lit(0)), lambda _: F.lit(0.0))
+    return F.aggregate(F.zip_with(weights, values, lambda w, v: F.transform(v, lambda x: w * x)), zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+
+
+def mha_decode_step(q: Column, keys: Column, values: Column, heads: int) -> Column:
+    """One token's query against cached keys and values, head by head; the heads' results in a row."""
+
+    def head(h: Column) -> Column:
+        width = (F.size(q) / heads).cast("int")
+        part = lambda v: F.slice(v, h * width + 1, width)
+        return attention(part(q), F.transform(keys, part), F.transform(values, part))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), head))
+
+
+def matmul_swiglu(gate: Column, up: Column, x: Column) -> Column:
+    """silu(gate x) times (up x), elementwise."""
+    return F.zip_with(each("silu", gemv(gate, x)), gemv(up, x), lambda a, b: a * b)
+
+
+def matmul_add_sin(rows: Column, x: Column, bias: Column) -> Column:
+    return F.transform(F.zip_with(gemv(rows, x), bias, lambda a, b: a + b), F.sin)
+
+
+def q8_blocks(a: Column, size: int = 32) -> Column:
+    """Blocks of (scale, whole numbers -127 to 127), the last one as short as it is."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a)), F.lit(size))
+    return F.transform(F.filter(starts, lambda i: i <= F.size(a)), lambda i: quantize(F.slice(a, i, size)))
+
+
+def q8_values(blocks: Column) -> Column:
+    return F.flatten(F.transform(blocks, dequantize))

@@ -65,7 +65,7 @@ def median(a: Column) -> Column:
         n = F.size(s)
         return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
-    return _or(a, 1, -1.0, let(F.array_sort(a), middle))
+    return _or(a, 1, -1.0, let(F.sort_array(a), middle))
 
 
 def mode(a: Column) -> Column:
@@ -95,10 +95,17 @@ def _sample(value, least: int = 2):
     return lambda x: F.when(F.count(x) >= least, value(x)).otherwise(F.lit(0.0))
 
 
+def _group_geom(x: Column) -> Column:
+    """As for lists: 0 with a zero, NaN where the product is negative and there is more than one value."""
+    odd = F.sum(F.when(x < 0, F.lit(1)).otherwise(F.lit(0))) % 2 == 1
+    size = F.exp(F.avg(F.when(x != 0, F.ln(F.abs(x)))))
+    return F.when(F.max(x == 0), F.lit(0.0)).when(odd & (F.count(x) == 1), F.max(x)).when(odd, F.lit(NAN)).otherwise(size)
+
+
 #: Aggregates of one formula over a group; nulls are left out.
 AGGREGATES = {
     "sum": F.sum, "listsum": F.sum, "prod": F.product, "gsum": F.product, "mean": F.avg, "avg": F.avg, "listavg": F.avg, "count": lambda x: F.count(x).cast("double"),
     "min": F.min, "max": F.max, "rng": lambda x: F.max(x) - F.min(x), "mrng": lambda x: (F.max(x) + F.min(x)) / 2, "med": F.median, "median": F.median,
-    "geom": lambda x: F.exp(F.avg(F.when(x > 0, F.ln(x)))), "rms": lambda x: F.sqrt(F.avg(x * x)), "s_d": _sample(F.stddev_samp), "variance": _sample(F.var_samp),
+    "geom": _group_geom, "rms": lambda x: F.sqrt(F.avg(x * x)), "s_d": _sample(F.stddev_samp), "variance": _sample(F.var_samp),
     "st_err": _sample(lambda x: F.stddev_samp(x) / F.sqrt(F.count(x).cast("double"))), "cov": _sample(lambda x: F.try_divide(F.stddev_samp(x), F.avg(x))),
 }

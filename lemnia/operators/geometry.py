@@ -47,13 +47,3 @@ def angle_between(a: tuple, b: tuple) -> Column:
 def distance_to_plane(p: tuple, normal: tuple, offset: Column) -> Column:
     """Of a point from the plane normal . x + offset = 0."""
     return F.abs(dot(p, normal) + offset) / norm(normal)
-
-
-def complex_multiply(a: Column, b: Column) -> Column:
-    """Of struct<re, im> columns."""
-    return F.struct((a["re"] * b["re"] - a["im"] * b["im"]).alias("re"), (a["re"] * b["im"] + a["im"] * b["re"]).alias("im"))
-
-
-def complex_divide(a: Column, b: Column) -> Column:
-    d = b["re"] * b["re"] + b["im"] * b["im"]
-    return F.struct(((a["re"] * b["re"] + a["im"] * b["im"]) / d).alias("re"), ((a["im"] * b["re"] - a["re"] * b["im"]) / d).alias("im"))

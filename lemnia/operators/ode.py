@@ -1,7 +1,7 @@
 """Ordinary differential equations, one problem per row.
 
-Euler and RK4 are folds over the steps within one expression; adaptive and
-implicit methods run in Arrow batches, all rows of a batch stepping together.
+All methods run in Arrow batches, the rows of a batch stepping together; where a function has no
+numeric form, Euler and RK4 are folds over the steps within one expression.
 An equation is an expression that equals 0, linear in its highest derivative: y[0] is the state,
 y[k] its k-th derivative, t the time.  Systems are lists of equations in y[0] .. y[n-1], each giving
 its unknown's slope d[k] as an expression.
@@ -9,35 +9,75 @@ its unknown's slope d[k] as an expression.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.calculus import differentiate
+from ..plans.lexer import SyntaxProblem
 from ..plans.lower import Lowering
 from ..plans.numeric import evaluate
 from ..plans.simplify import simplify
-from ..plans.tree import Node, Num, call, substitute, variables
+from ..plans.tree import Call, Mat, Node, Num, Text, Var, call, is_matrix, rewrite, substitute, variables
 from ..session import Session
 
 METHODS = ("euler", "rk4", "rk45", "implicit_euler", "bdf2")
-#: Steps beyond which a fold would be slow to plan and run.
-FOLD_STEPS = 20_000
 
 
-def slopes(equation: str | list[str], order: int = 1, session: Session | None = None) -> list[Node]:
+def slopes(equation: str | list[str] | Node, order: int = 1, session: Session | None = None) -> list[Node]:
     """First-order form: the derivative of each state."""
     s = session or Session()
     if isinstance(equation, list):
         free = [*(f"y[{k}]" for k in range(len(equation) + 1)), "t"]
         return [simplify(s.bind(s.parse(e), free)) for e in equation]
     names = [f"y[{k}]" for k in range(order + 1)]
-    node = s.bind(s.parse(equation.split("=")[0]), [*names, "t"])
-    top = names[-1]
+    node = s.bind(s.parse(equation.split("=")[0]), [*names, "t"]) if isinstance(equation, str) else equation
+    return [*(Var(names[k]) for k in range(1, order)), _isolated(node, names[-1])]
+
+
+def _isolated(node: Node, top: str) -> Node:
+    """What the name must be for the node, linear in it, to be 0."""
     rest = simplify(substitute(node, {top: Num(0.0)}))
     weight = simplify(call("-", substitute(node, {top: Num(1.0)}), rest))
-    highest = simplify(call("/", call("*", Num(-1.0), rest), weight))
-    return [*(s.parse(names[k]) for k in range(1, order)), highest]
+    return simplify(call("/", call("*", Num(-1.0), rest), weight))
+
+
+def formula_call(low: Lowering, name: str, args: tuple) -> Column:
+    """diffeqn(equation, t0, y0, end, step = 0.01, method = rk4) and its kin, as a formula has them.
+
+    The equation is an expression, or @(n)("..", ..) for n unknowns y[0] .. y[n-1], each equation
+    linear in y[n], its unknown's derivative.  Path forms take the number of points or
+    a presentation after the method, and the presentation after the points.
+    """
+    if not 4 <= len(args) <= (8 if "Path" in name else 6):
+        raise SyntaxProblem(f"{name}: {len(args)} arguments")
+    equation, t0, y0, end, *more = args
+    h = more[0].value if more and isinstance(more[0], Num) else 0.01
+    word = lambda x: x.name if isinstance(x, Var) else x.value if isinstance(x, Text) else None
+    method = (word(more[1]) if len(more) > 1 else None) or "rk4"
+    if method not in METHODS:
+        raise SyntaxProblem(f"{name}: no method {method!r}")
+    start = low.grids().grid(y0).columns() if is_matrix(y0) else [low.number(y0)]
+    s = low.session
+    if isinstance(equation, Mat):
+        n = len(equation.items)
+        free = [*(f"y[{k}]" for k in range(n + 1)), "t"]
+        texts = [s.bind(s.parse(x.value.split("=")[0]), free) if isinstance(x, Text) else x for x in equation.items]
+        nodes = [_isolated(x, f"y[{n}]") for x in texts]
+    else:
+        nodes = slopes(equation, len(start), s)
+    if len(nodes) != len(start):
+        raise SyntaxProblem(f"{name}: {len(nodes)} unknowns, {len(start)} starting values")
+    if "Path" not in name:
+        y = solve(nodes, low.number(t0), start, low.number(end), h, method, s)
+        return y if isinstance(equation, Mat) else F.get(y, F.lit(0))
+    points = int(more[2].value) if len(more) > 2 and isinstance(more[2], Num) else None
+    shown = next((word(x) for x in more[2:] if word(x)), "state" if isinstance(equation, Mat) else "trajectory")
+    rows = path(nodes, low.number(t0), start, low.number(end), h, method, points, s)
+    return rows if shown == "state" or len(start) == 1 else F.transform(rows, lambda r: F.slice(r, 1, 2))
 
 
 def _rates(nodes, session, t, y):
@@ -71,14 +111,25 @@ def _step(nodes, session, method, t, y, h):
     return let(F.array(*k1), with1)
 
 
-def solve(equation: str | list[str], t0: Column, y0: list[Column], t_end: Column, h: float = 0.01, method: str = "rk4", session: Session | None = None) -> Column:
+def _tree(equation, n: int, session: Session) -> list[Node]:
+    return equation if isinstance(equation, list) and equation and not isinstance(equation[0], str) else slopes(equation, n, session)
+
+
+def solve(equation: str | list[str] | list[Node], t0: Column, y0: list[Column], t_end: Column, h: float = 0.01, method: str = "rk4", session: Session | None = None) -> Column:
     """The states at t_end as an array; t_end = t0 gives y0.  Rows may have initial values and times of their own."""
     if method not in METHODS:
         raise ValueError(method)
     s = session or Session()
-    nodes = slopes(equation, len(y0), s)
+    nodes = _tree(equation, len(y0), s)
+    if _numerical(nodes, s):
+        return _batched(_radians(nodes, s), t0, y0, t_end, h, method)
     if method not in ("euler", "rk4"):
-        return _batched(nodes, t0, y0, t_end, h, method)
+        raise ValueError(f"{method} needs functions with a numeric form")
+    return _folded(nodes, t0, y0, t_end, h, method, s)
+
+
+def _folded(nodes: list[Node], t0: Column, y0: list[Column], t_end: Column, h: float, method: str, s: Session) -> Column:
+    """Steps as a fold within one expression, for functions that only Columns have."""
     n = F.greatest(F.lit(0), F.ceil(F.abs(t_end - t0) / h - 1e-9).cast("int"))
     start = F.array(*(c.cast("double") for c in y0))
 
@@ -93,28 +144,22 @@ def solve(equation: str | list[str], t0: Column, y0: list[Column], t_end: Column
     return F.transform(F.array((t_end - t0) / F.greatest(n, F.lit(1))), run)[0]
 
 
-def path(equation: str | list[str], t0: Column, y0: list[Column], t_end: Column, h: float = 0.01, method: str = "rk4", points: int | None = None, session: Session | None = None) -> Column:
-    """Array of [t, y..] rows from t0 to t_end: all steps, or ``points`` even ones by linear interpolation.  Explode it for one row per point."""
-    s = session or Session()
-    nodes = slopes(equation, len(y0), s)
-    n = F.greatest(F.lit(1), F.ceil(F.abs(t_end - t0) / h - 1e-9).cast("int"))
-    first = F.array(t0.cast("double"), *(c.cast("double") for c in y0))
-
-    def run(step: Column) -> Column:
-        def one(rows: Column, k: Column) -> Column:
-            last = F.element_at(rows, -1)
-            states = [F.get(last, F.lit(i + 1)) for i in range(len(y0))]
-            got = _step(nodes, s, method if method in ("euler", "rk4") else "rk4", t0 + (k - 1) * step, states, step)
-            got = F.array(*got) if isinstance(got, list) else got
-            return F.concat(rows, F.array(F.concat(F.array(t0 + k * step), got)))
+def path(equation: str | list[str] | list[Node], t0: Column, y0: list[Column], t_end: Column, h: float = 0.01, method: str = "rk4", points: int | None = None, session: Session | None = None) -> Column:
+    """Array of [t, y..] rows from t0 to t_end: all steps, or ``points`` even ones by linear interpolation.  Explode it for one row per point.
 
-        return F.aggregate(F.sequence(F.lit(1), n), F.array(first), one)
-
-    rows = F.transform(F.array((t_end - t0) / n), run)[0]
+    Adaptive steps end at the same times as fixed ones would.
+    """
+    if method not in METHODS:
+        raise ValueError(method)
+    if points is not None and points < 2:
+        raise ValueError("two points at least")
+    s = session or Session()
+    nodes = _tree(equation, len(y0), s)
+    if not _numerical(nodes, s):
+        raise ValueError("a path needs functions with a numeric form")
+    rows = _batched(_radians(nodes, s), t0, y0, t_end, h, method, whole=True)
     if points is None:
         return rows
-    if points < 2:
-        raise ValueError("two points at least")
 
     def sample(r: Column) -> Column:
         def at(k: Column) -> Column:
@@ -127,6 +172,30 @@ def path(equation: str | list[str], t0: Column, y0: list[Column], t_end: Column,
     return F.transform(F.array(rows), sample)[0]
 
 
+def _numerical(nodes: list[Node], session: Session) -> bool:
+    """Whether all functions have a numeric form."""
+    try:
+        for n in nodes:
+            evaluate(n, dict.fromkeys(variables(n), 1.0))
+    except ValueError:
+        return False
+    return all(v == "t" or v.startswith("y[") for n in nodes for v in variables(n))
+
+
+def _radians(nodes: list[Node], session: Session) -> list[Node]:
+    """Trigonometric functions turned to those of radians."""
+    unit = {"RAD": 1.0, "DEG": math.pi / 180, "GRAD": math.pi / 200}[session.angle]
+    if unit == 1.0:
+        return nodes
+
+    def visit(x: Node) -> Node:
+        if isinstance(x, Call) and x.name in ("sin", "cos", "tan", "sec", "csc", "cot"):
+            return Call(x.name, (call("*", Num(unit), x.args[0]),))
+        return call("*", Num(1 / unit), x) if isinstance(x, Call) and x.name in ("asin", "acos", "atan") else x
+
+    return [rewrite(n, visit) for n in nodes]
+
+
 def _numeric(nodes):
     def f(t, y):
         env = {f"y[{k}]": y[:, k] for k in range(y.shape[1])} | {"t": t}
@@ -162,47 +231,103 @@ def rk45(f, t, y, end, h, tol=1e-9, most=100_000):
     return y
 
 
-def _newton(f, t, guess, base, h, rounds=12):
-    """y with y = base + h f(t, y)."""
-    y, n = guess.copy(), guess.shape[1]
-    for _ in range(rounds):
-        g = y - base - h[:, None] * f(t, y)
-        jac = np.zeros((len(y), n, n))
-        for k in range(n):
+def jacobian(nodes: list[Node]):
+    """f(t, y) -> (rows, n, n) partial derivatives, from the trees; None where one has no rule or numeric form."""
+    n = len(nodes)
+    try:
+        trees = [[simplify(differentiate(x, f"y[{k}]")) for k in range(n)] for x in nodes]
+        for row in trees:
+            for x in row:
+                evaluate(x, dict.fromkeys(variables(x), 1.0))
+    except ValueError:
+        return None
+
+    def f(t, y):
+        env = {f"y[{k}]": y[:, k] for k in range(n)} | {"t": t}
+        return np.stack([np.stack([np.broadcast_to(np.asarray(evaluate(x, env), float), t.shape) for x in row], 1) for row in trees], 1)
+
+    return f
+
+
+def _differences(f):
+    """The same by finite differences."""
+
+    def jac(t, y):
+        out = np.zeros((len(y), y.shape[1], y.shape[1]))
+        for k in range(y.shape[1]):
             d = 1e-7 * (1 + np.abs(y[:, k]))
             z = y.copy()
             z[:, k] += d
-            jac[:, :, k] = (f(t, z) - f(t, y)) / d[:, None]
-        step = np.linalg.solve(np.eye(n) - h[:, None, None] * jac, -g[:, :, None])[:, :, 0]
+            out[:, :, k] = (f(t, z) - f(t, y)) / d[:, None]
+        return out
+
+    return jac
+
+
+def _newton(f, jac, t, guess, base, h, rounds=12):
+    """y with y = base + h f(t, y)."""
+    y = guess.copy()
+    for _ in range(rounds):
+        g = y - base - h[:, None] * f(t, y)
+        step = np.linalg.solve(np.eye(y.shape[1]) - h[:, None, None] * jac(t, y), -g[:, :, None])[:, :, 0]
         y = y + step
         if np.abs(step).max() < 1e-12 * (1 + np.abs(y).max()):
             break
     return y
 
 
-def implicit(f, t, y, end, h, second: bool):
-    """Implicit Euler, or BDF2 started by one such step."""
-    n = np.maximum(1, np.ceil(np.abs(end - t) / h - 1e-9)).astype(int)
-    step, before = (end - t) / n, None
-    for k in range(int(n.max())):
+def steps(f, jac, method: str, t, y, end, h):
+    """(time, states) after each of the steps about h long; a row's step count is its own, and it stands still when done."""
+    n = np.ceil(np.abs(end - t) / h - 1e-9).astype(int)
+    step, before = (end - t) / np.maximum(n, 1), None
+    for k in range(int(n.max()) if len(n) else 0):
         live = k < n
-        at = t + (k + 1) * step
-        if second and before is not None:
-            new = _newton(f, at, y, (4 * y - before) / 3, 2 * step / 3)
+        at = t + k * step
+        if method == "euler":
+            new = y + step[:, None] * f(at, y)
+        elif method == "rk4":
+            s = step[:, None]
+            a = f(at, y)
+            b = f(at + step / 2, y + s / 2 * a)
+            c = f(at + step / 2, y + s / 2 * b)
+            d = f(at + step, y + s * c)
+            new = y + s / 6 * (a + 2 * b + 2 * c + d)
+        elif method == "rk45":
+            new = rk45(f, np.where(live, at, end), y, np.where(live, at + step, end), np.full(len(t), h))
+        elif method == "bdf2" and before is not None:
+            new = _newton(f, jac, at + step, y, (4 * y - before) / 3, 2 * step / 3)
         else:
-            new = _newton(f, at, y, y, step)
+            new = _newton(f, jac, at + step, y, y, step)
         before, y = y, np.where(live[:, None], new, y)
-    return y
+        yield np.where(live, at + step, end), y
+
 
+def _batched(nodes, t0, y0, t_end, h, method, whole: bool = False) -> Column:
+    """The states at the end, or all [t, y..] rows; the rows of a batch step together, some thousand at a time."""
 
-def _batched(nodes, t0, y0, t_end, h, method) -> Column:
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<array<double>>" if whole else "array<double>")
     def run(t: pd.Series, end: pd.Series, y: pd.Series) -> pd.Series:
         t, end = t.to_numpy(float), end.to_numpy(float)
         y = np.stack([np.asarray(v, float) for v in y]) if len(y) else np.zeros((0, len(nodes)))
         f = _numeric(nodes)
-        got = rk45(f, t, y, end, h) if method == "rk45" else implicit(f, t, y, end, h, method == "bdf2")
-        return pd.Series(list(np.where((t == end)[:, None], y, got)))
+        jac = jacobian(nodes) or _differences(f)
+        out: list = []
+        for i in range(0, len(t), 2048):
+            a, z, v = t[i : i + 2048], end[i : i + 2048], y[i : i + 2048]
+            with np.errstate(all="ignore"):
+                if whole:
+                    n = np.ceil(np.abs(z - a) / h - 1e-9).astype(int)
+                    rows = [np.column_stack([a, v]), *(np.column_stack(x) for x in steps(f, jac, method, a, v, z, h))]
+                    out += [[r[k] for r in rows[: n[k] + 1]] for k in range(len(a))]
+                    continue
+                if method == "rk45":
+                    last = rk45(f, a, v, z, np.full(len(a), h))
+                else:
+                    last = v
+                    for _, last in steps(f, jac, method, a, v, z, h):
+                        pass
+                out += list(np.where((a == z)[:, None], v, last))
+        return pd.Series(out)
 
     return run(t0.cast("double"), t_end.cast("double"), F.array(*(c.cast("double") for c in y0)))
 

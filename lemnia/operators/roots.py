@@ -35,3 +35,13 @@ def depressed_cubic_roots(p: Column, q: Column) -> Column:
         return F.when((p == 0) & (q == 0), F.array(*[F.lit(0.0)] * 7)).when(d > 0, one).otherwise(three)
 
     return let(q * q / 4 + p * p * p / 27, by)
+
+
+def cubic_roots(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """[re, im] x 3 and the flag of depressed_cubic_roots of a x^3 + b x^2 + c x + d; of a quadratic, [re, im] x 2 and NaN, if a is 0."""
+    shift = divide(b, 3 * a)
+    p = divide(c, a) - divide(b * b, 3 * a * a)
+    q = divide(2 * b * b * b, 27 * a * a * a) - divide(b * c, 3 * a * a) + divide(d, a)
+    moved = let(depressed_cubic_roots(p, q), lambda r: F.transform(r, lambda v, i: F.when((i % 2 == 0) & (i < 6), v - shift).otherwise(v)))
+    two = let(quadratic_roots(b, c, d), lambda r: F.when(F.size(r) == 5, F.concat(F.slice(r, 1, 4), F.array(F.lit(NAN), F.lit(NAN), F.lit(2.0)))).otherwise(F.array(F.get(r, F.lit(0)), F.lit(0.0), F.get(r, F.lit(1)), F.lit(0.0), F.lit(NAN), F.lit(NAN), F.lit(0.0))))
+    return F.when(a == 0, two).otherwise(moved)

@@ -16,13 +16,15 @@ from ..functions.stats import LISTS, TRIMMED
 from .calculus import differentiate
 from .lexer import SyntaxProblem
 from .simplify import simplify
-from .tree import Call, Fn, Mat, Node, Num, Text, Var
+from .tree import Call, Fn, Mat, Node, Num, Text, Var, is_matrix
 
 COMPARISONS = {"<", "<=", ">", ">=", "==", "!="}
 WORDS = {"gt": ">", "lt": "<", "ge": ">=", "le": "<=", "eq": "==", "ne": "!="}
-VECTORS = {"sort", "mode", "quadratic", "t_root", "autodiffN"}
+VECTORS = {"sort", "mode", "quadratic", "t_root", "autodiffN", "rot"}
 #: Nodes of the Gauss-Legendre rule, panels of an integral, and Newton steps of a root.
-GAUSS, PANEL, MAX_PANELS, NEWTON = 16, 0.2, 512, 60
+GAUSS, PANEL, MAX_PANELS, NEWTON = 16, 0.2, 1 << 16, 60
+#: Order of derivatives up to which a derivative at a point is symbolic; beyond, jets.
+SYMBOLIC = 2
 
 
 class Lowering:
@@ -68,8 +70,15 @@ class Lowering:
         if name in ("&&", "||"):
             a, b = map(self.flag, args)
             return (a & b if name == "&&" else a | b), True
+        if is_matrix(x):
+            return self.grids().grid(x).array(), False
         return self._number(name, args), False
 
+    def grids(self):
+        from .grids import Grids
+
+        return Grids(self.number)
+
     def _number(self, name: str, args: tuple) -> Column:
         s = self.session
         if name in ("+", "-", "*"):
@@ -111,8 +120,9 @@ class Lowering:
 
     def array(self, args: tuple) -> Column:
         """Argument lists; vectors among them are spliced in."""
-        if any(isinstance(a, Mat) or (isinstance(a, Call) and a.name in VECTORS) for a in args):
-            return F.flatten(F.array(*(self.column(a) if isinstance(a, Mat) or (isinstance(a, Call) and a.name in VECTORS) else F.array(self.number(a)) for a in args)))
+        vector = lambda a: is_matrix(a) or (isinstance(a, Call) and a.name in VECTORS)
+        if any(map(vector, args)):
+            return F.flatten(F.array(*(self.column(a) if vector(a) else F.array(self.number(a)) for a in args)))
         return F.array(*map(self.number, args)) if args else F.array().cast("array<double>")
 
     # -- special forms ----------------------------------------------------
@@ -134,12 +144,25 @@ class Lowering:
         return F.lit(math.inf)
 
     def _det(self, *args):
-        items = args[0].items if len(args) == 1 and isinstance(args[0], Mat) else args
-        k = math.isqrt(len(items))
-        if k * k != len(items):
+        from .grids import Grid, determinant
+
+        if len(args) == 1 and is_matrix(args[0]):
+            g = self.grids().grid(args[0])
+            if g.rows == g.cols:
+                return determinant(g)
+            cells = g.cells
+        else:
+            cells = tuple(map(self.grids().cell, args))
+        k = math.isqrt(len(cells))
+        if k * k != len(cells):
             raise SyntaxProblem("a determinant needs a square number of values")
-        cells = [[self.number(items[i * k + j]) for j in range(k)] for i in range(k)]
-        return determinant(cells)
+        return determinant(Grid(k, k, cells))
+
+    def _eigpoly(self, a):
+        """The characteristic polynomial as text."""
+        from ..operators.matrix import characteristic
+
+        return characteristic(self.grids().grid(a).struct())
 
     @staticmethod
     def _function(f: Node) -> Fn:
@@ -147,46 +170,116 @@ class Lowering:
             raise SyntaxProblem("a function is needed")
         return f
 
+    def _derivatives(self, f: Fn, at: Column, order: int) -> Column:
+        """Derivatives 0 to order at a point, by jets; by repeated derivation where a function has none."""
+        from .jets import Jets, NoJet
+
+        p = f.params[0]
+        try:
+            return Jets(Lowering(self.session, {**self.env, p: at}), p, at, order).derivatives(f.body, order)
+        except NoJet:
+            return F.array(*(self._at(self.session.derivative(f, k).body, **{p: at}) for k in range(order + 1)))
+
     def _autodiff(self, f, x, n=Num(1.0)):  # noqa: B008
-        f = self._function(f)
-        return self._at(self.session.derivative(f, int(n.value)).body, **{f.params[0]: self.number(x)})
+        f, order = self._function(f), int(n.value)
+        if order <= SYMBOLIC:
+            try:
+                return self._at(self.session.derivative(f, order).body, **{f.params[0]: self.number(x)})
+            except ValueError:
+                pass
+        return F.get(self._derivatives(f, self.number(x), order), F.lit(order))
 
     def _autodiffN(self, f, x, n=Num(1.0)):  # noqa: B008, N802
-        f = self._function(f)
-        at = self.number(x)
-        return F.array(*(self._at(self.session.derivative(f, k).body, **{f.params[0]: at}) for k in range(int(n.value) + 1)))
+        return self._derivatives(self._function(f), self.number(x), int(n.value))
 
     def _intg(self, f, a, b, panels=None):
-        """Gauss-Legendre panels about PANEL wide; swapped bounds change the sign."""
+        """Gauss-Legendre panels about PANEL wide; swapped bounds change the sign; NaN where the bounds are too far apart for that."""
         f = self._function(f)
         lo, hi = self.number(a), self.number(b)
-        n = F.lit(int(panels.value)) if panels is not None else F.least(F.lit(MAX_PANELS), F.greatest(F.lit(1), F.ceil(F.abs(hi - lo) / PANEL).cast("int")))
+        wanted = F.greatest(F.lit(1.0), F.ceil(F.abs(hi - lo) / PANEL - 1e-9).cast("double"))
+        n = F.lit(int(panels.value)) if panels is not None else F.least(F.lit(float(MAX_PANELS)), wanted).cast("int")
         nodes, weights = np.polynomial.legendre.leggauss(GAUSS)
 
         def panel(width: Column) -> Column:
             def one(total: Column, k: Column) -> Column:
                 mid = lo + (k + 0.5) * width
-                value = F.lit(0.0)
-                pairs = F.array(*(F.struct(F.lit(float(t)).alias("t"), F.lit(float(w)).alias("w")) for t, w in zip(nodes, weights, strict=True)))
-                return total + F.aggregate(pairs, value, lambda s, p: s + p["w"] * self._at(f.body, **{f.params[0]: mid + p["t"] * width / 2})) * width / 2
+                parts = [self._at(f.body, **{f.params[0]: mid + width * float(t / 2)}) * float(w) for t, w in zip(nodes, weights, strict=True)]
+                return total + sum(parts[1:], parts[0]) * width / 2
 
             return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), one)
 
-        return G.let((hi - lo) / n, panel)
+        total = G.let((hi - lo) / n, panel)
+        return total if panels is not None else F.when(wanted > MAX_PANELS, F.lit(math.nan)).otherwise(total)
 
     def _root(self, f, x1=Num(1.0), *more):  # noqa: B008
-        """Newton from x1; NaN where it does not settle."""
+        """Newton from x1; where it does not settle, secant steps from x1 and x2, and then bisection of the nearest change of sign; else NaN."""
         f = self._function(f)
         p = f.params[0]
+        at = lambda x: self._at(f.body, **{p: x})
+        first = self.number(x1)
+        second = self.number(more[0]) if more else first + 1.0
+        steps = int(more[1].value) if len(more) == 2 else NEWTON
+        count = F.sequence(F.lit(1), F.lit(steps))
         slope = simplify(differentiate(f.body, p))
-        steps = int(more[-1].value) if len(more) == 2 else NEWTON
 
         def step(x: Column, _: Column) -> Column:
-            move = G.divide(self._at(f.body, **{p: x}), self._at(slope, **{p: x}))
+            move = G.divide(at(x), self._at(slope, **{p: x}))
             return F.when(F.abs(move) <= 5e-16, x).otherwise(x - move)
 
-        x = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), self.number(x1), step)
-        return G.let(x, lambda r: F.when(F.abs(self._at(f.body, **{p: r})) <= 1e-6 * (1 + F.abs(r)), r).otherwise(F.lit(math.nan)))
+        def chord(s: Column, _: Column) -> Column:
+            fa, fb = at(s["a"]), at(s["b"])
+            move = G.divide(fb * (s["b"] - s["a"]), fb - fa)
+            still = (s["a"] == s["b"]) | (fb == 0) | F.isnan(move)
+            return F.struct(F.when(still, s["a"]).otherwise(s["b"]).alias("a"), F.when(still, s["b"]).otherwise(s["b"] - move).alias("b"))
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = (s["a"] + s["b"]) / 2
+            return G.let(at(mid) * at(s["a"]) > 0, lambda same: F.struct(F.when(same, mid).otherwise(s["a"]).alias("a"), F.when(same, s["b"]).otherwise(mid).alias("b")))
+
+        def bracket() -> Column:
+            # x1 and x2, then ever wider steps to both sides of x1
+            reach = F.transform(F.sequence(F.lit(0), F.lit(119)), lambda k: F.pow(F.lit(1.15), k - 40))
+            pairs = F.concat(
+                F.array(F.struct(F.least(first, second).alias("a"), F.greatest(first, second).alias("b"))),
+                F.flatten(F.transform(reach, lambda r: F.array(*(F.struct((first + s * r * u).alias("a"), (first + s * r * v).alias("b")) for s, u, v in ((1, 1.0, 1.15), (-1, 1.15, 1.0)))))),
+            )
+            found = F.filter(pairs, lambda q: F.coalesce(at(q["a"]) * at(q["b"]) <= 0, F.lit(False)) & ~F.isnan(at(q["a"]) * at(q["b"])))
+            return F.get(found, F.lit(0))
+
+        def checked(x: Column, otherwise: Column) -> Column:
+            return G.let(x, lambda r: F.when(F.coalesce((F.abs(r) < 1e300) & (F.abs(at(r)) <= 1e-6 * (1 + F.abs(r))), F.lit(False)), r).otherwise(otherwise))
+
+        pair = F.struct(first.alias("a"), second.alias("b"))
+        bisected = G.let(bracket(), lambda q: F.aggregate(F.sequence(F.lit(1), F.lit(200)), q, halve)["a"])
+        last = checked(bisected, F.lit(math.nan))
+        return checked(F.aggregate(count, first, step), checked(F.aggregate(count, pair, chord)["b"], last))
+
+    def _ode(self, name: str, args: tuple):
+        from ..operators.ode import formula_call
+
+        return formula_call(self, name, args)
+
+    def _diffeqn(self, *args):
+        return self._ode("diffeqn", args)
+
+    def _diffeqnHO(self, *args):  # noqa: N802
+        return self._ode("diffeqnHO", args)
+
+    def _diffeqnPath(self, *args):  # noqa: N802
+        return self._ode("diffeqnPath", args)
+
+    def _diffeqnPathHO(self, *args):  # noqa: N802
+        return self._ode("diffeqnPathHO", args)
+
+    def _rot(self, *args):
+        """Points (n x 3), or a line by two points, turned about the line through an origin along a direction: the points by rows."""
+        from ..operators.geometry import rotate
+
+        *what, angle, origin, direction = args
+        o, d = (tuple(self.grids().grid(x).columns()) for x in (origin, direction))
+        rows = [c for x in what for c in self.grids().grid(x).columns()]
+        turned = [rotate(tuple(rows[i : i + 3]), self.number(angle), o, d, self.session.angle) for i in range(0, len(rows), 3)]
+        return F.array(*(c for point in turned for c in point))
 
     def coefficients(self, f: Fn, degree: int) -> list[Column]:
         """Of the polynomial that f is, constant first, from its derivatives at 0."""
@@ -203,15 +296,3 @@ class Lowering:
 
         c0, c1, _, c3 = self.coefficients(self._function(f), 3)
         return depressed_cubic_roots(c1 / c3, c0 / c3)
-
-
-def determinant(cells: list[list[Column]]) -> Column:
-    """Cofactor expansion; meant for small matrices."""
-    if len(cells) == 1:
-        return cells[0][0]
-    total = None
-    for j, top in enumerate(cells[0]):
-        term = top * determinant([r[:j] + r[j + 1 :] for r in cells[1:]])
-        term = -term if j % 2 else term
-        total = term if total is None else total + term
-    return total

@@ -13,7 +13,7 @@ FUNCTIONS = {
     "sin": np.sin, "cos": np.cos, "tan": np.tan, "asin": np.arcsin, "acos": np.arccos, "atan": np.arctan, "sinh": np.sinh, "cosh": np.cosh, "tanh": np.tanh,
     "sec": lambda x: 1 / np.cos(x), "csc": lambda x: 1 / np.sin(x), "cot": lambda x: 1 / np.tan(x), "exp": np.exp, "ln": np.log, "lg": np.log10, "sqrt": np.sqrt, "cbrt": np.cbrt,
     "square": np.square, "cube": lambda x: x * x * x, "abs": np.abs, "floor": np.floor, "ceil": np.ceil, "inverse": lambda x: 1 / x, "erf": _erf, "atan2": np.arctan2, "hypot": np.hypot,
-    "asinh": np.arcsinh, "acosh": np.arccosh, "atanh": np.arctanh, "max": lambda *a: np.maximum.reduce(a), "min": lambda *a: np.minimum.reduce(a),
+    "sech": lambda x: 1 / np.cosh(x), "csch": lambda x: 1 / np.sinh(x), "coth": lambda x: 1 / np.tanh(x), "asinh": np.arcsinh, "acosh": np.arccosh, "atanh": np.arctanh, "max": lambda *a: np.maximum.reduce(a), "min": lambda *a: np.minimum.reduce(a),
     "+": np.add, "-": np.subtract, "*": np.multiply, "/": np.divide, "%": np.fmod, "^": np.power, "pow": np.power,
     "<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal, "==": np.equal, "!=": np.not_equal, "if": np.where,
     "log": lambda x, b=None: np.log10(x) if b is None else np.log(x) / np.log(b), "&&": lambda a, b: (a != 0) & (b != 0), "||": lambda a, b: (a != 0) | (b != 0),

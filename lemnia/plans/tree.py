@@ -49,6 +49,15 @@ class Mat:
 Node = Num | Text | Var | Call | Fn | Mat
 
 
+#: Functions whose value is a matrix.
+MATRIX_CALLS = {"invert", "transpose", "tri_mat", "echelon", "cofactor", "adjoint", "eigvec", "eigvalues", "matrix_add", "matrix_sub", "matrix_mul", "matrix_div", "matrix_pow", "matrix_minor", "sub_mat", "matrix_edit", "rnd_mat", "linear_sys"}
+_OF_MATRICES = {"+", "-", "*", "/", "^", "pow", "square", "cube"}
+
+
+def is_matrix(node: Node) -> bool:
+    return isinstance(node, Mat) or (isinstance(node, Call) and (node.name in MATRIX_CALLS or (node.name in _OF_MATRICES and any(map(is_matrix, node.args)))))
+
+
 def call(name: str, *args: Node) -> Call:
     return Call(name, tuple(args))
 

@@ -297,6 +297,76 @@ _EXACT = "(p_size+0.2)*exp(-2)+0.4*sin(1)-0.2*cos(1)"
 QUERIES["ode_rk45"] = _stiff("rk45", 5, 0.01)
 ORACLE_SQL["ode_rk45"] = f"SELECT p_partkey, round({_EXACT},5) AS y FROM part"
 QUERIES["ode_implicit"], QUERIES["ode_bdf2"] = _stiff("implicit_euler", 6, 0.01), _stiff("bdf2", 6, 0.01)
+ORACLE_SQL["ode_implicit"] = "WITH RECURSIVE r AS (SELECT p_partkey, 0 AS k, p_size::DOUBLE AS y FROM part UNION ALL SELECT p_partkey, k+1, (y+0.01*sin((k+1)*0.01))/1.02 FROM r WHERE k < 100) SELECT p_partkey, round(y,6) AS y FROM r WHERE k = 100"
+ORACLE_SQL["ode_bdf2"] = "WITH RECURSIVE r AS (SELECT p_partkey, 1 AS k, p_size::DOUBLE AS x, (p_size+0.01*sin(0.01))/1.02 AS y FROM part UNION ALL SELECT p_partkey, k+1, y, ((4*y-x)/3+0.02/3*sin((k+1)*0.01))/(1+0.04/3) FROM r WHERE k < 100) SELECT p_partkey, round(y,6) AS y FROM r WHERE k = 100"
+
+
+@_query("WITH RECURSIVE r AS (SELECT p_partkey, 0 AS k, p_size::DOUBLE AS y FROM part UNION ALL SELECT p_partkey, k+1, y/1.2 FROM r WHERE k < 10) SELECT p_partkey, k::INTEGER AS pos, round(k*0.1,6) AS t, round(y,6) AS y FROM r")
+def ode_path_implicit(spark, sf_dir):
+    rows = ode.path("y[1]+2*y[0]", F.lit(0.0), [F.col("p_size")], F.lit(1.0), 0.1, "implicit_euler")
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(rows).alias("pos", "r")).select("p_partkey", "pos", F.round(F.get("r", F.lit(0)), DIGITS).alias("t"), F.round(F.get("r", F.lit(1)), DIGITS).alias("y"))
+
+
+@_query("SELECT p_partkey, k::INTEGER AS pos, round(k*0.1,6) AS t, round(p_size*exp(-0.2*k),4) AS y FROM part, range(11) r(k)")
+def ode_path_adaptive(spark, sf_dir):
+    rows = ode.path("y[1]+2*y[0]", F.lit(0.0), [F.col("p_size")], F.lit(1.0), 0.1, "rk45")
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(rows).alias("pos", "r")).select("p_partkey", "pos", F.round(F.get("r", F.lit(0)), DIGITS).alias("t"), F.round(F.get("r", F.lit(1)), 4).alias("y"))
+
+
+# -- solvers, derivatives and matrices inside formulas
+_formulas("round_extremes", {"a": ("roundN(2,p_size*1e20)/1e20", "p_size"), "b": ("roundDigitsN(1,p_size*1e15)/1e15", "round(p_size/pow(10,floor(log10(p_size))))*pow(10,floor(log10(p_size)))"), "c": ("length(p_size*1e20)", "length(p_size::VARCHAR)+20"), "d": ("roundDigitsN(3,p_size*1.23456e-9)*1e9", "round(p_size*1.23456::DECIMAL(12,6)/pow(10,floor(log10(p_size*1.23456))-2)::DECIMAL(12,6))*pow(10,floor(log10(p_size*1.23456))-2)"), "e": ("ceilN(-30,p_size)/1e30", "1")}, "part", ["p_partkey"])
+_formulas("root_cycle", {"a": ("root(@(t)t^3-2*t+2,0)", "-1.7692923542386314"), "b": ("root(@(x)atan(x-p_size),p_size+4)", "p_size"), "c": ("root(@(x)x^3-p_size,0,p_size)", "cbrt(p_size)")}, "part", ["p_partkey"])
+_formulas("derivative_high", {"a": ("autodiff(@(x)exp(2*x),l_tax,12)", "4096*exp(2*l_tax)"), "b": ("autodiff(@(x)sin(x),l_quantity,9)", "cos(l_quantity)"), "c": ("autodiff(@(x)1/(1+x),l_tax,6)", "720/pow(1+l_tax,7)"), "d": ("diff(f,l_tax,5)", "(5+l_tax)*exp(l_tax)")}, define="f(x)=x*exp(x)")
+_formulas("antiderivative", {"a": ("g(l_quantity)", "sin(l_quantity)-l_quantity*cos(l_quantity)"), "b": ("h(l_quantity)", "ln(l_quantity*l_quantity+1)"), "c": ("k(l_tax)", "exp(3*l_tax)/3 + pow(l_tax,4)/4")}, define="g=intg(@(x)x*sin(x));h=intg(@(x)2*x/(x^2+1));k=intg(@(x)exp(3*x)+x^3)")
+
+
+def _vector_formula(name: str, formula: str, sql: str, n: int, digits: int = DIGITS) -> None:
+    QUERIES[name] = lambda spark, d: _exploded(evaluate(table(spark, d, "part"), {"v": formula}, None, ["p_partkey"]), ["p_partkey"], "v").withColumn("value", F.round("value", digits) + 0.0)
+    ORACLE_SQL[name] = f"SELECT p_partkey, (i-1)::INTEGER AS pos, round(({sql})[i],{digits})+0.0 AS value FROM part, range(1,{n + 1}) t(i)"
+
+
+_vector_formula("formula_matrix", "invert(@(2,2)(p_size+3,1,2,4)) + 2*@(2,2)(p_size,1,2,3)*@(2,2)(1,2,3,4) - transpose(@(2,2)(1,2,3,4))^2", "[4/(4*(p_size+3.0)-2)+2*(p_size+3)-7, -1/(4*(p_size+3.0)-2)+2*(2*p_size+4)-15, -2/(4*(p_size+3.0)-2)+22-10, (p_size+3)/(4*(p_size+3.0)-2)+32-22]", 4)
+_vector_formula("formula_linear_sys", "linear_sys(2,3,p_size,1,-1,1)", "[(p_size+3)/5.0, (p_size-2)/5.0]", 2)
+_vector_formula("formula_ode", 'diffeqn(@(2)("y[2]-y[0]+2*y[1]","y[2]-2*y[0]-y[1]"),0,@(1,2)(p_size,0),1,0.005,rk4)', "[p_size*exp(1)*cos(2), p_size*exp(1)*sin(2)]", 2, 4)
+_formulas("formula_ode_scalar", {"a": ("diffeqn(y[1]+2*y[0],0,p_size,1,0.01,rk45)*1", "p_size*exp(-2)"), "b": ("diffeqnHO(y[2]+y[0],0,@(1,2)(1,0),3)", "cos(3)")}, "part", ["p_partkey"])
+_vector_formula("formula_rot", "rot(@(2,3)(p_size,0,0,0,1,0),0.5,@(1,3)(0,0,0),@(1,3)(0,0,2))", "[p_size*cos(0.5), p_size*sin(0.5), 0, -sin(0.5), cos(0.5), 0]", 6)
+
+
+@_query("SELECT p_partkey, (i-1)::INTEGER AS pos, round([1.0,0,2,0,p_size+3,0,0][i],4)+0.0 AS value FROM part, range(1,8) t(i)")
+def cubic_general(spark, sf_dir):
+    from .operators.roots import cubic_roots
+
+    r = F.col("p_size") + 3.0
+    roots = cubic_roots(F.lit(1.0), -(r + 3), 3 * r + 2, -2 * r)
+    sorted_ = F.flatten(F.transform(F.array_sort(F.array(*(F.struct(F.get("r", F.lit(k)).alias("re"), F.get("r", F.lit(k + 1)).alias("im")) for k in (0, 2, 4)))), lambda x: F.array(x["re"], x["im"])))
+    t = table(spark, sf_dir, "part").select("p_partkey", roots.alias("r"))
+    return _exploded(t.select("p_partkey", F.concat(sorted_, F.array(F.get("r", F.lit(6)))).alias("v")), ["p_partkey"], "v").withColumn("value", F.round("value", 4) + 0.0)
+
+
+@_query("SELECT p_partkey, to_base(p_size, 7) AS b7, to_base(p_size, 16) || '.8' AS h16, p_size::DOUBLE AS back, p_size + 0.5 AS half FROM part")
+def base_n(spark, sf_dir):
+    from .functions import numbers as N
+
+    p = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", N.to_base(p, 7).alias("b7"), N.to_base(p + 0.5, 16, 1).alias("h16"), N.from_base(N.to_base(p, 3), 3).alias("back"), N.from_base(N.to_base(p + 0.5, 2, 3), 2).alias("half"))
+
+
+@_query("SELECT p_partkey, p_size > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 51) r(k) WHERE k < p_size AND p_size % k = 0) AS prime, (p_size // gcd(p_size, 24))::BIGINT AS num, (24 // gcd(p_size, 24))::BIGINT AS den FROM part")
+def primes_fractions(spark, sf_dir):
+    from .functions import numbers as N
+
+    return table(spark, sf_dir, "part").select("p_partkey", N.is_prime(F.col("p_size").cast("bigint")).alias("prime"), N.fraction(F.col("p_size") / 24.0).alias("f")).select("p_partkey", "prime", "f.num", "f.den")
+
+
+@_query("SELECT p_partkey, round(p_size*3-4*2.0,6) AS mre, round(p_size*2+4*3.0,6) AS mim, round((p_size*3+8)/13.0,6) AS dre, round((12-p_size*2)/13.0,6) AS dim, round(sqrt(p_size*p_size+16),6) AS size, round(exp(p_size/50.0)*cos(4),6) AS ere, round(p_size*p_size-16.0,4) AS sq FROM part")
+def complex_arithmetic(spark, sf_dir):
+    from .operators import complexes as C
+
+    a, b = C.make(F.col("p_size").cast("double"), F.lit(4.0)), C.make(F.lit(3.0), F.lit(2.0))
+    m, d, e = C.multiply(a, b), C.divide_by(a, b), C.exp(C.make(F.col("p_size") / 50.0, F.lit(4.0)))
+    parts = {"mre": m["re"], "mim": m["im"], "dre": d["re"], "dim": d["im"], "size": C.size(a), "ere": e["re"]}
+    return table(spark, sf_dir, "part").select("p_partkey", *(F.round(c, DIGITS).alias(k) for k, c in parts.items()), F.round(C.power(a, F.lit(2.0))["re"], 4).alias("sq"))
+
 
 # -- matrices --------------------------------------------------------------------------------------------------------
 _CELLS = "SELECT l_suppkey % 40 AS i, l_partkey % 40 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2"
@@ -373,11 +443,46 @@ def _struct_query(name, op, **k):
     QUERIES[name] = lambda spark, d: _exploded(_structs(spark, d).select("p_partkey", matrix.apply(op, F.col("m"), **k).alias("x")).select("p_partkey", "x.data"), ["p_partkey"], "data")
 
 
-for _op in ("eigvalues", "eigvec", "tri_mat", "echelon", "cofactor", "adjoint"):
+for _op in ("tri_mat", "echelon", "cofactor", "adjoint"):
     _struct_query(f"mat_{_op}", _op)
 _struct_query("mat_pow", "matrix_pow", exponent=3)
+
+
+def _cells_sql(items: str, source: str = "SELECT p_partkey, p_size+9.0 a, p_size+7.0 e, p_size+11.0 k FROM part", digits: int = DIGITS, n: int = 9) -> str:
+    return f"WITH m AS ({source}) SELECT p_partkey, (i-1)::INTEGER AS pos, round({items}[i],{digits}) AS value FROM m, range(1,{n + 1}) t(i)"
+
+
+ORACLE_SQL["mat_cofactor"] = _cells_sql("[e*k-4, 2-3*k, 12-2*e, 8-k, a*k-4, 2-4*a, 1-2*e, 6-a, a*e-3]")
+ORACLE_SQL["mat_adjoint"] = _cells_sql("[e*k-4, 8-k, 1-2*e, 2-3*k, a*k-4, 6-a, 12-2*e, 2-4*a, a*e-3]")
+ORACLE_SQL["mat_echelon"] = _cells_sql("[a, 1, 2, 0, a*e-3, a-6, 0, 0, (a*e-3)*(a*k-4)-(4*a-2)*(a-6)]")
+_TIMES = "[{x}[3*(q//3)+1]*{y}[q%3+1]+{x}[3*(q//3)+2]*{y}[q%3+4]+{x}[3*(q//3)+3]*{y}[q%3+7] for q in range(9)]"
+ORACLE_SQL["mat_pow"] = f"WITH m AS (SELECT p_partkey, [p_size+9.0,1,2,3,p_size+7.0,1,2,4,p_size+11.0] AS m FROM part), s AS (SELECT *, {_TIMES.format(x='m', y='m')} AS m2 FROM m), c AS (SELECT *, {_TIMES.format(x='m2', y='m')} AS m3 FROM s) SELECT p_partkey, (i-1)::INTEGER AS pos, round(m3[i],6) AS value FROM c, range(1,10) t(i)"
+
+
+def _upper(spark, sf_dir):
+    """Upper triangular matrices, whose eigenvalues are their diagonals."""
+    t, s = table(spark, sf_dir, "part"), Session()
+    return t.select("p_partkey", matrix.matrix(3, 3, *(s.compile(c, t.columns) for c in ("p_size+9", "1", "2", "0", "p_size+7.5", "1", "0", "0", "p_size+11"))).alias("m"))
+
+
+@_query("SELECT p_partkey, (i-1)::INTEGER AS pos, round([p_size+7.5,0,p_size+9,0,p_size+11,0][i],6) AS value FROM part, range(1,7) t(i)")
+def mat_eigvalues(spark, sf_dir):
+    return _exploded(_upper(spark, sf_dir).select("p_partkey", matrix.apply("eigvalues", F.col("m")).alias("x")).select("p_partkey", "x.data"), ["p_partkey"], "data")
+
+
+@_query("WITH v AS (SELECT p_partkey, (2+1/3.5)/2 AS x, 1/3.5 AS y FROM part), n AS (SELECT *, sqrt(x*x+y*y+1) AS s FROM v) SELECT p_partkey, (i-1)::INTEGER AS pos, round([-1/sqrt(3.25),1,x/s,1.5/sqrt(3.25),0,y/s,0,0,1/s][i],6)+0.0 AS value FROM n, range(1,10) t(i)")
+def mat_eigvec(spark, sf_dir):
+    return _exploded(_upper(spark, sf_dir).select("p_partkey", matrix.apply("eigvec", F.col("m")).alias("x")).select("p_partkey", "x.data"), ["p_partkey"], "data").withColumn("value", F.col("value") + 0.0)
+
+
 ORACLE_SQL["mat_tri_mat"] = "WITH m AS (SELECT p_partkey, p_size+9.0 a, p_size+7.0 e, p_size+11.0 k FROM part), s AS (SELECT *, e-3/a AS e2, 1-6/a AS f2 FROM m) SELECT p_partkey, (i-1)::INTEGER AS pos, round([1.0,1/a,2/a,0,1.0,f2/e2,0,0,1.0][i],6) AS value FROM s, range(1,10) t(i)"
-QUERIES["mat_eigpoly"] = lambda spark, d: _structs(spark, d).select("p_partkey", matrix.characteristic(F.col("m")).alias("polynomial"))
+
+
+@_query("SELECT p_partkey, '1*n^3-' || (p_size+3) || '*n^2+' || (3*p_size+2) || '*n^1-' || (2*p_size) || '*n^0' AS polynomial FROM part")
+def mat_eigpoly(spark, sf_dir):
+    t, s = table(spark, sf_dir, "part"), Session()
+    return t.select("p_partkey", s.compile("eigpoly(@(3,3)(1,5,6,0,2,7,0,0,p_size))", t.columns).alias("polynomial"))
+
 
 # -- tensor kernels -----------------------------------------------------------------------------------------------------
 _E = "embedding::DOUBLE[]"
@@ -405,17 +510,26 @@ def vec_dot(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(K.dot(a, a), 5).alias("d"), F.round(K.absmax(a), 5).alias("m"), F.round(K.loss("mse", a, K.axpy(F.lit(1.0), a, a)), 5).alias("mse"))
 
 
-@_query()
-def vec_rope(spark, sf_dir):
-    a = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(K.rope(a, F.col("vec_id") % 16)).alias("pos", "v"))
+_kernel("vec_rope", lambda a: K.rope(a, F.col("vec_id") % 16), "list_transform(range(1, len(a)//2+1), lambda i: a[i]*cos((vec_id%16)/pow(10000,2.0*(i-1)/len(a)))-a[i+len(a)//2]*sin((vec_id%16)/pow(10000,2.0*(i-1)/len(a)))) || list_transform(range(1, len(a)//2+1), lambda i: a[i]*sin((vec_id%16)/pow(10000,2.0*(i-1)/len(a)))+a[i+len(a)//2]*cos((vec_id%16)/pow(10000,2.0*(i-1)/len(a))))")
+_DOTS = "[exp((list_dot_product(a,a)-list_dot_product(a,a))/sqrt(len(a))), exp((list_dot_product(a,k2)-list_dot_product(a,a))/sqrt(len(a))), exp((list_dot_product(a,k3)-list_dot_product(a,a))/sqrt(len(a)))]"
+ATTENTION = f"WITH e AS (SELECT vec_id, {_E} AS a FROM embeddings), k AS (SELECT *, list_transform(a, lambda x: greatest(x,0)) AS k2, list_transform(a, lambda x: 2*x/3) AS k3 FROM e), w AS (SELECT *, {_DOTS} AS w FROM k), r AS (SELECT vec_id, [(w[1]*a[i]+w[2]*k2[i]+w[3]*k3[i])/list_sum(w) for i in range(1, len(a)+1)] AS b FROM w) SELECT vec_id, (i-1)::INTEGER AS pos, round(b[i],5)+0.0 AS v FROM r, range(1, 4097) t(i) WHERE i <= len(b)"
 
 
-@_query()
-def vec_attention(spark, sf_dir):
-    a = F.transform("embedding", lambda x: x.cast("double"))
-    keys = F.array(a, K.each("relu", a), K.layer_norm(a))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(K.attention(a, keys, keys)).alias("pos", "v"))
+def _keys(a):
+    return F.array(a, K.each("relu", a), F.transform(a, lambda x: 2 * x / 3))
+
+
+_kernel("vec_attention", lambda a: K.attention(a, _keys(a), _keys(a)), "a")
+ORACLE_SQL["vec_attention"] = ATTENTION
+_kernel("vec_mha_decode", lambda a: K.mha_decode_step(a, _keys(a), _keys(a), 1), "a")
+ORACLE_SQL["vec_mha_decode"] = ATTENTION
+_kernel("vec_accum_v", lambda a: K.accum_v(F.array(F.lit(0.25), F.lit(0.5), F.lit(2.0)), _keys(a)), "list_transform(a, lambda x: 0.25*x+0.5*greatest(x,0)+4*x/3)")
+_kernel("vec_gemv", lambda a: K.gemv(_keys(a), a), "[list_dot_product(a,a), list_dot_product(a,list_transform(a, lambda x: greatest(x,0))), 2*list_dot_product(a,a)/3]")
+_kernel("vec_matmul_swiglu", lambda a: K.matmul_swiglu(_keys(a), _keys(a), a), "list_transform([list_dot_product(a,a), list_dot_product(a,list_transform(a, lambda x: greatest(x,0))), 2*list_dot_product(a,a)/3], lambda y: y*y/(1+exp(-y)))")
+_kernel("vec_matmul_add_sin", lambda a: K.matmul_add_sin(_keys(a), a, F.array(F.lit(0.1), F.lit(0.2), F.lit(0.3))), "[sin(list_dot_product(a,a)+0.1), sin(list_dot_product(a,list_transform(a, lambda x: greatest(x,0)))+0.2), sin(2*list_dot_product(a,a)/3+0.3)]")
+_kernel("vec_matmul_bias", lambda a: K.matmul_bias(_keys(a), a, F.array(F.lit(-1.0), F.lit(-2.0), F.lit(-3.0)), "relu"), "[greatest(0,list_dot_product(a,a)-1), greatest(0,list_dot_product(a,list_transform(a, lambda x: greatest(x,0)))-2), greatest(0,2*list_dot_product(a,a)/3-3)]")
+_kernel("vec_q8_blocks", lambda a: K.q8_values(K.q8_blocks(a, 16)), "flatten(list_transform(range(1, len(a)+1, 16), lambda s: list_transform(a[s:s+15], lambda x: greatest(-127,least(127,round(x/(list_max(list_transform(a[s:s+15], lambda y: abs(y)))/127))))*(list_max(list_transform(a[s:s+15], lambda y: abs(y)))/127))))")
+_kernel("vec_activations", lambda a: F.transform(F.zip_with(K.each("sigmoid", a), F.zip_with(K.each("elu", a), K.each("leaky_relu", a), lambda x, y: x + y), lambda x, y: x + y), lambda x: x), "list_transform(a, lambda x: 1/(1+exp(-x)) + CASE WHEN x>0 THEN 2*x ELSE exp(x)-1+0.01*x END)")
 
 
 # -- geometry, ranges, registration, streams ---------------------------------------------------------------------------------
@@ -445,12 +559,15 @@ def flagship(spark, sf_dir):
     return got.select("l_returnflag", F.round("mean", 3).alias("mean"), F.round("deviation", 3).alias("deviation"), "n")
 
 
-@_query()
+@_query("SELECT p_partkey, true AS a, true AS b, true AS c FROM part")
 def random_values(spark, sf_dir):
-    return evaluate(table(spark, sf_dir, "part"), {"a": "rnd()", "b": "rnd(10)", "c": "now()"}, None, ["p_partkey"])
+    """Whether each value is in its range."""
+    got = evaluate(table(spark, sf_dir, "part"), {"a": "rnd()", "b": "rnd(10)", "c": "now()"}, None, ["p_partkey"])
+    return got.select("p_partkey", F.col("a").between(0, 1).alias("a"), F.col("b").between(0, 10).alias("b"), (F.col("c") > 1.7e18).alias("c"))
 
 
-@_query()
+@_query("SELECT i, j, true AS whole, true AS inside FROM range(20) a(i), range(30) b(j)")
 def random_matrix(spark, sf_dir):
-    return matrix.random_matrix(spark, 9, 20, 30, 7)
+    m = matrix.random_matrix(spark, 9, 20, 30, 7)
+    return m.select("i", "j", (F.col("v") == F.floor("v")).alias("whole"), F.col("v").between(1, 9).alias("inside"))
 

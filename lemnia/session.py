@@ -11,9 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .functions.registry import BUILTIN
+from .plans.antiderive import integral
 from .plans.calculus import differentiate
 from .plans.lexer import SyntaxProblem
-from .plans.lower import Lowering
+from .plans.lower import SYMBOLIC, Lowering
 from .plans.parser import parse, split_statements
 from .plans.simplify import simplify
 from .plans.tree import Call, Fn, Mat, Node, Num, Text, Var, rewrite, substitute, variables
@@ -90,6 +91,8 @@ class Session:
                     return self.apply(self.functions[x.name], x.args)
                 if x.name == "diff" and len(x.args) in (1, 2, 3):
                     return self._diff(x)
+                if x.name == "intg" and len(x.args) == 1 and isinstance(x.args[0], Fn):
+                    return self.antiderivative(x.args[0])
             return x
 
         def named(x: Node) -> Node:
@@ -118,6 +121,8 @@ class Session:
                 self.functions[name] = self.derivative(f, int(x.args[2].value))
                 return self.functions[name]
         n = int(x.args[-1].value) if len(x.args) > 1 else 1
+        if len(x.args) == 3 and n > SYMBOLIC:
+            return Call("autodiff", (f, x.args[1], Num(float(n))))
         d = self.derivative(f, n)
         return self.apply(d, (x.args[1],)) if len(x.args) == 3 else d
 
@@ -128,6 +133,11 @@ class Session:
             body = simplify(differentiate(body, param or f.params[0]))
         return Fn(f.params, body)
 
+    def antiderivative(self, f: Fn | str) -> Fn:
+        """A function whose derivative f is, by rules; raises ValueError where none applies."""
+        f = self.functions[f] if isinstance(f, str) else f
+        return Fn(f.params, integral(f.body, f.params[0]))
+
     # -- compilation ------------------------------------------------------
     def plan(self, text: str, columns: Iterable[str] = ()) -> Node:
         """Assignments run first; exactly one value statement is kept, none or several give 0."""
