@@ -27,12 +27,12 @@ PRIOR, CLIP, RATE, STEPS = 0.15, 7.0, 0.02, 33
 MIXERS = (ORDERS, 3)
 WINDOW, FIRST = 256, 3.0
 #: Steps of a log probability as it is stored, per nat; rounded down, so that probabilities sum to at most 1.
-FINE = 512
+FINE = 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def text_grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the ORDERS bytes before and each byte itself, packed, for all texts with their ends; offsets of the texts in them)."""
+    """(for each byte of all texts with their ends, the ORDERS bytes before, nearest first, and the byte itself, packed; offsets of the texts in them)."""
     n = len(off) - 1
     wide = np.zeros(len(buf) + n * (ORDERS + 1), np.uint8)
     row = np.repeat(np.arange(n), np.diff(off))
@@ -40,28 +40,38 @@ def text_grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = off + np.arange(n + 1)
     pick = np.arange(at[-1]) + np.repeat(np.arange(n), np.diff(at)) * ORDERS
     g = np.zeros(len(pick), np.uint64)
-    for j in range(ORDERS + 1):
+    for j in (*range(ORDERS - 1, -1, -1), ORDERS):
         g = (g << np.uint64(8)) | wide[pick + j]
     return g, at
 
 
-def nodes(grams: np.ndarray, order: int):
-    """For the 8 bits of each gram's byte: (hash of the order's context and the bits so far, bit)."""
+def shortened(grams: np.ndarray, order: int) -> np.ndarray:
+    """The nearest ``order`` bytes and the byte itself, packed."""
+    return (grams >> np.uint64(8 * (ORDERS + 1 - order)) << np.uint64(8)) | (grams & np.uint64(255))
+
+
+def nodes(short: np.ndarray, order: int):
+    """For the 8 bits of each byte, from shortened grams: (hash of the order's context and the bits so far, bit)."""
     with np.errstate(over="ignore"):
-        ctx = (grams >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
-        base = mix(ctx * _STEP + np.uint64(order))
-        byte = (grams & np.uint64(255)).astype(np.int64)
+        base = mix((short >> np.uint64(8)) * _STEP + np.uint64(order))
+        byte = (short & np.uint64(255)).astype(np.int64)
         for k in range(8):
             node = ((byte | 256) >> (8 - k)).astype(np.uint64)  # the bits so far, after a leading 1
             yield mix(base + node * np.uint64(0xC2B2AE3D27D4EB4F)), (byte >> (7 - k)) & 1
 
 
-def count_table(grams: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
-    """(2, slots) zeros and ones of ascending distinct grams, with at least sixteen slots for each context and bits so far."""
-    distinct = sum(1 + np.count_nonzero(np.diff(grams >> np.uint64(8 - k))) for k in range(8))
+def counted(grams: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shortened grams, their counts)."""
+    g, inverse = np.unique(shortened(grams, order), return_inverse=True)
+    return g, np.bincount(inverse, weights=counts, minlength=len(g))
+
+
+def count_table(short: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
+    """(2, slots) zeros and ones of distinct shortened grams, with at least sixteen slots for each context and bits so far."""
+    distinct = sum(1 + np.count_nonzero(np.diff(short >> np.uint64(8 - k))) for k in range(8))
     bits = max(12, int(16 * distinct).bit_length())
     out = np.zeros((2, 1 << bits), np.float32)
-    for h, bit in nodes(grams, order):
+    for h, bit in nodes(short, order):
         s = (h >> np.uint64(64 - bits)).astype(np.int64)
         for b in (0, 1):
             got = bit == b
@@ -69,15 +79,9 @@ def count_table(grams: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray
     return out
 
 
-def suffixes(grams: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct last order + 1 bytes, their counts)."""
-    g, inverse = np.unique(grams & np.uint64((1 << (8 * (order + 1))) - 1), return_inverse=True)
-    return g, np.bincount(inverse, weights=counts, minlength=len(g))
-
-
 def tables_of(grams: np.ndarray, counts: np.ndarray, orders) -> list[np.ndarray]:
     """A table for each of the orders, from distinct grams."""
-    return [count_table(*suffixes(grams, counts, k), k) for k in orders]
+    return [count_table(*counted(grams, counts, k), k) for k in orders]
 
 
 class Model:
@@ -93,7 +97,7 @@ class Model:
 
     def inputs(self, grams: np.ndarray, without: bool):
         """For each bit: (number, inputs, gate, the bit); without: each gram's own count is left out."""
-        its = [nodes(grams, k + 1) for k in range(ORDERS)]
+        its = [nodes(shortened(grams, k), k) for k in range(1, ORDERS + 1)]
         for number in range(8):
             x = np.ones((len(grams), ORDERS + 1), np.float32)
             known = np.zeros(len(grams), np.int64)

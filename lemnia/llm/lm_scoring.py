@@ -17,14 +17,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .context_mixing import GATES, MIXERS, ORDERS, SHARED, STEPS, Model, follow, stored, suffixes, tables_of, text_grams
+from .context_mixing import GATES, MIXERS, ORDERS, SHARED, STEPS, Model, counted, follow, stored, tables_of, text_grams
 from .store import Tables
-from .textcore import BLOCK_BYTES, Words, blocks, mix
+from .textcore import Words, blocks, mix
 
 #: The hash of the end token; no word has it but by chance.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Bytes of text per bucket, about, and the bounds of their number: a bucket has whole contexts of order 3, so more would not split them.
 BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 4 << 20, 16, 4096
+#: Bytes of text of a chunk, about: the larger, the fewer distinct grams a byte are asked for.
+CHUNK_BYTES = 2 << 20
 #: Chunks whose questions to a bucket one task answers.
 GROUP_CHUNKS = 16384
 #: The greatest count that is stored.
@@ -32,6 +34,7 @@ MOST = (1 << 32) - 1
 WORD, GRAM = 1, 2
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+_TYPES = {k: {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[t] for k, t in map(str.split, SCHEMA.split(", "))}
 _PASS = "kind int, bucket int, chunk long, ids array<long>, held array<boolean>, body binary, keys binary, counts binary"
 
 
@@ -62,6 +65,16 @@ def _ints(b: bytes) -> np.ndarray:
     return np.frombuffer(_unzip(b), "<u4")
 
 
+def _zip_answer(x: np.ndarray) -> bytes:
+    """(planes, n) whole numbers as compressed byte planes."""
+    return _zip(np.ascontiguousarray(x.view(np.uint8).reshape(*x.shape, x.dtype.itemsize).transpose(0, 2, 1)).tobytes())
+
+
+def _unzip_answer(b: bytes, dtype: str, planes: int) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(_unzip(b), np.uint8).reshape(planes, size, -1).transpose(0, 2, 1)).view(dtype)[..., 0]
+
+
 def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the lowered words, each text's end after them; offsets of the texts)."""
     w = Words(buf, off, lower=True)
@@ -76,8 +89,8 @@ def _bucket_of_words(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _bucket_of_grams(g: np.ndarray, buckets: int) -> np.ndarray:
-    """Grams with the same last SHARED + 1 context bytes meet, and so all contexts of higher orders."""
-    return ((mix((g >> np.uint64(8)) & np.uint64((1 << 8 * (SHARED + 1)) - 1)) >> np.uint64(32)).astype(np.int64) * buckets) >> 32
+    """Grams with the same nearest SHARED + 1 bytes of context meet, and so all contexts of higher orders."""
+    return ((mix(g >> np.uint64(8 * (ORDERS - SHARED))) >> np.uint64(32)).astype(np.int64) * buckets) >> 32
 
 
 def _questions(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, kind: int, chunk: int) -> list[tuple]:
@@ -91,7 +104,7 @@ def _gather(buckets: int):
     def run(batches):
         # a block's name is its task's partition and its number there, as equal blocks are different chunks
         partition = TaskContext.get().partitionId()
-        for number, (c, buf, off) in enumerate(x for batch in batches for x in blocks(batch)):
+        for number, (c, buf, off) in enumerate(x for batch in batches for x in blocks(batch, size=CHUNK_BYTES)):
             held = c.column("held").fill_null(False).to_numpy(zero_copy_only=False)
             chunk = partition << 32 | number
             rows = [(0, None, chunk, c.column("id").to_pylist(), c.column("held").to_pylist(), _zip(buf.tobytes()), _small(np.diff(off)), None)]
@@ -139,7 +152,7 @@ def _answers(asked: DataFrame, values: DataFrame, groups: int, dtype: str, plane
         if questions.num_rows:
             keys = _unpacked(known.column("keys")[0].as_py())
             x = np.frombuffer(_unzip(known.column("values")[0].as_py()), dtype).reshape(planes, -1)
-            out = [_zip(x[:, np.searchsorted(keys, _unpacked(q))].tobytes()) for q in questions.column("keys").to_pylist()]
+            out = [_zip_answer(np.ascontiguousarray(x[:, np.searchsorted(keys, _unpacked(q))])) for q in questions.column("keys").to_pylist()]
         return pa.table({"chunk": questions.column("chunk"), "kind": questions.column("kind"), "bucket": questions.column("bucket"), "values": pa.array(out, pa.binary())})
 
     by = ["bucket", "part"]
@@ -158,7 +171,7 @@ def _word_values(batches):
 def _low_counts(batches):
     for batch in batches:
         for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            g, c = suffixes(_unpacked(keys), _ints(counts), SHARED)
+            g, c = counted(_unpacked(keys), _ints(counts), SHARED)
             yield pa.RecordBatch.from_arrays([pa.array(g[c > 0].astype(np.int32)), pa.array(c[c > 0].astype(np.int64))], ["g", "c"])
 
 
@@ -188,7 +201,9 @@ def fit(grams: DataFrame):
     The driver gets counts of at most 2**24 grams of order SHARED, and sums of a fixed length.
     """
     low = grams.mapInArrow(_low_counts, "g int, c long").groupBy("g").agg(F.sum("c").alias("c")).toPandas()
-    shared = grams.sparkSession.sparkContext.broadcast(tables_of(low["g"].to_numpy().astype(np.uint64), low["c"].to_numpy().astype(float), range(1, SHARED + 1)))
+    g, c = low["g"].to_numpy().astype(np.uint64), low["c"].to_numpy().astype(float)
+    g = (g >> np.uint64(8) << np.uint64(8 * (ORDERS + 1 - SHARED))) | (g & np.uint64(255))
+    shared = grams.sparkSession.sparkContext.broadcast(tables_of(g, c, range(1, SHARED + 1)))
     # sums of a fixed length, one a bucket, met pairwise before the driver
     total = lambda df, n: df.select("n", F.posexplode("x").alias("i", "v")).groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("v").alias("sum")).orderBy("i").limit(n).collect()
 
@@ -222,10 +237,10 @@ def _gram_values(shared, weights, refine):
     return run
 
 
-def _told(keys: np.ndarray, bucket: np.ndarray, found: list[dict], kind: int, dtype: str, planes: int) -> np.ndarray:
+def _told(keys: np.ndarray, bucket: np.ndarray, told: pa.Table, kind: int, dtype: str, planes: int) -> np.ndarray:
     """(planes, keys) answers in the order of the ascending keys."""
-    mine = sorted((x for x in found if x["kind"] == kind), key=lambda x: x["bucket"])
-    parts = [np.frombuffer(_unzip(x["values"]), dtype).reshape(planes, -1) for x in mine]
+    mine = sorted((b, k) for k, (x, b) in enumerate(zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), strict=True)) if x == kind)
+    parts = [_unzip_answer(told.column("values")[k].as_py(), dtype, planes) for _, k in mine]
     out = np.empty((planes, len(keys)), dtype)
     out[:, np.argsort(bucket, kind="stable")] = np.concatenate(parts, axis=1)
     return out
@@ -234,26 +249,23 @@ def _told(keys: np.ndarray, bucket: np.ndarray, found: list[dict], kind: int, dt
 def _score(buckets: int, n_train: int, n_known: int):
     scale = n_train + 0.1 * (n_known + 1)
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):  # one chunk at a time
-                row = batch.slice(k, 1).to_pylist()[0]
-                buf = np.frombuffer(_unzip(row["body"]), np.uint8)
-                off = np.concatenate([[0], np.cumsum(_ints(row["keys"]).astype(np.int64))])
-                tok, at = _tokens(buf, off)
-                words, inverse = np.unique(tok, return_inverse=True)
-                c = _told(words, _bucket_of_words(words, buckets), row["found"], WORD, "<u4", 1)[0].astype(np.int64)[inverse]
-                base = np.add.reduceat(np.log10((c + 0.1) / scale), at[:-1])
-                known = np.add.reduceat((c > 0).astype(np.int64), at[:-1])
-                g, ends = text_grams(buf, off)
-                g, inverse = np.unique(g, return_inverse=True)
-                steps = _told(g, _bucket_of_grams(g, buckets), row["found"], GRAM, "<u2", len(MIXERS))
-                score = np.add.reduceat(follow(steps[:, inverse], ends), ends[:-1]) / np.log(10)
-                n = len(off) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.diff(at)), pa.array(known), pa.array(np.full(n, n_train)), pa.array(base), pa.array(score), pa.array(-score * np.log2(10) / np.diff(ends))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
-                )
+    def run(text: pa.Table, told: pa.Table) -> pa.Table:
+        if not text.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in _TYPES.items()})
+        row = text.to_pylist()[0]
+        buf = np.frombuffer(_unzip(row["body"]), np.uint8)
+        off = np.concatenate([[0], np.cumsum(_ints(row["keys"]).astype(np.int64))])
+        tok, at = _tokens(buf, off)
+        words, inverse = np.unique(tok, return_inverse=True)
+        c = _told(words, _bucket_of_words(words, buckets), told, WORD, "<u4", 1)[0].astype(np.int64)[inverse]
+        base = np.add.reduceat(np.log10((c + 0.1) / scale), at[:-1])
+        known = np.add.reduceat((c > 0).astype(np.int64), at[:-1])
+        g, ends = text_grams(buf, off)
+        g, inverse = np.unique(g, return_inverse=True)
+        steps = _told(g, _bucket_of_grams(g, buckets), told, GRAM, "<u2", len(MIXERS))
+        score = np.add.reduceat(follow(steps[:, inverse], ends), ends[:-1]) / np.log(10)
+        cols = [row["ids"], row["held"], np.diff(at), known, np.full(len(off) - 1, n_train), base, score, -score * np.log2(10) / np.diff(ends)]
+        return pa.table({k: pa.array(x, t) for (k, t), x in zip(_TYPES.items(), cols, strict=True)})
 
     return run
 
@@ -272,16 +284,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     n_bytes = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, n_bytes // BUCKET_BYTES))
-    groups = 1 + n_bytes // BLOCK_BYTES // GROUP_CHUNKS
+    groups = 1 + n_bytes // CHUNK_BYTES // GROUP_CHUNKS
     picked = picked.withColumn("held", F.crc32(F.col("id").cast("string")) % 10 == 0)
-    gathered = tables.write(picked.mapInArrow(_gather(buckets), _PASS), "gathered")
+    gathered = tables.write(picked.mapInArrow(_gather(buckets), _PASS), "gathered", "kind")
     asked = gathered.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
     words = tables.write(_totals(asked.where(F.col("kind") == WORD), groups), "words")
     sums = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
     word_values = words.mapInArrow(_word_values, "bucket int, keys binary, values binary")
     grams = tables.write(_totals(asked.where(F.col("kind") == GRAM), groups), "grams")
     gram_values = tables.write(grams.mapInArrow(_gram_values(*fit(grams)), "bucket int, keys binary, values binary"), "values")
-    told = _answers(asked.where(F.col("kind") == WORD), word_values, groups, "<u4", 1).unionByName(_answers(asked.where(F.col("kind") == GRAM), gram_values, groups, "<u2", len(MIXERS)))
-    found = tables.write(told, "told").groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "values")).alias("found"))
+    told = tables.write(_answers(asked.where(F.col("kind") == WORD), word_values, groups, "<u4", 1), "told_words")
+    tables.drop(f"gathered/kind={WORD}", "words")
+    told = told.unionByName(tables.write(_answers(asked.where(F.col("kind") == GRAM), gram_values, groups, "<u2", len(MIXERS)), "told_grams"))
+    tables.drop(f"gathered/kind={GRAM}", "grams", "values")
     texts = gathered.where("kind = 0").select("chunk", "ids", "held", "body", "keys")
-    return texts.join(found, "chunk").mapInArrow(_score(buckets, int(sums["n"]), int(sums["v"])), SCHEMA)
+    return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(buckets, int(sums["n"]), int(sums["v"])), SCHEMA)

@@ -39,12 +39,13 @@ class Tables:
         self.spark = spark
         self.root = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """The table, read back; with ``by``, in a folder f"{name}/{by}={value}" for each value, which can be dropped alone."""
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(self.CLEANUP, "false")
         self.spark.conf.set(self.CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
         finally:
             self.spark.conf.set(self.CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -81,12 +81,12 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def blocks(batch: pa.RecordBatch, text: str = "text"):
-    """(slice of the batch, bytes, offsets), of at most BLOCK_BYTES or one row."""
+def blocks(batch: pa.RecordBatch, text: str = "text", size: int = BLOCK_BYTES):
+    """(slice of the batch, bytes, offsets), of at most ``size`` bytes or one row."""
     buf, off = buffers(batch.column(text))
     at, n = 0, batch.num_rows
     while at < n:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + BLOCK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
         yield batch.slice(at, to - at), buf[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to
 

@@ -136,7 +136,7 @@ def plain_log_prob(count, bits, weights, refine, context, byte):
             prefix, bit = (byte | 256) >> (8 - number), byte >> (7 - number) & 1
             x, known = [], 0
             for k in range(1, ORDERS + 1):
-                s = plain_slot(context[-k:], prefix, bits[k - 1])
+                s = plain_slot(context[:k], prefix, bits[k - 1])
                 zeros, ones = count.get((k, s, 0), 0), count.get((k, s, 1), 0)
                 known += zeros + ones > 0
                 x.append(max(-CLIP, min(CLIP, math.log((ones + PRIOR) / (zeros + PRIOR)))))
@@ -172,7 +172,7 @@ def test_mixing():
         context, byte = x.to_bytes(8, "big")[2:7], x & 255
         for k in range(1, ORDERS + 1):
             for number in range(8):
-                count[k, plain_slot(context[-k:], (byte | 256) >> (8 - number), bits[k - 1]), byte >> (7 - number) & 1] += 1
+                count[k, plain_slot(context[:k], (byte | 256) >> (8 - number), bits[k - 1]), byte >> (7 - number) & 1] += 1
     plain = np.array([plain_log_prob(count, bits, m.weights, m.refine, x.to_bytes(8, "big")[2:7], x & 255) for x in all_grams[:1500].tolist()]).T
     assert m.log_prob(all_grams[:1500]) == pytest.approx(plain, abs=1e-4)
     steps = stored(m.log_prob(all_grams)).astype(int)
@@ -214,7 +214,7 @@ def test_groups_of_questions(spark, monkeypatch):
     docs = [(i, t) for i, t in documents() if i is not None and i != 5]
     score = lambda: {r["doc_id"]: tuple(r)[:7] for r in score_documents(frame(spark, docs)).collect()}
     want = score()
-    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 1 << 12)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 1 << 12)
     monkeypatch.setattr(lm_scoring, "GROUP_CHUNKS", 2)
     got = score()
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
