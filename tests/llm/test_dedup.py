@@ -143,6 +143,27 @@ def test_ngram_join(spark, monkeypatch):
     assert rows() == want, "dense clusters in small blocks"
 
 
+def test_ngram_followers(spark, monkeypatch):
+    """Texts with one shared part and more of their own than lets them be linked to each other, and smaller ones that only some can be linked to."""
+    r = random.Random(11)
+    docs, i = [], 0
+    for base in (words(r, 40).split(), words(r, 64).split()):
+        own = lambda k: [f"own{r.random()}" for _ in range(k)]
+        for k in (7, 8, 8, 9, 9, 10, 10, 11, 11, 12, 13, 1, 2):
+            docs.append((i := i + 1, " ".join(base + own(k))))
+        for cut in range(1, 8):
+            docs.append((i := i + 1, " ".join(base[: len(base) - cut])))
+            docs.append((i := i + 1, " ".join(base[cut:] + own(2))))
+    r.shuffle(docs)
+    want = linked(docs)
+    rows = lambda: sorted((tuple(x) for x in ngram_join.join_near_duplicates(frame(spark, docs)).collect()), key=repr)
+    assert rows() == want
+    assert len({c for _, _, c in want}) == 4, "some of the larger ones are linked to a smaller text, some to nothing"
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 8)
+    assert rows() == want
+
+
 def test_ngram_edges(spark):
     assert ngram_join.join_near_duplicates(empty(spark)).count() == 0
     rows = ngram_join.join_near_duplicates(frame(spark, [(1, None), (2, ""), (3, " "), (None, None)])).collect()
