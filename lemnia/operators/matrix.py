@@ -173,43 +173,77 @@ UNARY = {"invert": np.linalg.inv, "transpose": np.transpose, "tri_mat": triangul
 BINARY = {"matrix_add": np.add, "matrix_sub": np.subtract, "matrix_mul": np.matmul, "matrix_div": lambda a, b: a @ np.linalg.inv(b)}
 
 
-def _unpack(row) -> np.ndarray:
-    return np.asarray(row["data"], float).reshape(row["rows"], row["cols"])
-
-
-def _pack(m: np.ndarray) -> tuple:
-    return m.shape[0], m.shape[1], m.ravel().tolist()
-
-
-def _safe(f, *ms):
-    try:
-        return _pack(f(*ms))
-    except (np.linalg.LinAlgError, ValueError):
-        return 0, 0, []
+def _stacked_eigenvalues(m: np.ndarray) -> np.ndarray:
+    e = np.linalg.eigvals(m)
+    order = np.lexsort((e.imag, e.real), axis=-1)
+    e = np.take_along_axis(e, order, -1)
+    return np.stack([e.real, e.imag], -1)
+
+
+#: Functions of whole stacks (rows of a batch, rows, columns); the others go matrix by matrix.
+STACKED = {
+    "invert": np.linalg.inv, "transpose": lambda m: np.swapaxes(m, 1, 2), "eigvalues": _stacked_eigenvalues, "linear_sys": lambda m: np.linalg.solve(m[:, :, :-1], m[:, :, -1:]),
+    "matrix_add": np.add, "matrix_sub": np.subtract, "matrix_mul": np.matmul, "matrix_div": lambda a, b: a @ np.linalg.inv(b),
+}
+
+
+def _stacks(frames: list[pd.DataFrame]):
+    """(positions, stacks) of the rows whose matrices have the same shapes."""
+    shapes = pd.concat([f[["rows", "cols"]].set_axis([f"r{k}", f"c{k}"], axis=1).reset_index(drop=True) for k, f in enumerate(frames)], axis=1)
+    for shape, at in shapes.groupby(list(shapes.columns)).indices.items():
+        yield at, [np.stack(f["data"].iloc[at].to_list()).astype(float).reshape(len(at), *shape[2 * k : 2 * k + 2]) for k, f in enumerate(frames)]
+
+
+def _computed(name: str, op, frames: list[pd.DataFrame], empty):
+    """The results in the order of the rows; ``empty`` where a matrix is singular or ill-shaped."""
+    out: list = [empty] * len(frames[0])
+    for at, stacks in _stacks(frames):
+        whole = STACKED.get(name)
+        if whole:
+            try:
+                for k, m in zip(at, whole(*stacks), strict=True):
+                    out[k] = m
+                continue
+            except (np.linalg.LinAlgError, ValueError):
+                pass  # at least one has no result: each by itself
+        for i, k in enumerate(at):
+            try:
+                out[k] = op(*(s[i] for s in stacks))
+            except (np.linalg.LinAlgError, ValueError):
+                out[k] = empty
+    return out
 
 
 def apply(name: str, *matrices: Column, exponent: int | None = None) -> Column:
     """A struct function by name; singular or ill-shaped inputs give an empty matrix."""
-    if name == "matrix_pow":
-        op = lambda m: np.linalg.matrix_power(m, int(exponent))
-    else:
-        op = UNARY.get(name) or BINARY[name]
+    op = (lambda m: np.linalg.matrix_power(m, int(exponent))) if name == "matrix_pow" else UNARY.get(name) or BINARY[name]
+    none = np.zeros((0, 0))
+
+    def packed(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        got = _computed(name, op, frames, none)
+        return pd.DataFrame({"rows": [m.shape[0] for m in got], "cols": [m.shape[1] for m in got], "data": [m.ravel() for m in got]})
 
     @F.pandas_udf(TYPE)
     def one(a: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([_safe(op, _unpack(r)) for r in a.to_dict("records")], columns=["rows", "cols", "data"])
+        return packed([a])
 
     @F.pandas_udf(TYPE)
     def two(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([_safe(op, _unpack(x), _unpack(y)) for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)], columns=["rows", "cols", "data"])
+        return packed([a, b])
 
     return one(*matrices) if len(matrices) == 1 else two(*matrices)
 
 
 def determinant(m: Column) -> Column:
+    """Null for what is not square."""
+
     @F.pandas_udf("double")
     def det(a: pd.DataFrame) -> pd.Series:
-        return pd.Series([float(np.linalg.det(_unpack(r))) for r in a.to_dict("records")])
+        out = np.full(len(a), np.nan)
+        for at, (stack,) in _stacks([a]):
+            if stack.shape[1] == stack.shape[2]:
+                out[at] = np.linalg.det(stack)
+        return pd.Series(out)
 
     return det(m)
 
@@ -220,24 +254,29 @@ def characteristic(m: Column) -> Column:
     @F.pandas_udf("string")
     def poly(a: pd.DataFrame) -> pd.Series:
         show = lambda c: "".join(f"{'+' if v >= 0 else ''}{v:.12g}*n^{len(c) - 1 - k}" for k, v in enumerate(c) if abs(v) > 1e-12).lstrip("+")
-        return pd.Series([show(np.poly(_unpack(r))) for r in a.to_dict("records")])
+        return pd.Series([show(np.poly(np.asarray(d, float).reshape(r, c))) for r, c, d in zip(a["rows"], a["cols"], a["data"], strict=True)])
 
     return poly(m)
 
 
 def parse_system(text: str) -> list[list[float]]:
-    """'2x+3y=5; x-y=1' as an augmented matrix, unknowns in the order of their names."""
-    import re
-
-    rows = []
+    """'2x+3*(y-1)=5; x-y=1' as an augmented matrix, unknowns in the order of their names; each side is linear in them."""
+    from ..plans.antiderive import polynomial
+    from ..plans.numeric import evaluate
+    from ..plans.simplify import simplify
+    from ..plans.tree import Num, call, substitute, variables
+    from ..session import Session
+
+    s, rows = Session(), []
     for eq in filter(None, (e.strip() for e in text.split(";"))):
-        sides = eq.replace(" ", "").split("=")
-        terms: dict[str, float] = {}
-        for side, sign in zip(sides, (1, -1), strict=True):
-            for m in re.finditer(r"([+-]?)(\d+\.?\d*)?\*?([A-Za-z]\w*)?", side):
-                if m[2] or m[3]:
-                    v = float(m[2] or 1) * (-1 if m[1] == "-" else 1) * sign
-                    terms[m[3] or ""] = terms.get(m[3] or "", 0) + v
-        rows.append(terms)
-    names = sorted({n for r in rows for n in r if n})
-    return [[r.get(n, 0.0) for n in names] + [-r.get("", 0.0)] for r in rows]
+        left, right = eq.split("=")
+        node = simplify(call("-", s.bind(s.parse(left)), s.bind(s.parse(right))))
+        terms = {}
+        for name in variables(node):
+            p = polynomial(node, name)
+            if p is None or len(p) > 2 or any(variables(c) for c in p[1:]):
+                raise ValueError(f"{eq!r} is not linear in {name}")
+            terms[name] = float(evaluate(p[1], {})) if len(p) > 1 else 0.0
+        rows.append((terms, float(evaluate(simplify(substitute(node, {n: Num(0.0) for n in terms})), {}))))
+    names = sorted({n for terms, _ in rows for n in terms})
+    return [[terms.get(n, 0.0) for n in names] + [0.0 - rest] for terms, rest in rows]

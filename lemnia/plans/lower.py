@@ -247,11 +247,12 @@ class Lowering:
             return F.get(found, F.lit(0))
 
         def checked(x: Column, otherwise: Column) -> Column:
-            return G.let(x, lambda r: F.when(F.coalesce((F.abs(r) < 1e300) & (F.abs(at(r)) <= 1e-6 * (1 + F.abs(r))), F.lit(False)), r).otherwise(otherwise))
+            return G.let(x, lambda r: F.when(F.coalesce((F.abs(r) < 1e300) & ((at(r) == 0) | (F.abs(G.divide(at(r), self._at(slope, **{p: r}))) <= 1e-9 * (1 + F.abs(r)))), F.lit(False)), r).otherwise(otherwise))
 
         pair = F.struct(first.alias("a"), second.alias("b"))
-        bisected = G.let(bracket(), lambda q: F.aggregate(F.sequence(F.lit(1), F.lit(200)), q, halve)["a"])
-        last = checked(bisected, F.lit(math.nan))
+        # a change of sign is no pole where the function is small at its end
+        small = lambda q, r: F.abs(at(r)) <= 1e-3 * F.greatest(F.abs(at(q["a"])), F.abs(at(q["b"])))
+        last = G.let(bracket(), lambda q: G.let(F.aggregate(F.sequence(F.lit(1), F.lit(200)), q, halve)["a"], lambda r: F.when(F.coalesce(small(q, r), F.lit(False)), r).otherwise(F.lit(math.nan))))
         return checked(F.aggregate(count, first, step), checked(F.aggregate(count, pair, chord)["b"], last))
 
     def _ode(self, name: str, args: tuple):

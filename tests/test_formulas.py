@@ -11,6 +11,7 @@ from lemnia.plans.lexer import SyntaxProblem
 from lemnia.plans.logical import compile_logical, split_logical
 from lemnia.session import Session
 
+#: Formulas and their known values.
 GOLDEN = {
     "2^3": 8, "8^(1/3)": 2, "8^(1/2)": 2.8284271247461903, "r1=4;r1*5": 20, "44+22*(3)": 110, "f(x,y) = x-x/y; f(2,3);f(2,5);": 0, "-2^2": 4, "-x^2": -4, "2sin(3)": 2 * math.sin(3), "3(x)": 6, "x(y)": 10, "2^-x": 0.25, "y/-x": -2.5,
     "avgN(0,1,2,3)": 2, "((avgN((0,  (1)+((1+1)),((2)),((3+2))))))": 10 / 3, "avg(1,3,1)": 5 / 3, "geom(1,3,1)": 3 ** (1 / 3), "gsum(1,1,2,3)": 6, "count(1,1,2,3,3)": 5, "med(0,5,4)": 4, "med(3,1,2)": 2, "prod(1+1,2+2)": 8,
@@ -39,6 +40,7 @@ def test_angles(one):
     assert got == pytest.approx((0.01745240643728351, 0.8414709848078965, 0.015707317311820675))
 
 
+#: Logical formulas and their known values.
 LOGIC = {"1<2  && 1<=0": False, "1+1 < (2+0)*1 impl   false": True, "[1+1 < (2+0)*1 impl  false ]  eq  false": False, "![![ true && false ]]": False, "r=3;r<r+1": True, "1 lt 2 and x ge 2": True, "x": True, "x-2": False}
 
 
@@ -96,3 +98,82 @@ def test_streams(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(r["y"] for r in spark.table("lemnia_stream").collect()) == [5, 10, 17]
+
+
+#: Formulas of matrices and their known values, by rows.
+MATRICES = {
+    "invert(M)": [-0.07936507936507937], "tri_mat(M)": [1, 4 / 3, 1 / 3, 0, 1, 4.75, 0, 0, 1], "echelon(M)": [3, 4, 1, 0, 4, 19, 0, 0, 567], "matrix_sub(M,N)": [-1, 3, -7, 0, 3, 4, 4, 0, -11], "sub_mat(A,1,1)": [8], "matrix_minor(A,1,1)": [3], "M*N": [25, 8, 45],
+    "M^2-M*M": [0] * 9, "M*invert(M)": [1, 0, 0, 0, 1, 0, 0, 0, 1], "linear_sys(2,3,5,1,-1,1)": [1.6, 0.6], "M/M": [1, 0, 0, 0, 1], "2*M/4": [1.5, 2], "transpose(M)": [3, 2, 9], "matrix_edit(M,0,1,x)": [3, 2, 1], "M^-1*M": [1, 0, 0], "@(2,2)(x,1,1,1)^2": [5, 3, 3, 2], "matrix_pow(M,0)": [1, 0, 0, 0, 1],
+}
+
+
+def test_matrices_in_formulas(one):
+    def session():
+        s = Session()
+        s.define("M=@(3,3)(3,4,1,2,4,7,9,1,-2);N=@(3,3)(4,1,8,2,1,3,5,1,9);A=@(4,4)(3,1,2,5,9,8,3,6,12,1,0,5,3,7,5,9)")
+        return s
+
+    got = one.select(*(session().compile(k, ["x", "y"]).alias(f"c{i}") for i, k in enumerate(MATRICES)), session().compile("det(M)", []), session().compile("sum(M)", [])).first()
+    for (text, want), value in zip(MATRICES.items(), got, strict=False):
+        assert value[: len(want)] == pytest.approx(want, abs=1e-9), text
+    assert got[-2:] == pytest.approx((189, 29))
+    for bad in ("M+@(1,2)(1,2)", "M*@(1,2)(1,2)", "det(@(1,3)(1,2,3))", "M+1"):
+        with pytest.raises(SyntaxProblem):
+            session().compile(bad, [])
+
+
+def test_roots(one):
+    known = {"root(@(t)t^3-2*t+2,0)": -1.7692923542386314, "root(@(x)atan(x),3)": 0, "root(@(x)x^3-2,0,2)": 2 ** (1 / 3), "root(@(x)x^2+1,1)": math.nan, "root(@(z)cbrt(z-x),9)": 2}
+    got = one.select(*(Session().compile(k, ["x"]).alias(f"c{i}") for i, k in enumerate(known))).first()
+    for (text, want), value in zip(known.items(), got, strict=True):
+        assert (math.isnan(value) and math.isnan(want)) or value == pytest.approx(want, abs=1e-6), text
+
+
+def test_rounding_of_all_doubles(one):
+    known = {"roundN(2,1e20)": 1e20, "roundDigitsN(3,1e20)": 1e20, "length(1e20)": 21, "roundDigitsN(8,1.23456789012345e-7)": 1.2345679e-07, "roundN(2,-1.005)": -1.01, "ceilN(-30,1.5)": 1e30, "roundN(3,5e-324)": 0, "roundN(1,1/0)": math.inf, "roundN(-400,1.5)": 0, "roundN(400,1.5)": 1.5, "roundDigitsN(2,0)": 0, "floorN(-2,-1)": -100, "length(0)": 0, "roundX(1,0.4449999)": 0.5}
+    got = one.select(*(Session().compile(k, []).alias(f"c{i}") for i, k in enumerate(known))).first()
+    assert dict(zip(known, got, strict=True)) == known
+
+
+def test_equations_in_formulas(one):
+    known = {"diffeqnHO(y[2] + y[0], 0, @(1,2)(1,0), 3)": math.cos(3), "diffeqn(y[1]+2*y[0], 3, 1.5, 3, 0.01, rk4)": 1.5, "diffeqn(y[1]-(-2*y[0]), 0, 1, 5, 0.01, rk4)": math.exp(-10), "diffeqn(y[1]+2*y[0],0,1,1,0.001,bdf2)": math.exp(-2)}
+    paths = {"diffeqnPath(y[1]+2*y[0], 0, 1, 1, 0.1, rk4)": (11, 2), "diffeqnPathHO(y[2]+y[0], 0, @(1,2)(1,0), 3, 0.1, rk4, state)": (31, 3), "diffeqnPathHO(y[2]+y[0], 0, @(1,2)(1,0), 3, 0.1, implicit_euler, 7)": (7, 2), 'diffeqnPath(@(2)("y[2]-y[1]","y[2]+y[0]"),0,@(1,2)(1,0),1,0.1,rk45)': (11, 3)}
+    got = one.select(*(Session().compile(k, ["x"]).alias(f"c{i}") for i, k in enumerate([*known, *paths]))).first()
+    assert list(got[: len(known)]) == pytest.approx(list(known.values()), rel=1e-5)
+    assert [(len(p), len(p[0])) for p in got[len(known) :]] == list(paths.values())
+    for bad in ("diffeqn(y[1],0,1)", "diffeqn(y[1],0,1,1,0.1,rk9)"):
+        with pytest.raises(SyntaxProblem):
+            Session().compile(bad, [])
+
+
+def test_numbers_in_other_bases(spark):
+    from lemnia.functions import numbers as N
+
+    df = spark.createDataFrame([(255.5, "FF.8"), (-10.0, "-1010"), (0.0, "12G"), (7.25, "")], "x double, t string")
+    rows = df.select(N.to_base(F.col("x"), 16, 1).alias("a"), N.from_base(F.col("t"), 16).alias("b"), N.is_prime(F.abs("x").cast("bigint")).alias("p"), N.fraction(F.col("x")).alias("f")).collect()
+    assert [r["a"] for r in rows] == ["FF.8", "-A.0", "0.0", "7.4"] and [r["b"] for r in rows] == [255.5, -4112, None, None]
+    assert [r["p"] for r in rows] == [False, False, False, True] and [tuple(r["f"]) for r in rows] == [(511, 2), (-10, 1), (0, 1), (29, 4)]
+
+
+def test_stored_sessions_and_windows(spark, tmp_path):
+    from lemnia.sources import load_session, save_session
+
+    s = Session()
+    s.define("f(x)=x^2;M=@(2,2)(1,2,3,4)")
+    save_session(spark, s, str(tmp_path / "s"))
+    assert load_session(spark, str(tmp_path / "s")).dump() == s.dump()
+
+
+def test_windowed_streams(spark, tmp_path):
+    from lemnia.streaming import read, windowed
+
+    src = str(tmp_path / "s")
+    spark.sql("SELECT timestamp_seconds(id * 30) AS ts, id % 2 AS k, double(id) AS x FROM range(8)").write.parquet(src)
+    stats = windowed(read(spark, src, "ts timestamp, k long, x double"), "ts", "1 minute", "10 minutes", ["k"], {"m": ("avg", "x*2"), "n": ("count", "x")})
+    q = stats.writeStream.format("memory").outputMode("complete").queryName("lemnia_windows").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = sorted((r["start"].minute, r["k"], r["m"], r["n"]) for r in spark.table("lemnia_windows").collect())
+    assert rows == [(m, k, 2.0 * (2 * m + k), 1.0) for m in range(4) for k in range(2)]

@@ -18,6 +18,7 @@ def test_reductions():
     assert matrix.triangular(M) == pytest.approx(np.array([[1, 4 / 3, 1 / 3], [0, 1, 4.75], [0, 0, 1]]))
     assert matrix.echelon(M)[:2] == pytest.approx(np.array([[3, 4, 1], [0, 4, 19]]))
     assert matrix.parse_system("2x+3y=5; x-y=1") == [[2, 3, 5], [1, -1, 1]]
+    assert matrix.parse_system("2*(x+3*(y-1))=5+x; 7=y") == [[1, 6, 11], [0, -1, -7]]
     assert matrix.cofactors(M).T / np.linalg.det(M) == pytest.approx(np.linalg.inv(M))
 
 
@@ -71,3 +72,74 @@ def test_kernels(spark):
     soft, norm, q, rope, att = spark.range(1).select(K.softmax(a), K.layer_norm(a, 0.0), K.dequantize(K.quantize(a)), K.rope(a, F.lit(2.0)), K.attention(a, F.array(a, a), F.array(a, a))).first()
     assert soft == pytest.approx(np.exp(x) / np.exp(x).sum()) and norm == pytest.approx((x - x.mean()) / x.std()) and q == pytest.approx(x, abs=4 / 127) and att == pytest.approx(x)
     assert np.linalg.norm(rope) == pytest.approx(np.linalg.norm(x))
+
+
+def test_stacks(spark):
+    """Matrices of several shapes in one batch, singular ones among them."""
+    rows = [(2, 2, [2.0, 0.0, 0.0, 4.0]), (2, 2, [1.0, 2.0, 2.0, 4.0]), (1, 1, [5.0]), (3, 3, [float(x) for x in M.ravel()]), (1, 2, [1.0, 2.0])]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], f"k int, m {matrix.TYPE}").coalesce(1)
+    got = {r["k"]: r for r in df.select("k", matrix.apply("invert", F.col("m")).alias("i"), matrix.determinant(F.col("m")).alias("d"), matrix.apply("matrix_div", F.col("m"), F.col("m")).alias("q")).collect()}
+    assert got[0]["i"]["data"] == [0.5, 0, 0, 0.25] and got[1]["i"]["rows"] == 0 and got[2]["i"]["data"] == [0.2] and got[4]["i"]["rows"] == 0
+    assert got[3]["i"]["data"] == pytest.approx(np.linalg.inv(M).ravel()) and got[3]["d"] == pytest.approx(189) and got[4]["d"] is None
+    assert got[3]["q"]["data"] == pytest.approx(np.eye(3).ravel(), abs=1e-9)
+
+
+def test_eigenpairs(spark):
+    df = spark.createDataFrame([(3, 3, [4.0, 1.0, 0.0, 1.0, 3.0, 1.0, 0.0, 1.0, 2.0])], "rows int, cols int, data array<double>").select(F.struct("*").alias("m"))
+    e, v = df.select(matrix.apply("eigvalues", F.col("m")), matrix.apply("eigvec", F.col("m"))).first()
+    a, v = np.array([[4, 1, 0], [1, 3, 1], [0, 1, 2.0]]), np.array(v["data"]).reshape(3, 3)
+    assert a @ v == pytest.approx(v * np.array(e["data"])[::2])
+
+
+def test_line_rotation(spark):
+    from lemnia.operators.geometry import rotate_line
+
+    point = lambda *p: tuple(F.lit(float(x)) for x in p)
+    got = spark.range(1).select(rotate_line(point(1, 0, 0), point(0, 2, 5), F.lit(math.pi / 2), (0, 0, 0), (0, 0, 1))).first()[0]
+    assert (got["rows"], got["cols"]) == (2, 3) and got["data"] == pytest.approx([0, 1, 0, -2, 0, 5])
+
+
+def test_antiderivatives():
+    from lemnia.plans.antiderive import NoIntegral, expand, integral
+    from lemnia.plans.calculus import differentiate
+    from lemnia.plans.numeric import evaluate
+    from lemnia.session import show
+
+    s = Session()
+    for text in ["x^3-2*x+1", "(2*x+1)^5", "sin(3*x+1)", "x*exp(2*x)", "x^2*cos(x)", "ln(x)", "x*ln(x)", "1/(3*x+2)", "1/(x^2+1)", "1/(x^2-9)", "2*x/(x^2+5)", "x*sin(x^2)", "exp(x)*(exp(x)+1)^3", "5^x", "tan(x)", "sqrt(2*x+1)", "sin(x)*cos(x)", "atan(x)"]:
+        node = s.bind(s.parse(text), ["x"])
+        back = differentiate(integral(node, "x"), "x")
+        for x in (0.3, 0.9, 1.4):
+            assert float(evaluate(back, {"x": x})) == pytest.approx(float(evaluate(node, {"x": x})), rel=1e-7), text
+    with pytest.raises(NoIntegral):
+        integral(s.bind(s.parse("exp(x^2)*ln(x)"), ["x"]), "x")
+    assert show(expand(s.bind(s.parse("(x+2)^3"), ["x"]), "x")).count("x") == 3
+
+
+def test_jets_against_rules(spark):
+    """Jets and repeated symbolic derivatives agree."""
+    s = Session()
+    bodies = ["exp(x)*sin(x)", "x^2.5/(1+x)", "tan(x)+sec(x)", "ln(1+x^2)", "atan(x)*asin(x/3)", "sinh(x)/cosh(2*x)", "sqrt(x)+cbrt(x)", "x^x", "erf(x)", "acosh(x+2)+asinh(x)+atanh(x/4)"]
+    cols = []
+    for b in bodies:
+        f = s.bind(s.parse(f"@(x){b}"))
+        cols += [s.compile(f"autodiff(@(x){b},0.7,4)", []), s.compile(f"h({0.7})", []) if s.functions.update(h=s.derivative(f, 4)) is None else None]
+    got = spark.range(1).select(*(c.alias(f"c{k}") for k, c in enumerate(cols))).first()
+    for k, b in enumerate(bodies):
+        assert got[2 * k] == pytest.approx(got[2 * k + 1], rel=1e-8), b
+
+
+def test_jacobians():
+    from lemnia.operators.ode import _differences, _numeric, jacobian, slopes
+
+    nodes = slopes(["y[0]*y[1]-sin(t)", "y[0]^2-3*y[1]"])
+    t, y = np.array([0.1, 0.5]), np.array([[1.0, 2.0], [0.3, -1.0]])
+    assert jacobian(nodes)(t, y) == pytest.approx(_differences(_numeric(nodes))(t, y), abs=1e-5)
+    assert jacobian(nodes)(t, y)[0] == pytest.approx(np.array([[2, 1], [2, -3]]))
+
+
+def test_degrees_in_equations(spark):
+    one = spark.range(1)
+    s = Session("DEG")
+    y = one.select(F.get(ode.solve("y[1]-cos(t)", F.lit(0.0), [F.lit(0.0)], F.lit(90.0), 1.0, "rk4", s), F.lit(0))).first()[0]
+    assert y == pytest.approx(180 / math.pi, rel=1e-6)
