@@ -7,6 +7,8 @@ precedence; what follows an implication's right side is not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,12 +51,40 @@ def _combine(op: str, a: Column, b: Column) -> Column:
     return ~a | b
 
 
-def compile_logical(text: str, session, columns=None, values=None) -> Column:
-    """A boolean Column; a text without any logical sign is math, true where it is not 0."""
+Member = Callable[[str, object], "Column | None"]
+
+
+@dataclass
+class _Context:
+    session: object
+    columns: object
+    values: object
+    members: tuple[Member, ...]
+    trace: list[tuple[int, str]] | None
+    depth: int = 0
+
+    def note(self, text: str) -> None:
+        if self.trace is not None:
+            self.trace.append((self.depth, text.strip()))
+
+    def inner(self) -> _Context:
+        return replace(self, depth=self.depth + 1)
+
+    def math(self, text: str) -> Column:
+        return self.session.compile(text, self.columns, self.values)
+
+
+def compile_logical(text: str, session, columns=None, values=None, members: Iterable[Member] = (), trace: list[tuple[int, str]] | None = None) -> Column:
+    """A boolean Column; a text without any logical sign is math, true where it is not 0.
+
+    members are asked for each operand first: member(text, session) gives a
+    boolean Column, or None for what it does not know.  A trace list gets (depth, text)
+    of every part in the order in which it is read.
+    """
     *first, last = split_statements(text)
     for s in first:
         session.define(s)
-    return _logical(last, session, columns, values)
+    return _logical(last, _Context(session, columns, values, tuple(members), trace))
 
 
 def _index_brackets(text: str) -> bool:
@@ -62,22 +92,29 @@ def _index_brackets(text: str) -> bool:
     return bool(re.match(r"[^\[]*[A-Za-z_]\[\d+\]", text))
 
 
-def _logical(text: str, session, columns, values) -> Column:
+def _logical(text: str, context: _Context) -> Column:
+    context.note(text)
     operands, connectives = split_logical(text.strip())
-    out = _operand(operands[0], session, columns, values)
+    out = _operand(operands[0], context.inner())
     for op, right in zip(connectives, operands[1:], strict=True):
-        out = _combine(op, out, _operand(right, session, columns, values))
+        out = _combine(op, out, _operand(right, context.inner()))
         if op in ("imp", "impl"):
             break
     return out
 
 
-def _operand(text: str, session, columns, values) -> Column:
+def _operand(text: str, context: _Context) -> Column:
     text = text.strip()
+    for member in context.members:
+        found = member(text, context.session)
+        if found is not None:
+            context.note(text)
+            return found
     if text.startswith("!["):
-        return ~_operand(text[1:], session, columns, values)
+        return ~_operand(text[1:], context)
     if text.startswith("[") and text.endswith("]"):
-        return _logical(text[1:-1], session, columns, values)
+        return _logical(text[1:-1], context)
+    context.note(text)
     if text.lower() in ("true", "false"):
         return F.lit(text.lower() == "true")
     signs = [m for m in _COMPARE.finditer(text)]
@@ -86,7 +123,7 @@ def _operand(text: str, session, columns, values) -> Column:
     if signs:
         m = signs[0]
         op = _WORD.get(m[0].strip(), m[0].strip())
-        a, b = (session.compile(t, columns, values) for t in (text[: m.start()], text[m.end() :]))
+        a, b = (context.math(t) for t in (text[: m.start()], text[m.end() :]))
         return compare(op, a, b, re.fullmatch(r"\s*[\d.]+\s*", text[: m.start()]) is not None, re.fullmatch(r"\s*-?[\d.]+\s*", text[m.end() :]) is not None)
-    c = session.compile(text, columns, values)
+    c = context.math(text)
     return (c != 0) & ~F.isnan(c)

@@ -64,6 +64,10 @@ class Lowering:
         name, args = x.name, x.args
         if name in self.session.registered:
             return self.session.registered[name](*map(self.number, args)), False
+        if name in self.session.text_methods:
+            from ..session import show
+
+            return self.session.text_methods[name](self.session, *map(show, args)), False
         if name in COMPARISONS or name in WORDS:
             a, b = map(self.number, args)
             return G.compare(WORDS.get(name, name), a, b, isinstance(args[0], Num), isinstance(args[1], Num)), True

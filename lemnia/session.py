@@ -37,14 +37,20 @@ class Session:
         self.functions: dict[str, Fn] = {}
         self.matrices: dict[str, Mat] = {}
         self.registered: dict[str, Callable[..., Column]] = {}
+        self.text_methods: dict[str, Callable[..., Column]] = {}
 
     # -- definitions ------------------------------------------------------
     def register(self, name: str, build: Callable[..., Column]) -> None:
         """A host function of Columns; replaces a built-in of the same name."""
         self.registered[name] = build
 
+    def register_text(self, name: str, build: Callable[..., Column]) -> None:
+        """A host method that gets its arguments as formula texts, with this session first; it may compile, bind or read them."""
+        self.text_methods[name] = build
+
     def unregister(self, name: str) -> None:
         self.registered.pop(name, None)
+        self.text_methods.pop(name, None)
 
     def define(self, text: str) -> None:
         """Assignments only, separated by semicolons."""
@@ -53,7 +59,7 @@ class Session:
                 raise SyntaxProblem(f"no assignment: {s!r}")
 
     def is_function(self, name: str) -> bool:
-        return name in BUILTIN or name in self.functions or name in self.registered
+        return name in BUILTIN or name in self.functions or name in self.registered or name in self.text_methods
 
     def parse(self, text: str) -> Node:
         return parse(text, self.is_function)
@@ -86,7 +92,7 @@ class Session:
         def visit(x: Node) -> Node:
             if isinstance(x, Var) and x.name not in free:
                 return self.constants.get(x.name, self.matrices.get(x.name, x))
-            if isinstance(x, Call) and x.name not in self.registered:
+            if isinstance(x, Call) and x.name not in self.registered and x.name not in self.text_methods:
                 if x.name in self.functions:
                     return self.apply(self.functions[x.name], x.args)
                 if x.name == "diff" and len(x.args) in (1, 2, 3):

@@ -177,3 +177,33 @@ def test_windowed_streams(spark, tmp_path):
         q.stop()
     rows = sorted((r["start"].minute, r["k"], r["m"], r["n"]) for r in spark.table("lemnia_windows").collect())
     assert rows == [(m, k, 2.0 * (2 * m + k), 1.0) for m in range(4) for k in range(2)]
+
+
+def test_members_and_traces(one):
+    """Operands may be given by the host, and every part that is read is noted."""
+    between = lambda text, session: F.col("x").between(1, 3) if text == "x in range" else None
+    trace: list = []
+    c = compile_logical("[x in range and y > 4] xor false", Session(), ["x", "y"], members=[between], trace=trace)
+    assert one.select(c).first()[0] is True
+    assert trace == [(0, "[x in range and y > 4] xor false"), (1, "x in range and y > 4"), (2, "x in range"), (2, "y > 4"), (1, "false")]
+
+
+def test_methods_of_texts(one):
+    s = Session()
+    seen: list = []
+    s.register_text("named", lambda session, *texts: seen.extend(texts) or session.compile(texts[1], ["x", "y"]) * 2)
+    assert one.select(s.compile("named(foo, x+y) + 1", ["x", "y"])).first()[0] == 15 and seen[0] == "foo"
+    s.unregister("named")
+    assert not s.is_function("named")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lemnia.__main__ import main
+
+    (tmp_path / "f").write_text("r=4;r*5\nf(x)=x^2;f(3)\n3+*\n")
+    assert main(["2^3", "-e", str(tmp_path / "f")], spark) == 0
+    assert capsys.readouterr().out.splitlines()[:3] == ["8.0", "20.0", "9.0"]
+    main(["-l", "1<2 and 3>4"], spark)
+    main(["-u", "DEG", "sin(30)"], spark)
+    out = capsys.readouterr().out.split()
+    assert out[0] == "False" and float(out[1]) == pytest.approx(0.5)

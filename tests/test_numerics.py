@@ -143,3 +143,15 @@ def test_degrees_in_equations(spark):
     s = Session("DEG")
     y = one.select(F.get(ode.solve("y[1]-cos(t)", F.lit(0.0), [F.lit(0.0)], F.lit(90.0), 1.0, "rk4", s), F.lit(0))).first()[0]
     assert y == pytest.approx(180 / math.pi, rel=1e-6)
+
+
+def test_principal_values(spark):
+    """Poles inside the bounds, bounds next to a pole, and integrals that have no value."""
+    from lemnia.operators.integrals import clenshaw_curtis, rectangles
+
+    lit = lambda *v: [F.lit(float(x)) for x in v]
+    known = [("1/(x-0.5)", 0.1, 0.49, math.log(0.01 / 0.4)), ("1/(x-0.5)", 0, 2, math.log(3)), ("1/(x*sin(x)+3*x*cos(x))", 1, 200, 0.0650624), ("tan(x)", 0, 3, -math.log(abs(math.cos(3)))), ("ln(x)", 0.001, 1, -0.9920922447), ("x^-0.5", 0.001, 1, 2 - 2 * math.sqrt(0.001)), ("1/x^2", -1, 1, None), ("1/x", 0, 1, None)]
+    got = spark.range(1).select(*(integrate(f, *lit(a, b)).alias(f"c{k}") for k, (f, a, b, _) in enumerate(known)), clenshaw_curtis("exp(x)", *lit(0, 2)), rectangles("x", *lit(0, 1), 10), rectangles("x", *lit(0, 1), 10, end="middle")).first()
+    for (f, _, _, want), value in zip(known, got, strict=False):
+        assert (want is None and (value is None or math.isnan(value))) or value == pytest.approx(want, rel=2e-5), (f, value)
+    assert got[-3:] == pytest.approx((math.exp(2) - 1, 0.45, 0.5))
