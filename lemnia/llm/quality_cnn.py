@@ -97,6 +97,27 @@ class Network:
         _, count, z = self.combine(row, top, n)
         return 1 / (1 + np.exp(-np.clip((z @ self.out + self.out_bias).astype(float), -30, 30))), count[:, 0]
 
+    def gradients(self, buf: np.ndarray, off: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> list[np.ndarray]:
+        """Of the weighed log loss, with a little decay, by the filters, their biases, the combination and its bias."""
+        row, top, at = self.pool(buf, off, where=True)
+        first, count, z = self.combine(row, top, len(off) - 1)
+        p = 1 / (1 + np.exp(-np.clip(z @ self.out + self.out_bias, -30, 30)))
+        d = (p - y) * weigh
+        dz = d[:, None] * self.out
+        f = FILTERS
+        g_top = dz[row, :f] / count[row]
+        for k in (f, 2 * f):  # the least and the greatest; chunks that tie, as through what they both hold, share it
+            same = top == z[row, k : k + f]
+            g_top += dz[row, k : k + f] * same / np.maximum(np.add.reduceat(same.astype(int), first), 1)[row]
+        g_top = g_top * (top > 0)
+        x = np.concatenate([self.spread(buf, off), np.zeros(WIDTH + 1, np.uint8)])
+        g_table = 1e-5 * self.table
+        lane = np.broadcast_to(np.arange(f), at.shape)
+        live = g_top != 0
+        for k in range(WIDTH):
+            np.add.at(g_table[k], (x[at[live] + k], lane[live]), g_top[live])
+        return [g_table, g_top.sum(0), z.T @ d + 1e-4 * self.out, np.array([d.sum()])]
+
     def train(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> Network:
         """Adam on the log loss, both classes weighed alike; needs rows of both."""
         y_all = np.asarray(labels, np.float32)
@@ -112,24 +133,7 @@ class Network:
             for i in range(0, len(order), BATCH):
                 pick = order[i : i + BATCH]
                 buf, off = buffers(pa.array([texts[j] for j in pick], pa.large_string()))
-                n = len(pick)
-                row, top, at = self.pool(buf, off, where=True)
-                first, count, z = self.combine(row, top, n)
-                p = 1 / (1 + np.exp(-np.clip(z @ self.out + self.out_bias, -30, 30)))
-                d = (p - y_all[pick]) * weigh[pick] / n
-                g_out = z.T @ d + 1e-4 * self.out
-                dz = d[:, None] * self.out
-                f = FILTERS
-                g_top = dz[row, :f] / count[row]
-                g_top += dz[row, f : 2 * f] * (top == z[row, f : 2 * f]) + dz[row, 2 * f :] * (top == z[row, 2 * f :])
-                g_top = g_top * (top > 0)
-                x = np.concatenate([self.spread(buf, off), np.zeros(WIDTH + 1, np.uint8)])
-                g_table = 1e-5 * self.table
-                lane = np.broadcast_to(np.arange(f), at.shape)
-                live = g_top != 0
-                for k in range(WIDTH):
-                    np.add.at(g_table[k], (x[at[live] + k], lane[live]), g_top[live])
-                grads = [g_table, g_top.sum(0), g_out, np.array([d.sum()])]
+                grads = self.gradients(buf, off, y_all[pick], weigh[pick] / len(pick))
                 step += 1
                 for q, g, mm, vv in zip(params, grads, m, v, strict=True):
                     mm += 0.1 * (g - mm)
