@@ -115,15 +115,26 @@ class Lexicon:
         self.sizes = np.array([len(t) for t, _ in terms] or [0])
         self.width = int(self.sizes.max()) + MAX_EDITS + 1
         self.trie = build_trie(terms)
-        self.strong = bias
+        self.last = np.zeros((0, 3))  # the hits behind the features computed last
 
     def features(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Per row: exact hits, misspelled hits, quoted hits, each as saturated counts, their density, and a constant."""
         w = Words(buf, off, lower=True, alnum=True)
+        hits = self.last = self.hits(w, off)
         out = np.zeros((len(off) - 1, N_FEATURES))
         out[:, 0] = 1
+        out[:, 1:4] = np.minimum(hits, 6)
+        out[:, 4] = 100 * hits[:, 0] / np.maximum(w.count, 20)
+        out[:, 5] = hits[:, 0] > 0
+        out[:, 6] = hits[:, 1] > 0
+        return out
+
+    def hits(self, w: Words, off: np.ndarray) -> np.ndarray:
+        """Per row: how many exact, misspelled and quoted hits."""
+        hits = np.zeros((len(off) - 1, 3))
         if not len(w.start):
-            return out
+            return hits
+        buf = w.buf
         uniq, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         size = w.end[first] - w.start[first]
         grid = w.start[first][:, None] + np.arange(self.width)
@@ -131,18 +142,11 @@ class Lexicon:
         matrix = np.where(inside, w.buf[np.minimum(grid, len(buf) - 1)], 0)
         term, edits = match_words(matrix, size, self.trie, self.sizes)
         at = np.flatnonzero(term[inverse] >= 0)
-        if not len(at):
-            return out
         row, wrong = w.row(), edits[inverse] > 0
-        hits = np.zeros((len(off) - 1, 3))
         for i in at:
             quoted = self._quoted(w, off, int(i), int(row[i]))
             hits[row[i], 2 if quoted else 1 if wrong[i] else 0] += 1
-        out[:, 1:4] = np.minimum(hits, 6)
-        out[:, 4] = 100 * hits[:, 0] / np.maximum(w.count, 20)
-        out[:, 5] = hits[:, 0] > 0
-        out[:, 6] = hits[:, 1] > 0
-        return out
+        return hits
 
     def _quoted(self, w: Words, off: np.ndarray, i: int, row: int) -> bool:
         """Whether quotation marks enclose the word closely, or a reporting word stands shortly before it in its sentence."""
@@ -216,9 +220,10 @@ def _score(lexicon: Lexicon, weights: np.ndarray):
         for batch in batches:
             for part, buf, off in blocks(batch):
                 x = lexicon.features(buf, off)
+                hits = lexicon.last
                 p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("held_out"), pa.array(p), pa.array((p >= 0.7).astype(np.int32)), *(pa.array(x[:, k].astype(np.int64)) for k in (1, 2, 3))],
+                    [part.column("id"), part.column("held_out"), pa.array(p), pa.array((p >= 0.7).astype(np.int32)), *(pa.array(hits[:, k].astype(np.int64)) for k in range(3))],
                     ["doc_id", "held_out", "score", "predicted", "n_terms", "n_misspelled", "n_quoted"],
                 )
 
@@ -226,7 +231,7 @@ def _score(lexicon: Lexicon, weights: np.ndarray):
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """One row per input row, in one pass; term counts stop at 6.
+    """One row per input row, in one pass.  In scores, term counts stop at 6.
 
     Null and empty texts get the score of a text without terms, repeated rows
     equal scores; a null id has no fold, so held_out is null.  With no usable
