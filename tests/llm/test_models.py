@@ -12,8 +12,8 @@ import pytest
 from lemnia.llm import lm_scoring, toxicity
 from lemnia.llm.context_mixing import CLIP, FINE, FIRST, MIXERS, ORDERS, PRIOR, STEPS, WINDOW, Model, follow, stored, tables_of, text_grams
 from lemnia.llm.lm_scoring import score_documents
-from lemnia.llm.quality_cnn import Network, score_quality
-from lemnia.llm.textcore import buffers
+from lemnia.llm.quality_cnn import CHUNK, FILTERS, OVERLAP, WIDTH, Network, score_quality
+from lemnia.llm.textcore import Words, buffers
 from lemnia.llm.toxicity import Lexicon, build_trie, match_words, score_toxicity
 
 from .fixtures import documents, empty, frame, words
@@ -103,6 +103,101 @@ def test_quality_network(spark):
     assert score_quality(empty(spark), labels).count() == 0
 
 
+def plain_probability(net, text):
+    """The network in plain loops over chunks, positions and filters."""
+    data = text.encode()
+    starts, step = [0], CHUNK - OVERLAP
+    while starts[-1] + step < max(1, len(data) - OVERLAP):
+        starts.append(starts[-1] + step)
+    pooled = []
+    for a in starts:
+        best = [0.0] * FILTERS
+        for i in range(a, min(a + CHUNK, len(data))):
+            for f in range(FILTERS):
+                y = float(net.bias[f]) + sum(float(net.table[k][data[i + k] if i + k < len(data) else 0][f]) for k in range(WIDTH))
+                best[f] = max(best[f], y)
+        pooled.append(best)
+    lanes = list(zip(*pooled, strict=True))
+    z = [sum(x) / len(x) for x in lanes] + [min(x) for x in lanes] + [max(x) for x in lanes]
+    return 1 / (1 + math.exp(-(sum(a * float(b) for a, b in zip(z, net.out, strict=True)) + float(net.out_bias[0]))))
+
+
+def test_network_forward():
+    net = Network()
+    net.out[:] = np.random.default_rng(1).normal(0, 1, len(net.out))
+    texts = ["", "a", "abc def", words(random.Random(1), 100), words(random.Random(2), 300), "é中" * 200]
+    got, _ = net.predict(*buffers(pa.array(texts, pa.large_string())))
+    assert got == pytest.approx([plain_probability(net, t) for t in texts], abs=1e-5)
+
+
+def test_network_gradients():
+    """Against differences of the loss."""
+    net = Network()
+    r = np.random.default_rng(5)
+    net.out[:] = r.normal(0, 0.5, len(net.out))
+    for name in ("table", "bias", "out", "out_bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    buf, off = buffers(pa.array([words(random.Random(k), 20 + 60 * k) for k in range(4)] + [""], pa.large_string()))
+    y, weigh = np.array([1.0, 0, 1, 0, 1]), np.array([0.3, 0.2, 0.1, 0.5, 0.4])
+
+    def loss():
+        p, _ = net.predict(buf, off)
+        return -(weigh * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() + 0.5e-5 * (net.table**2).sum() + 0.5e-4 * (net.out**2).sum()
+
+    for param, grad in zip((net.table, net.bias, net.out, net.out_bias), net.gradients(buf, off, y, weigh), strict=True):
+        flat, g = param.reshape(-1), np.asarray(grad).reshape(-1)
+        for i in [*np.argsort(-np.abs(g))[:6], *r.integers(0, len(flat), 3)]:
+            old = flat[i]
+            flat[i] = old + 1e-6
+            up = loss()
+            flat[i] = old - 1e-6
+            assert g[i] == pytest.approx((up - loss()) / 2e-6, abs=1e-5)
+            flat[i] = old
+
+
+def test_long_and_repeated_rows(spark):
+    """Ids that repeat in documents and labels, null texts among the labelled, and a very long text."""
+    docs, labels, y = labelled(spark, n=300, bad=insult)
+    long_ = words(random.Random(3), 20000)
+    docs = docs.union(frame(spark, [(5, None), (5, long_), (9100, long_ + " you worthless moron " + long_), (9100, long_)]))
+    labels = labels.union(spark.createDataFrame([(5, 0, 1), (5, 1, 0), (9002, 1, 0)], "doc_id long, quality int, toxic int"))
+    for score in (score_toxicity, score_quality):
+        rows = score(docs, labels).collect()
+        assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    toxic = sorted((r["n_terms"] for r in score_toxicity(docs, labels).collect() if r["doc_id"] == 9100))
+    assert toxic[0] == 0 and toxic[1] >= 2
+
+
+def plain_hits(lexicon, text):
+    """(exact, misspelled, quoted) by edit distances of all words and all terms."""
+    import re
+
+    out = [0, 0, 0]
+    data = (text or "").encode()
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in data)
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[0-9a-z\x80-\xff]+", low)]
+    for i, (s, e) in enumerate(found):
+        w = low[s:e]
+        best = min((d for d in ((0 if w.startswith(t) else 9) if stem else (lambda k: k if k <= (1 if len(t) >= 6 and w[:1] == t[:1] else 0) else 9)(distance(w, t)) for t, stem in lexicon.terms if stem or abs(len(t) - len(w)) <= 1) if d < 9), default=None)
+        if best is None:
+            continue
+        lo, hi = max(0, i - toxicity.CONTEXT), min(len(found), i + toxicity.CONTEXT + 1)
+        left, right = low[max(0, found[lo][0] - 3) : s], low[e : min(len(low), found[hi - 1][1] + 4)]
+        said = any(low[found[j][0] : found[j][1]] in toxicity.REPORTING and not set(b".\n!") & set(low[found[j][1] : s]) for j in range(max(lo, i - 3), i))
+        out[2 if said or toxicity.enclosed(left.decode(errors="ignore"), right.decode(errors="ignore")) else 1 if best else 0] += 1
+    return out
+
+
+def test_hits_against_distances():
+    r = random.Random(12)
+    lexicon = Lexicon([(b"worthless", False), (b"idiot", False), (b"moronic", False), (b"zorg", True)], np.zeros(0))
+    pool = ["worthless", "worthles", "Wortthless", "idiot", "IDIOT", "idiotic", "moronik", "zorging", "zorg", '"', "said", ".", "'", "the", "fine", "é", "word"]
+    texts = [" ".join(r.choice(pool) if r.random() < 0.4 else words(r, 1) for _ in range(r.randint(0, 80))) for _ in range(60)]
+    buf, off = buffers(pa.array(texts, pa.large_string()))
+    got = lexicon.hits(Words(buf, off, lower=True, alnum=True), off)
+    assert got.astype(int).tolist() == [plain_hits(lexicon, t) for t in texts] and got.sum(axis=0).min() > 5
+
+
 def test_chunks_cover():
     net = Network()
     for n in (0, 1, 63, 64, 383, 384, 385, 1000, 5000):
