@@ -34,14 +34,21 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 def text_grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(for each byte of all texts with their ends, the ORDERS bytes before, nearest first, and the byte itself, packed; offsets of the texts in them)."""
     n = len(off) - 1
-    wide = np.zeros(len(buf) + n * (ORDERS + 1), np.uint8)
-    row = np.repeat(np.arange(n), np.diff(off))
-    wide[np.arange(len(buf)) + row * (ORDERS + 1) + ORDERS] = np.where(buf == 0, 255, buf)
     at = off + np.arange(n + 1)
-    pick = np.arange(at[-1]) + np.repeat(np.arange(n), np.diff(at)) * ORDERS
+    index = np.int32 if len(buf) + n * (ORDERS + 1) < 1 << 31 else np.int64
+    # each text after as many bytes 0 as a context has, its end among those of the next one
+    wide = np.zeros(len(buf) + n * (ORDERS + 1), np.uint8)
+    gap = np.repeat(np.arange(n, dtype=index) * index(ORDERS + 1) + index(ORDERS), np.diff(off))
+    gap += np.arange(len(buf), dtype=index)
+    wide[gap] = buf
+    wide[gap[buf == 0]] = 255
+    del gap
+    pick = np.repeat(np.arange(n, dtype=index) * index(ORDERS), np.diff(at))
+    pick += np.arange(at[-1], dtype=index)
     g = np.zeros(len(pick), np.uint64)
     for j in (*range(ORDERS - 1, -1, -1), ORDERS):
-        g = (g << np.uint64(8)) | wide[pick + j]
+        g <<= np.uint64(8)
+        g |= wide[pick + index(j)]
     return g, at
 
 

@@ -27,6 +27,8 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 4 << 20, 16, 4096
 #: Bytes of text of a chunk, about: the larger, the fewer distinct grams a byte are asked for.
 CHUNK_BYTES = 2 << 20
+#: Bytes of text of an Arrow batch, about.
+BATCH_BYTES = 8 << 20
 #: Chunks whose questions to a bucket one task answers.
 GROUP_CHUNKS = 16384
 #: The greatest count that is stored.
@@ -282,11 +284,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tables = Tables(spark, "lm")
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    n_bytes = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_bytes, n_rows = picked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, n_bytes // BUCKET_BYTES))
     groups = 1 + n_bytes // CHUNK_BYTES // GROUP_CHUNKS
     picked = picked.withColumn("held", F.crc32(F.col("id").cast("string")) % 10 == 0)
-    gathered = tables.write(picked.mapInArrow(_gather(buckets), _PASS), "gathered", "kind")
+    gathered = tables.write(picked.mapInArrow(_gather(buckets), _PASS), "gathered", "kind", batch=max(100, min(10_000, n_rows * BATCH_BYTES // max(1, n_bytes))))
     asked = gathered.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
     words = tables.write(_totals(asked.where(F.col("kind") == WORD), groups), "words")
     sums = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()

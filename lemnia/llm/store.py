@@ -33,21 +33,25 @@ class Tables:
     the shuffle files that made it go as soon as it is there.
     """
 
-    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    #: Settings while a table is written: no shuffle files after it, and few files side by side instead of a sort by folder.
+    WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
-    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """The table, read back; with ``by``, in a folder f"{name}/{by}={value}" for each value, which can be dropped alone."""
-        path = f"{self.root}/{name}"
-        before = self.spark.conf.get(self.CLEANUP, "false")
-        self.spark.conf.set(self.CLEANUP, "true")
+    def write(self, df: DataFrame, name: str, by: str | None = None, batch: int | None = None) -> DataFrame:
+        """The table, read back; with ``by``, in a folder f"{name}/{by}={value}" for each value, which can be dropped alone; with ``batch``, by Arrow batches of so many rows."""
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        settings = self.WRITING | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)} if batch else {})
+        before = {k: conf.get(k) for k in settings}
         try:
+            for k, v in settings.items():
+                conf.set(k, v)
             (df.write.partitionBy(by) if by else df.write).parquet(path)
         finally:
-            self.spark.conf.set(self.CLEANUP, before)
+            for k, v in before.items():
+                conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

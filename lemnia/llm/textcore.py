@@ -72,7 +72,8 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its len + 1 offsets, from 0."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    column = pc.fill_null(column, "") if column.null_count else column
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = column.buffers()
