@@ -22,7 +22,7 @@ _POINT = re.compile(r"\bL(\d+)\b")
 _COUNT = re.compile(r"\bMN\b")
 _COMPUTED = re.compile(r"\bL\{([^{}]*)\}")
 #: Statistics that a frame computes without gathering its points.
-FRAMED = set(AGGREGATES) - {"med", "median", "gsum", "prod"}
+FRAMED = set(AGGREGATES) - {"med", "median"}
 
 
 def compile_series(text: str, value: Column, by: list[str], order: list[str], session: Session | None = None) -> Column:
@@ -83,7 +83,7 @@ def _over(stat: str, v: Column, frame) -> Column:
     sd = F.when(n >= 2, F.stddev_samp(v).over(frame)).otherwise(F.lit(0.0))
     lo, hi = F.min(v).over(frame), F.max(v).over(frame)
     return {
-        "sum": lambda: F.sum(v).over(frame), "listsum": lambda: F.sum(v).over(frame), "mean": lambda: mean, "avg": lambda: mean, "listavg": lambda: mean, "count": lambda: n.cast("double"),
+        "prod": lambda: F.product(v).over(frame), "gsum": lambda: F.product(v).over(frame), "sum": lambda: F.sum(v).over(frame), "listsum": lambda: F.sum(v).over(frame), "mean": lambda: mean, "avg": lambda: mean, "listavg": lambda: mean, "count": lambda: n.cast("double"),
         "min": lambda: lo, "max": lambda: hi, "rng": lambda: hi - lo, "mrng": lambda: (hi + lo) / 2, "geom": lambda: F.when(lo == 0, F.lit(0.0)).when(lo > 0, F.exp(F.avg(F.when(v > 0, F.ln(v))).over(frame))).otherwise(LISTS["geom"](F.collect_list(v).over(frame))), "rms": lambda: F.sqrt(F.avg(v * v).over(frame)),
         "s_d": lambda: sd, "variance": lambda: sd * sd, "st_err": lambda: sd / F.sqrt(n.cast("double")), "cov": lambda: F.when(F.abs(mean) < 1e-15, F.lit(NAN)).otherwise(sd / F.when(mean == 0, F.lit(1.0)).otherwise(mean)),
     }[stat]()

@@ -190,6 +190,7 @@ _series("series_lag", {"a": "L0-L1", "b": "L3*1.1"}, f"SELECT event_id, round(va
 _series("series_prefix", {"a": "pi*avg(..L1)+MN", "b": "max(..L0)"}, f"SELECT event_id, round(pi()*coalesce(avg(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), value)+count(*) OVER (w ROWS UNBOUNDED PRECEDING),6) AS a, round(max(value) OVER (w ROWS UNBOUNDED PRECEDING),6) AS b FROM events WINDOW w AS ({_W})")
 _series("series_suffix", {"a": "sum(L3..)", "b": "s_d(L4..)"}, f"SELECT event_id, round(sum(value) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW),6) AS a, round(coalesce(stddev_samp(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),0),6) AS b FROM events WINDOW w AS ({_W})")
 _series("series_range", {"a": "min(L4..L2)", "b": "med(L2..L0)"}, f"SELECT event_id, round(coalesce(min(value) OVER (w ROWS BETWEEN 4 PRECEDING AND 2 PRECEDING), first_value(value) OVER w),6) AS a, round(median(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),6) AS b FROM events WINDOW w AS ({_W})")
+_series("series_product", {"a": "prod(L2..L0)", "b": "gsum(L1..)/100"}, f"SELECT event_id, round(product(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),6) AS a, round(product(value) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)/100,6) AS b FROM events WINDOW w AS ({_W})")
 _series("series_alert", {"a": "avg(..L1)*1.1-MN < L0 | L1*1.3 + MN < L0"}, f"SELECT event_id, (coalesce(avg(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), value)*1.1-count(*) OVER (w ROWS UNBOUNDED PRECEDING) < value) OR (coalesce(lag(value,1) OVER w, value)*1.3 + count(*) OVER (w ROWS UNBOUNDED PRECEDING) < value) AS a FROM events WINDOW w AS ({_W})")
 _series("series_computed", {"a": "L{MN-2}+L0"}, f"SELECT event_id, round(coalesce(CASE WHEN count(*) OVER (w ROWS UNBOUNDED PRECEDING) < 2 THEN value END, nth_value(value, 2) OVER (w ROWS UNBOUNDED PRECEDING)) + value, 6) AS a FROM events WINDOW w AS ({_W})")
 

@@ -5,7 +5,7 @@ import os
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-PICKED = ["flagship", "arith_power", "cmp_all", "trig_deg", "factorial_comb_perm", "sig_digits", "length_family", "row_var_sd_sterr_cov", "row_mode", "agg_med", "agg_trimmed_mean", "logical_xor_impl_eq", "series_alert", "series_computed", "diff_symbolic", "integral_per_row", "quadratic_roots", "ode_path", "mat_mul", "mat_minor", "vec_layer_norm", "rotate_points", "range_evaluation", "div_zero_guard"]
+PICKED = ["flagship", "arith_power", "cmp_all", "trig_deg", "factorial_comb_perm", "sig_digits", "length_family", "row_var_sd_sterr_cov", "row_mode", "agg_med", "agg_trimmed_mean", "logical_xor_impl_eq", "series_alert", "series_computed", "diff_symbolic", "integral_per_row", "quadratic_roots", "ode_path", "mat_mul", "mat_minor", "vec_layer_norm", "rotate_points", "range_evaluation", "div_zero_guard", "formula_matrix", "formula_linear_sys", "formula_ode", "formula_rot", "root_cycle", "round_extremes", "derivative_high", "antiderivative", "mat_echelon", "mat_adjoint", "mat_pow", "mat_eigvec", "mat_eigpoly", "vec_rope", "vec_attention", "vec_q8_blocks", "ode_bdf2", "ode_path_adaptive", "cubic_general", "complex_arithmetic", "base_n", "primes_fractions", "random_values", "robust_integral", "series_product"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
