@@ -3,9 +3,9 @@
 Every window of LEAST bytes picks an anchor, its least-hashed GRAM bytes, so
 equal windows pick equal anchors.  Consecutive windows with one anchor are a
 unit.  Anchors that occur once can't lie in a repeated window.  Of the others,
-equal units are counted and one of each goes to the anchor's shard, where the
-suffix array and its common prefixes tell which windows are repeated; a unit that
-is met again is there twice.  An anchor with more distinct units than a
+equal units are counted and one of each goes, with its count, to the anchor's
+shard, where the suffix array and its common prefixes tell which windows are
+repeated.  An anchor with more distinct units than a
 shard should hold is split by longer anchors: a unit is cut where its windows
 reach further to the left or to the right of the anchor, and what all windows
 of a part share, the anchor and the bytes around it, is the part's new anchor.
@@ -144,7 +144,7 @@ def repeated_windows(texts: list[bytes], n: np.ndarray, least: int = LEAST) -> n
     at = np.cumsum(size) - size
     joined = np.frombuffer(b"".join(x + b"\xff" for x in texts), np.uint8)  # a byte that UTF-8 never has
     sa = suffix_array(joined)
-    lcp, before = permuted_lcp(joined, sa)
+    lcp, before = permuted_lcp(joined, sa, 0xFF)
     same = np.flatnonzero(lcp >= least)
     hit = np.zeros(len(joined), bool)
     hit[same] = True
@@ -168,11 +168,13 @@ def spans(hit: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.nd
 
 
 def _shard(table: pa.Table) -> pa.Table:
-    """(anchor, hash, start, end): what is repeated of each piece; one that was met again is there twice."""
+    """(anchor, hash, start, end): what is repeated of each piece.
+
+    Equal pieces are one string with a count.  All suffixes of a string met again have an equal neighbour, its copy's.
+    """
     texts, n = table.column("bytes").to_pylist(), table.column("n").to_numpy().astype(np.int64)
-    again = np.flatnonzero(table.column("c").to_numpy() > 1)
-    hit = repeated_windows(texts + [texts[k] for k in again], np.concatenate([n, n[again]]))
-    unit, start, end = spans(hit[: int(n.sum())], n, LEAST)
+    hit = repeated_windows(texts, n) | np.repeat(table.column("c").to_numpy() > 1, n)
+    unit, start, end = spans(hit, n, LEAST)
     return pa.table({"anchor": table.column("anchor").to_numpy()[unit], "hash": table.column("hash").to_numpy()[unit], "start": start.astype(np.int32), "end": end.astype(np.int32)})
 
 

@@ -46,7 +46,7 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.
     n = len(t)
     start = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=sigma))])
     large = np.bincount(t[~small], minlength=sigma)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
     _place(sa, t, lms, start[:-1] + large, 1)
     wide = max(256, int(n**0.5))
 
@@ -136,11 +136,12 @@ def _sorted_suffixes(t: np.ndarray, sigma: int) -> np.ndarray:
     return induce(t, small, at[order], sigma)
 
 
-def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def permuted_lcp(text: np.ndarray, sa: np.ndarray, border: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """(lcp of each suffix with the one before it in order, that one's start or -1), both by position.
 
-    Values are compared out only where the preceding symbols differ; from there
-    on they fall by one a position.
+    A border byte ends a prefix and equals nothing, not even itself.  Values are compared
+    out only where the preceding symbols differ or are borders; from there on they
+    fall by one a position.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
@@ -150,14 +151,16 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     i = np.arange(n)
     fresh = (before <= 0) | (i == 0)
     inner = ~fresh
-    fresh[inner] = text[i[inner] - 1] != text[before[inner] - 1]
+    last = text[i[inner] - 1]
+    fresh[inner] = (last != text[before[inner] - 1]) | (last == border)
     at = np.flatnonzero(fresh & (before >= 0))
     length = np.zeros(n, np.int64)
     live = at
     while len(live):
         a, b = live + length[live], before[live] + length[live]
         room = n - np.maximum(a, b)
-        same = view[np.minimum(a, n)] == view[np.minimum(b, n)]
+        x = view[np.minimum(a, n)]
+        same = (x == view[np.minimum(b, n)]) & (x != border)
         run = np.where(same.all(axis=1), 16, same.argmin(axis=1))
         got = np.minimum(run, np.maximum(room, 0))
         length[live] += got

@@ -59,13 +59,17 @@ def test_substrings(spark, monkeypatch):
     assert substring_dedup.remove_repeated(empty(spark)).count() == 0
 
 
-def test_substrings_by_suffixes(spark, monkeypatch):
-    """Nothing is found but by the suffix arrays."""
-    monkeypatch.setattr(substring_dedup, "repeated_windows", lambda texts, n: np.zeros(int(n.sum()), bool))
+def test_substrings_by_suffixes():
+    """Windows that different units share are found by the suffix array, whatever stands around them."""
     r = random.Random(6)
-    texts = [words(r, 100)] * 4
-    shard = substring_dedup._shard(pa.table({"anchor": [1, 1], "hash": [1, 2], "n": [5, 9], "c": [2, 1], "bytes": [b"x" * 204, b"y" * 208]}))
-    assert shard.num_rows == 0 and len(texts) == 4
+    for _ in range(20):
+        shared = words(r, 60).encode()[: r.randint(200, 260)]
+        texts = [words(r, r.randint(0, 8)).encode() + shared[r.randint(0, 3) :] + words(r, r.randint(0, 8)).encode() for _ in range(r.randint(1, 4))] + [words(r, 60).encode()[:230]]
+        n = [len(x) - 199 for x in texts]
+        got = substring_dedup._shard(pa.table({"anchor": [1] * len(texts), "hash": list(range(len(texts))), "n": n, "c": [1] * len(texts), "bytes": texts}))
+        count = Counter(x[k : k + 200] for x, m in zip(texts, n, strict=True) for k in range(m))
+        hit = {(i, k + j) for i, (x, m) in enumerate(zip(texts, n, strict=True)) for k in range(m) if count[x[k : k + 200]] > 1 for j in range(200)}
+        assert {(s["hash"], k) for s in got.to_pylist() for k in range(s["start"], s["end"])} == hit
 
 
 def test_split_anchors():
