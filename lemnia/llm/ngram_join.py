@@ -176,13 +176,15 @@ def _compare_blocks(posts: DataFrame, sets: DataFrame, tables: Tables) -> DataFr
     Their clusters are cut into blocks of a bounded size by hash, and every two
     blocks that hold different components meet in a task.
     """
-    stars = posts.groupBy("token").agg(F.min("cid").alias("b")).join(posts.select("token", "cid"), "token").select(F.col("cid").alias("a"), "b").distinct()
+    first = _side(posts.groupBy("token").agg(F.min("cid").alias("b")), tables, "firsts")
+    stars = posts.select("token", "cid").join(first, "token").select(F.col("cid").alias("a"), "b").distinct()
     cluster = connected(stars, tables, "clusters").withColumnRenamed("comp", "cluster")
     member = posts.groupBy("cid").agg(F.max("comp").alias("comp"), F.max("n").alias("n")).join(cluster, "cid")
     member = tables.write(member, "members")
     per = member.groupBy("cluster", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     main = per.groupBy("cluster").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("mc"), F.max_by("t", F.struct("c", "comp")).alias("mt"), F.sum("c").alias("c"), F.sum("t").alias("t"), F.count("*").alias("comps")).where("comps > 1")
     main = main.select("cluster", "main", F.greatest(F.ceil(F.col("mc") / BLOCK_CLASSES), F.ceil(F.col("mt") / BLOCK_TOKENS)).cast("int").alias("k"), F.greatest(F.ceil((F.col("c") - F.col("mc")) / BLOCK_CLASSES), F.ceil((F.col("t") - F.col("mt")) / BLOCK_TOKENS)).cast("int").alias("m"))
+    main = _side(main, tables, "mains")
     # blocks 0 .. k-1 are of the cluster's largest component, k .. k+m-1 of the others
     h = F.xxhash64("cid", F.lit(99))
     placed = member.join(main, "cluster").withColumn("x", F.when(F.col("comp") == F.col("main"), F.pmod(h, F.col("k"))).otherwise(F.col("k") + F.pmod(h, F.col("m"))))
@@ -191,6 +193,12 @@ def _compare_blocks(posts: DataFrame, sets: DataFrame, tables: Tables) -> DataFr
     return meets.join(sets, "cid").select("cluster", "i", "j", "cid", "comp", "n", "follow", "s").groupBy("cluster", "i", "j").applyInArrow(_compare, "a long, b long, both long")
 
 
+def _side(df: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """A written table to join with: broadcast where it is short, so that what it meets stays where it is, hot shingles too."""
+    table = tables.write(df, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _left(picked: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """((id, n, cid, text_key) per row, (cid, n, s) of the classes that share enough prefix shingles to be linked to anything)."""
     posted = tables.write(picked.mapInArrow(_pass, POST_SCHEMA), "posted")
@@ -204,7 +212,7 @@ def _left(picked: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     enough = F.col("here") + F.coalesce("found", F.lit(0)) >= F.col("batches") * (1 + F.floor(F.ceil(F.col("n") * LEAST / 100) / 10))
     left = tables.write(per_class.join(found, "cid", "left").where(enough).select("cid", "text_key"), "left")
     tables.drop("posted")
-    few = left.count() <= BROADCAST_ROWS
+    few = left.count() <= BROADCAST_ROWS  # two numbers a row
     chosen = picked.join(F.broadcast(left) if few else left, "text_key").select("cid", "text")
     sets = chosen.mapInArrow(_sets, "cid long, n long, s array<long>")
     if rows.groupBy("text_key").count().where("count > 1").limit(1).count():  # rows that are repeated as they are
@@ -222,8 +230,7 @@ def _nodes(sets: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame, DataF
     others follow it: they are linked only to what it is linked to, if they aren't too large.
     """
     tokens = sets.select("cid", "n", F.explode("s").alias("token"))
-    df = tables.write(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-    side = F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    side = _side(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), tables, "shared")
     k = F.size("s").cast("long")
     parts = tokens.join(side, "token").groupBy("cid").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("s"))
     parts = tables.write(parts.where(100 * k >= LEAST * F.col("n")).withColumn("part", F.xxhash64("s")), "parts")
@@ -245,14 +252,13 @@ def _posts(nodes: DataFrame, tables: Tables) -> DataFrame:
     plain = size - F.ceil(n * LEAST / 100) + 1
     prefix = lambda frame, length: frame.select("cid", "n", "l", "follow", F.explode(F.slice("s", F.lit(1), length.cast("int"))).alias("token"))
     short = prefix(nodes.withColumn("l", F.lit(1)), plain)
-    lists = short.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    lists = lambda frame, name: _side(frame.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), tables, name)
     # the cost of a prefix is the sum of its posting lists' lengths
-    costs = tables.write(short.join(lists, "token").groupBy("cid").agg(F.sum("df").alias("cost")), "costs")
+    costs = tables.write(short.join(lists(short, "lists"), "token").groupBy("cid").agg(F.sum("df").alias("cost")), "costs")
     # an l of a twentieth of the set at least where anything is shared, of a tenth where lists are long
     more = F.when(F.col("cost") > CHEAP * plain, F.floor(n / 10)).otherwise(F.floor(n / 20))
     long_ = prefix(nodes.join(costs, "cid").withColumn("l", (1 + more).cast("int")), plain + F.col("l") - 1)
-    lists = long_.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    return tables.write(long_.join(lists, "token").select("token", "cid", "n", "l", "follow", "df"), "posts")
+    return tables.write(long_.join(lists(long_, "long_lists"), "token").select("token", "cid", "n", "l", "follow", "df"), "posts")
 
 
 def _links(nodes: DataFrame, tables: Tables) -> DataFrame:
@@ -265,6 +271,7 @@ def _links(nodes: DataFrame, tables: Tables) -> DataFrame:
         named = posts.withColumn("comp", F.col("cid")) if links is None else posts.join(links.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         order = F.xxhash64("cid", F.lit(k))
         pivots = named.groupBy("token").agg(F.min_by(F.struct("cid", "comp", "n"), order).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        pivots = _side(pivots, tables, f"pivots{k}")
         size_fits = (F.col("p.n") * 100 >= LEAST * n) & (n * 100 >= LEAST * F.col("p.n"))
         votes = named.join(pivots, "token").where((F.col("p.comp") != F.col("comp")) & size_fits).groupBy("cid", F.col("p.cid").alias("b")).agg(F.count("*").alias("v"))
         pairs = votes.groupBy("cid").agg(F.max_by("b", F.struct("v", "b")).alias("b")).select(F.col("cid").alias("a"), "b")
@@ -274,7 +281,7 @@ def _links(nodes: DataFrame, tables: Tables) -> DataFrame:
     # all candidate pairs left between components; a node that others follow is taken for a component of its own
     named = posts.join(comp, "cid", "left").withColumn("comp", F.when(F.col("follow") > 0, -1 - F.col("cid")).otherwise(F.coalesce("comp", "cid")))
     mixed = named.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    open_ = tables.write(named.join(mixed, "token"), "open")
+    open_ = tables.write(named.join(_side(mixed, tables, "mixed"), "token"), "open")
     # lists that many nodes of several components share are compared in blocks; in others, what is outside of the list's
     # largest component meets the whole list
     long_ = open_.where(F.col("df") > LONG_LIST)
