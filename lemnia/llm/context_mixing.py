@@ -177,15 +177,24 @@ def stored(log_p: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(-log_p * FINE), 65535).astype("<u2")
 
 
+#: Probabilities by stored step.
+_STEPS_P = np.exp(np.arange(65536) / -FINE)
+
+
 def follow(steps: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural log of each byte's probability, from stored() ones of each mixer for all texts' bytes.
 
     A mixer's weight at a byte is what it gave the WINDOW bytes before, in the same text.
     """
-    log_p = steps.astype(float) / -FINE
-    sums = np.concatenate([np.zeros((len(log_p), 1)), np.cumsum(log_p, axis=1)], axis=1)
-    here = np.arange(log_p.shape[1])
-    begin = np.maximum(here - WINDOW, np.repeat(at[:-1], np.diff(at)))
-    w = sums[:, here] - sums[:, begin]
-    w[1:] -= FIRST
-    return np.logaddexp.reduce(w + log_p, axis=0) - np.logaddexp.reduce(w, axis=0)
+    n = steps.shape[1]
+    begin = np.maximum(np.arange(n) - WINDOW, np.repeat(at[:-1], np.diff(at)))
+    w = np.empty((len(steps), n))
+    for k, x in enumerate(steps):
+        sums = np.zeros(n + 1, np.int64)
+        np.cumsum(x, out=sums[1:])
+        w[k] = (sums[begin] - sums[:-1]) / FINE - (FIRST if k else 0)
+    w -= w.max(axis=0)
+    np.exp(w, out=w)
+    total = w.sum(axis=0)
+    w *= _STEPS_P[steps]
+    return np.log(w.sum(axis=0) / total)
