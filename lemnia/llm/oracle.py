@@ -64,4 +64,18 @@ SELECT doc_id, n_words, (n_chars - space)::BIGINT AS word_chars, symbols::BIGINT
 FROM z
 """
 
-ORACLE_SQL = {"op1_quality_rules": QUALITY_RULES, "op5_ngram_join": NGRAM_JOIN, "op8_decontamination": DECONTAMINATION}
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS e, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(e[i+1:i+200]) AS s FROM d, unnest(range(0, n - 199)) r(i)),
+c AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+x AS (SELECT doc_id, i FROM w SEMI JOIN c USING (s)),
+m AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM x),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM s),
+k AS (SELECT doc_id, string_agg(h[2*z+1:2*a], '' ORDER BY a) AS head, max(b) AS last, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head, '') || h[2*coalesce(last, 0)+1:])) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE_SQL = {"op4_suffix_dedup": SUFFIX_DEDUP, "op1_quality_rules": QUALITY_RULES, "op5_ngram_join": NGRAM_JOIN, "op8_decontamination": DECONTAMINATION}
