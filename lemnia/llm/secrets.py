@@ -132,21 +132,26 @@ _IS_HEX[list(b"0123456789abcdef")] = True
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
+def _hot(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The rows of a block that may hold a span of any kind."""
+    out = np.zeros(len(off) - 1, bool)
+    raw = LOWER[buf].tobytes()
+    # a hint may seem to reach over a text's end and hide one of the next text, so both ends' texts are looked at
+    at = [x for find in (_HINT, _AKIA) for m in find.finditer(raw) for x in (m.start(), m.end() - 1)]
+    s, e = runs(_IS_HEX[buf], off)
+    at = np.concatenate([np.asarray(at, np.int64), s[e - s >= MIN_HEX]])
+    out[np.searchsorted(off, at, "right") - 1] = True
+    return np.flatnonzero(out)
+
+
 def _batches(batches):
     for batch in batches:
         for part, buf, off in blocks(batch):
-            hot = np.zeros(part.num_rows, bool)
-            raw = LOWER[buf].tobytes()
-            # a hint may seem to reach over a text's end and hide one of the next text, so both ends' texts are looked at
-            at = [x for find in (_HINT, _AKIA) for m in find.finditer(raw) for x in (m.start(), m.end() - 1)]
-            s, e = runs(_IS_HEX[buf], off)
-            at = np.concatenate([np.asarray(at, np.int64), s[e - s >= MIN_HEX]])
-            hot[np.searchsorted(off, at, "right") - 1] = True
             n = part.num_rows
             counts = np.zeros((4, n), np.int64)
             sha, spans = [_NONE] * n, [""] * n
             texts = part.column("text")
-            for i in np.flatnonzero(hot):
+            for i in _hot(buf, off):
                 base, all_ = scan_text(texts[i].as_py() or "")
                 for k, _, _ in all_:
                     counts[k, i] += 1
@@ -170,15 +175,18 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _redact(batches):
     for batch in batches:
-        out = []
-        for t in batch.column("text").to_pylist():
-            if t is not None and t:
-                spans = scan_text(t)[1]
-                for _, s, e in reversed(_union(spans)):
-                    t = t[:s] + "[REDACTED]" + t[e:]
-            out.append(t)
         at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+        for part, buf, off in blocks(batch):
+            column = part.column(at)
+            out = {}
+            for i in _hot(buf, off):
+                t = column[i].as_py() or ""
+                for _, s, e in reversed(_union(scan_text(t)[1])):
+                    t = t[:s] + "[REDACTED]" + t[e:]
+                out[int(i)] = t
+            if out:
+                column = pa.array([out.get(i, t) for i, t in enumerate(column.to_pylist())], column.type)
+            yield part.set_column(at, part.schema.field(at), column)
 
 
 def _union(spans):
