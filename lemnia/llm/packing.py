@@ -197,14 +197,13 @@ def _place(keys: np.ndarray, rows: np.ndarray):
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, encode_special_tokens: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, encode_special_tokens: bool = False) -> DataFrame:
     """One row per piece: its document, place in it, checksum of its ids, sequence and offset there.
 
     Null and empty texts are the end id alone.  Repeated rows are packed each;
     tails of equal length are ranked by id, equal ids in any order, as they are
     interchangeable.  Tails are never cut; longer texts fill whole sequences first.
-    encode_special_tokens is that of tokenizers: True spells special tokens in
-    the texts out, False, as the query and the pipeline have it, gives them their own ids.
+    encode_special_tokens is that of tokenizers: False gives special tokens in the texts their own ids, True spells them out.
     """
     import public_tokenizers
 

@@ -275,7 +275,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tok.encode_special_tokens = True
     docs = [*documents(), (600, " leading\n\n  and odd spaces 　 <|endoftext|> it's  "), (601, "  ")]
     rows = pack_documents(frame(spark, docs)).collect()
     ids = {}
