@@ -44,14 +44,14 @@ class Tables:
         """The table, read back; with ``by``, in a folder f"{name}/{by}={value}" for each value, which can be dropped alone; with ``batch``, by Arrow batches of so many rows."""
         path, conf = f"{self.root}/{name}", self.spark.conf
         settings = self.WRITING | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)} if batch else {})
-        before = {k: conf.get(k) for k in settings}
+        before = {k: conf.get(k, None) for k in settings}
         try:
             for k, v in settings.items():
                 conf.set(k, v)
             (df.write.partitionBy(by) if by else df.write).parquet(path)
         finally:
             for k, v in before.items():
-                conf.set(k, v)
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
