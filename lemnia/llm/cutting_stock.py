@@ -101,7 +101,7 @@ def triangular_inverse(a: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def solve(demand: dict[int, int], capacity: int, gap: float = 2e-4, rounds: int = 150) -> list[tuple[Pattern, float]]:
+def solve(demand: dict[int, int], capacity: int, gap: float = 2e-4, rounds: int = 400) -> list[tuple[Pattern, float]]:
     """Patterns with fractional counts that cover the demand at near least padded size.
 
     Ends when no pattern prices out, when the size is within ``gap`` of the
