@@ -33,8 +33,12 @@ class Tables:
     the shuffle files that made it go as soon as it is there.
     """
 
-    #: Settings while a table is written: no shuffle files after it, and few files side by side instead of a sort by folder.
-    WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
+    #: Settings while a table is written: no shuffle files after it, few files side by side instead of a sort by folder, and no
+    #: more tasks, and so files, than shuffled bytes are worth; many rounds write small tables.
+    WRITING = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "8",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    }
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
