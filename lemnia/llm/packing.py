@@ -211,7 +211,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     spark = docs.sparkSession
     tables = Tables(spark, "packing")
     picked = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
-    sized = tables.write(picked.mapInArrow(_measure(str(path), capacity, encode_special_tokens), "doc_id long, n long, crcs array<long>"), "sized")
+    # as many files as the few bytes a document are worth, not one for each partition of the texts
+    measured = picked.mapInArrow(_measure(str(path), capacity, encode_special_tokens), "doc_id long, n long, crcs array<long>")
+    sized = tables.write(measured.hint("rebalance"), "sized")
     n, tail = F.col("n"), F.col("n") % capacity
     demand = {r["t"]: r["c"] for r in sized.groupBy(tail.alias("t")).agg(F.count("*").alias("c")).collect() if r["t"]}
     keys, rows, sequences = _places(integer_plan(demand, capacity), capacity)

@@ -298,6 +298,14 @@ def test_packing(spark):
     assert pack_documents(empty(spark)).count() == 0
 
 
+def test_packing_files(spark):
+    """The table in between has few files, however many partitions the texts have."""
+    docs = documents()
+    packed = pack_documents(frame(spark, docs, 24))
+    assert sum("/sized/" in f for f in packed.inputFiles()) <= 4
+    assert sum(r["length"] for r in packed.collect()) == sum(r["length"] for r in pack_documents(frame(spark, docs)).collect())
+
+
 def test_packing_added_tokens(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
