@@ -28,6 +28,8 @@ MIXERS = (ORDERS, 3)
 WINDOW, FIRST = 256, 3.0
 #: Steps of a log probability as it is stored, per nat; rounded down, so that probabilities sum to at most 1.
 FINE = 128
+#: Bytes followed at a time, so that what is computed for them stays in the cache.
+PART = 65536
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,12 +45,15 @@ def text_grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     wide[gap] = buf
     wide[gap[buf == 0]] = 255
     del gap
-    pick = np.repeat(np.arange(n, dtype=index) * index(ORDERS), np.diff(at))
-    pick += np.arange(at[-1], dtype=index)
-    g = np.zeros(len(pick), np.uint64)
+    # packed at every place of ``wide`` by slices, then picked where a byte or an end is
+    size = len(wide) - ORDERS
+    g = np.zeros(max(0, size), np.uint64)
     for j in (*range(ORDERS - 1, -1, -1), ORDERS):
         g <<= np.uint64(8)
-        g |= wide[pick + index(j)]
+        g |= wide[j : j + size]
+    pick = np.repeat(np.arange(n, dtype=index) * index(ORDERS), np.diff(at))
+    pick += np.arange(at[-1], dtype=index)
+    g = g[pick]
     return g, at
 
 
@@ -187,14 +192,19 @@ def follow(steps: np.ndarray, at: np.ndarray) -> np.ndarray:
     A mixer's weight at a byte is what it gave the WINDOW bytes before, in the same text.
     """
     n = steps.shape[1]
-    begin = np.maximum(np.arange(n) - WINDOW, np.repeat(at[:-1], np.diff(at)))
-    w = np.empty((len(steps), n))
-    for k, x in enumerate(steps):
-        sums = np.zeros(n + 1, np.int64)
-        np.cumsum(x, out=sums[1:])
-        w[k] = (sums[begin] - sums[:-1]) / FINE - (FIRST if k else 0)
-    w -= w.max(axis=0)
-    np.exp(w, out=w)
-    total = w.sum(axis=0)
-    w *= _STEPS_P[steps]
-    return np.log(w.sum(axis=0) / total)
+    sums = np.zeros((len(steps), n + 1), np.int64)
+    np.cumsum(steps, axis=1, out=sums[:, 1:])
+    first = np.repeat(at[:-1], np.diff(at))
+    out = np.empty(n)
+    for a in range(0, n, PART):
+        b = min(a + PART, n)
+        begin = np.maximum(np.arange(a, b) - WINDOW, first[a:b])
+        w = np.empty((len(steps), b - a))
+        for k in range(len(steps)):
+            w[k] = (sums[k, begin] - sums[k, a:b]) / FINE - (FIRST if k else 0)
+        w -= w.max(axis=0)
+        np.exp(w, out=w)
+        total = w.sum(axis=0)
+        w *= _STEPS_P[steps[:, a:b]]
+        out[a:b] = np.log(w.sum(axis=0) / total)
+    return out

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lemnia.llm import lm_scoring, toxicity
+from lemnia.llm import context_mixing, lm_scoring, toxicity
 from lemnia.llm.context_mixing import CLIP, FINE, FIRST, MIXERS, ORDERS, PRIOR, STEPS, WINDOW, Model, follow, stored, tables_of, text_grams
 from lemnia.llm.lm_scoring import score_documents
 from lemnia.llm.quality_cnn import CHUNK, FILTERS, OVERLAP, WIDTH, Network, score_quality
@@ -282,6 +282,25 @@ def test_mixing():
     assert -got.sum() / math.log(2) / len(buf) < 3
 
 
+@pytest.mark.parametrize("values", [1, 90, 140, 256])
+def test_lm_distinct_grams(values):
+    """As numpy's own; places fit beside the grams of few byte values only."""
+    r = np.random.default_rng(values)
+    for off in ([0, 0], [0, 1], [0, 9000, 9000, 9007, 20000]):
+        g, ends = text_grams(r.integers(0, values, off[-1]).astype(np.uint8), np.array(off))
+        keys, order, which = lm_scoring._distinct_grams(g)
+        there = np.empty(len(keys), np.uint64)
+        there[order] = keys
+        assert (keys == np.unique(g)).all() and (there[which] == g).all()
+
+
+def test_lm_followed_in_parts(monkeypatch):
+    steps = np.random.default_rng(5).integers(0, 2000, (2, 3000)).astype("<u2")
+    whole = follow(steps, np.array([0, 1, 900, 3000]))
+    monkeypatch.setattr(context_mixing, "PART", 64)
+    assert (follow(steps, np.array([0, 1, 900, 3000])) == whole).all()
+
+
 def test_nul_is_no_end():
     raw = [b"a\0b", b"a", b"b"]
     g, at = text_grams(np.frombuffer(b"".join(raw), np.uint8), np.array([0, 3, 4, 5]))
