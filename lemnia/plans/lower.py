@@ -25,13 +25,18 @@ VECTORS = {"sort", "mode", "quadratic", "t_root", "autodiffN", "rot"}
 GAUSS, PANEL, MAX_PANELS, NEWTON = 16, 0.2, 1 << 16, 60
 #: Order of derivatives up to which a derivative at a point is symbolic; beyond, jets.
 SYMBOLIC = 2
+#: Calls whose Columns use their arguments outside of lambdas, where batches may stand.
+OPEN = {"+", "-", "*", "/", "^", "pow", "if", "&&", "||", "square", "cube", "sqrt", "abs", "exp", "ln", "intg", "root", "autodiff"} | COMPARISONS | WORDS.keys()
 
 
 class Lowering:
-    """Turns trees into Columns, with the values of variables in ``env``."""
+    """Turns trees into Columns, with the values of variables in ``env``; ``outer`` where what iterates may become a batch, which a lambda can't hold."""
 
-    def __init__(self, session, env: dict[str, Column]):
-        self.session, self.env = session, env
+    def __init__(self, session, env: dict[str, Column], outer: bool = False):
+        self.session, self.env, self.outer = session, env, outer
+
+    def inner(self) -> Lowering:
+        return Lowering(self.session, self.env)
 
     def column(self, node: Node) -> Column:
         return self._typed(node)[0]
@@ -57,11 +62,15 @@ class Lowering:
                 raise SyntaxProblem(f"unknown name {x.name!r}")
             return self.env[x.name], False
         if isinstance(x, Mat):
+            if self.outer:
+                return self.inner()._typed(x)
             texts = [a for a in x.items if isinstance(a, Text)]
             return F.array(*((self.column(a).cast("string") if texts else self.number(a)) for a in x.items)), False
         if isinstance(x, Fn):
             raise SyntaxProblem("a function is no value")
         name, args = x.name, x.args
+        if self.outer and (name not in OPEN or name in self.session.registered or is_matrix(x)):
+            return self.inner()._typed(x)
         if name in self.session.registered:
             return self.session.registered[name](*map(self.number, args)), False
         if name in self.session.text_methods:
@@ -198,7 +207,14 @@ class Lowering:
 
     def _intg(self, f, a, b, panels=None):
         """Gauss-Legendre panels about PANEL wide; swapped bounds change the sign; NaN where the bounds are too far apart for that."""
+        from . import batches
+
         f = self._function(f)
+        batch = batches.integral(self, f, a, b, None if panels is None else int(panels.value), GAUSS, PANEL, MAX_PANELS)
+        if batch is not None:
+            return batch
+        if self.outer:
+            return self.inner()._intg(f, a, b, panels)
         lo, hi = self.number(a), self.number(b)
         wanted = F.greatest(F.lit(1.0), F.ceil(F.abs(hi - lo) / PANEL - 1e-9).cast("double"))
         n = F.lit(int(panels.value)) if panels is not None else F.least(F.lit(float(MAX_PANELS)), wanted).cast("int")

@@ -162,7 +162,7 @@ class Session:
         for name in variables(node):
             if name not in env:
                 env[name] = F.col(name).cast("double") if columns is None or name in set(columns) else F.lit(0.0)
-        return Lowering(self, env).column(node)
+        return Lowering(self, env, outer=True).column(node)
 
     def variables(self, text: str) -> list[str]:
         return variables(self.plan(text))
