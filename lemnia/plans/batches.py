@@ -167,3 +167,92 @@ def integral(low, f, lo: Node, hi: Node, panels: int | None, gauss: int, width:
 
     return _column(low, body, run, (lo, hi))
 
+
+# -- roots ------------------------------------------------------------------------
+def root(low, f, starts: tuple[Node, ...], steps: int) -> Column | None:
+    """As the folds of the same name; each method only goes over rows that the one before left, and stops where nothing moves."""
+    p = f.params[0]
+    slope = simplify(differentiate(f.body, p))
+    if not all(agrees(t, low.session, {*low.env, p}) for t in (f.body, slope)):
+        return None
+    body = Body(f.body, p, low.session, {"slope": slope})
+
+    def run(first, *rest):
+        second, columns = (rest[0], rest[1:]) if len(starts) > 1 else (first + 1.0, rest)
+        calls = body.at(columns)
+        at, slope_at = calls["f"], calls["slope"]
+        out = np.full(len(first), math.nan)
+
+        def settled(x, left):
+            ok = (np.abs(x) < 1e300) & ((at(x, left) == 0) | (np.abs(_divide(at(x, left), slope_at(x, left))) <= 1e-9 * (1 + np.abs(x))))
+            out[left[ok]] = x[ok]
+            return left[~ok]
+
+        left = np.arange(len(first))
+        left = settled(_newton(at, slope_at, first, left, steps), left)
+        left = settled(_chords(at, first[left], second[left], left, steps), left) if len(left) else left
+        if len(left):
+            out[left] = _bisected(at, first[left], second[left], left)
+        return out
+
+    return _column(low, body, run, starts, nulls=False)
+
+
+def _newton(at, slope, x, left, steps):
+    x, moving = x.copy(), left
+    for _ in range(steps):
+        v = x[moving]
+        move = _divide(at(v, moving), slope(v, moving))
+        new = np.where(np.abs(move) <= 5e-16, v, v - move)
+        x[moving] = new
+        moving = moving[(new != v) & ~np.isnan(new)]
+        if not len(moving):
+            break
+    return x
+
+
+def _chords(at, a, b, left, steps):
+    a, b, moving = a.copy(), b.copy(), np.arange(len(a))
+    for _ in range(steps):
+        p, q = a[moving], b[moving]
+        fp, fq = at(p, left[moving]), at(q, left[moving])
+        move = _divide(fq * (q - p), fq - fp)
+        still = (p == q) | (fq == 0) | np.isnan(move)
+        moving = moving[~still]
+        if not len(moving):
+            break
+        a[moving], b[moving] = q[~still], q[~still] - move[~still]
+    return b
+
+
+def _bisected(at, first, second, left):
+    low, high = np.full(len(first), math.nan), np.full(len(first), math.nan)
+    open_ = np.arange(len(first))
+    for k in range(-1, 240):
+        if k < 0:
+            a, b = np.fmin(first, second), np.maximum(first, second)
+        else:
+            r = 1.15 ** float(k // 2 - 40)
+            s, u, v = ((1, 1.0, 1.15), (-1, 1.15, 1.0))[k % 2]
+            a, b = first + s * r * u, first + s * r * v
+        hit = at(a[open_], left[open_]) * at(b[open_], left[open_]) <= 0
+        low[open_[hit]], high[open_[hit]] = a[open_[hit]], b[open_[hit]]
+        open_ = open_[~hit]
+        if not len(open_):
+            break
+    out, rows_ = np.full(len(first), math.nan), np.flatnonzero(~np.isnan(low))
+    if not len(rows_):
+        return out
+    places, a, b = left[rows_], low[rows_], high[rows_]
+    for _ in range(200):
+        mid = (a + b) / 2
+        product = at(mid, places) * at(a, places)
+        same = (product > 0) | np.isnan(product)
+        new_a, new_b = np.where(same, mid, a), np.where(same, b, mid)
+        if np.array_equal(new_a, a) and np.array_equal(new_b, b):
+            break
+        a, b = new_a, new_b
+    # a change of sign is no pole where the function is small at its end
+    small = np.abs(at(a, places)) <= 1e-3 * np.maximum(np.abs(at(low[rows_], places)), np.abs(at(high[rows_], places)))
+    out[rows_[small]] = a[small]
+    return out

@@ -233,12 +233,19 @@ class Lowering:
 
     def _root(self, f, x1=Num(1.0), *more):  # noqa: B008
         """Newton from x1; where it does not settle, secant steps from x1 and x2, and then bisection of the nearest change of sign; else NaN."""
+        from . import batches
+
         f = self._function(f)
         p = f.params[0]
+        steps = int(more[1].value) if len(more) == 2 else NEWTON
+        batch = batches.root(self, f, (x1, *more[:1]), steps)
+        if batch is not None:
+            return batch
+        if self.outer:
+            return self.inner()._root(f, x1, *more)
         at = lambda x: self._at(f.body, **{p: x})
         first = self.number(x1)
         second = self.number(more[0]) if more else first + 1.0
-        steps = int(more[1].value) if len(more) == 2 else NEWTON
         count = F.sequence(F.lit(1), F.lit(steps))
         slope = simplify(differentiate(f.body, p))
 

@@ -44,3 +44,10 @@ def test_folds_stay(odd):
     s = Session()
     got = odd.where("k = 2").select(*(s.compile(f, odd.columns).alias(f"c{i}") for i, f in enumerate(["variance(intg(@(t)t,0,y),x)", "roundN(2,intg(@(t)t^2,0,y))", "intg(@(t)max(t,1),0,y)", "intg(@(t)intg(@(u)u,0,t),0,y)"]))).first()
     assert tuple(got) == pytest.approx((0.5, 2.67, 2.5, 4 / 3))
+
+
+@pytest.mark.parametrize("formula", ["root(@(t)t^3-2*t+2,0)", "root(@(t)atan(t-x),x+4)", "root(@(t)t^3-x,0,x)", "root(@(t)exp(t)-x,1)", "root(@(t)1/(t-y),y-0.3)", "root(@(t)t^2+1+0*x,x)", "root(@(t)sin(t)-x/10,x)", "root(@(t)t^2-4,x,3,7)"])
+def test_roots_in_batches(odd, formula):
+    rows, batch = _both(odd, formula)
+    assert batch
+    _same(rows)
