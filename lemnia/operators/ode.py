@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.batches import compiled, distinct
 from ..plans.calculus import differentiate
 from ..plans.lexer import SyntaxProblem
 from ..plans.lower import Lowering
-from ..plans.numeric import evaluate
+from ..plans.numeric import FUNCTIONS, evaluate
 from ..plans.simplify import simplify
 from ..plans.tree import Call, Mat, Node, Num, Text, Var, call, is_matrix, rewrite, substitute, variables
 from ..session import Session
@@ -197,9 +198,11 @@ def _radians(nodes: list[Node], session: Session) -> list[Node]:
 
 
 def _numeric(nodes):
+    codes = [compiled(n, forms=FUNCTIONS) for n in nodes]
+
     def f(t, y):
         env = {f"y[{k}]": y[:, k] for k in range(y.shape[1])} | {"t": t}
-        return np.stack([np.broadcast_to(np.asarray(evaluate(n, env), float), t.shape) for n in nodes], 1)
+        return np.stack([np.broadcast_to(np.asarray(c(env), float), t.shape) for c in codes], 1)
 
     return f
 
@@ -241,10 +244,11 @@ def jacobian(nodes: list[Node]):
                 evaluate(x, dict.fromkeys(variables(x), 1.0))
     except ValueError:
         return None
+    codes = [[compiled(x, forms=FUNCTIONS) for x in row] for row in trees]
 
     def f(t, y):
         env = {f"y[{k}]": y[:, k] for k in range(n)} | {"t": t}
-        return np.stack([np.stack([np.broadcast_to(np.asarray(evaluate(x, env), float), t.shape) for x in row], 1) for row in trees], 1)
+        return np.stack([np.stack([np.broadcast_to(np.asarray(c(env), float), t.shape) for c in row], 1) for row in codes], 1)
 
     return f
 
@@ -303,14 +307,16 @@ def steps(f, jac, method: str, t, y, end, h):
 
 
 def _batched(nodes, t0, y0, t_end, h, method, whole: bool = False) -> Column:
-    """The states at the end, or all [t, y..] rows; the rows of a batch step together, some thousand at a time."""
+    """The states at the end, or all [t, y..] rows; the distinct rows of a batch step together, some thousand at a time."""
 
     @F.pandas_udf("array<array<double>>" if whole else "array<double>")
     def run(t: pd.Series, end: pd.Series, y: pd.Series) -> pd.Series:
         t, end = t.to_numpy(float), end.to_numpy(float)
         y = np.stack([np.asarray(v, float) for v in y]) if len(y) else np.zeros((0, len(nodes)))
         f = _numeric(nodes)
-        jac = jacobian(nodes) or _differences(f)
+        jac = (jacobian(nodes) or _differences(f)) if method in ("implicit_euler", "bdf2") else None
+        at, back = distinct([t, end, *y.T])
+        t, end, y = t[at], end[at], y[at]
         out: list = []
         for i in range(0, len(t), 2048):
             a, z, v = t[i : i + 2048], end[i : i + 2048], y[i : i + 2048]
@@ -327,7 +333,7 @@ def _batched(nodes, t0, y0, t_end, h, method, whole: bool = False) -> Column:
                     for _, last in steps(f, jac, method, a, v, z, h):
                         pass
                 out += list(np.where((a == z)[:, None], v, last))
-        return pd.Series(out)
+        return pd.Series([out[k] for k in back.tolist()], dtype=object)
 
     return run(t0.cast("double"), t_end.cast("double"), F.array(*(c.cast("double") for c in y0)))
 

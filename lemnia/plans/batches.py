@@ -54,9 +54,9 @@ def agrees(node: Node, session, names) -> bool:
     return session.division == "ieee" and all(agrees(a, session, names) for a in node.args)
 
 
-def compiled(node: Node, unit: float = 1.0) -> Callable[[dict], np.ndarray]:
+def compiled(node: Node, unit: float = 1.0, forms: dict[str, Callable] = FORMS) -> Callable[[dict], np.ndarray]:
     """The tree as straight code over a dict of arrays, equal parts computed once; angles in units of so many radians."""
-    lines, known, given = [], {}, {"float": np.float64}
+    lines, known, given = [], {}, {}
 
     def visit(x: Node) -> str:
         if x in known:
@@ -68,7 +68,7 @@ def compiled(node: Node, unit: float = 1.0) -> Callable[[dict], np.ndarray]:
             lines.append(f"{name} = env[{x.name!r}]")
         else:
             args = [visit(a) for a in x.args]
-            given[f"f{name}"] = FORMS[x.name]
+            given[f"f{name}"] = forms[x.name]
             if unit != 1.0 and x.name in FORWARD:
                 args = [f"{args[0]} * {unit!r}"]
             lines.append(f"{name} = f{name}({', '.join(args)}){f' / {unit!r}' if unit != 1.0 and x.name in BACKWARD else ''}{' * 1.0' if x.name in ('<', '<=', '>', '>=', '==', '!=', '&&', '||') else ''}")
@@ -79,7 +79,7 @@ def compiled(node: Node, unit: float = 1.0) -> Callable[[dict], np.ndarray]:
     return given["f"]
 
 
-def _distinct(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def distinct(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The place of one row for each distinct row, and the number of each row's."""
     code = np.zeros(len(arrays[0]), np.int64)
     for a in arrays:
@@ -98,7 +98,7 @@ def rows(f: Callable[..., np.ndarray], *columns: Column, nulls: bool = True) ->
         for c in given:
             if nulls and c.null_count:
                 null |= c.is_null().to_numpy(zero_copy_only=False)
-        at, back = _distinct(arrays)
+        at, back = distinct(arrays)
         with np.errstate(all="ignore"):
             got = pa.array(np.asarray(f(*(a[at] for a in arrays)), float)[back])
         return pc.if_else(pa.array(null), pa.scalar(None, pa.float64()), got) if null.any() else got

@@ -51,3 +51,21 @@ def test_roots_in_batches(odd, formula):
     rows, batch = _both(odd, formula)
     assert batch
     _same(rows)
+
+
+def test_distinct_rows():
+    """Equal rows once, told apart by their bits; code over arrays gives what the tree does."""
+    import numpy as np
+
+    from lemnia.plans.batches import compiled, distinct
+    from lemnia.plans.numeric import FUNCTIONS, evaluate
+
+    a, b = np.array([1.0, 0.0, 1.0, -0.0, math.nan, 0.0, math.nan]), np.array([2.0, 1, 2, 1, 5, 1, 5])
+    at, back = distinct([a, b])
+    assert len(at) == 4 and np.array_equal(a[at][back], a, equal_nan=True) and np.array_equal(b[at][back], b) and np.signbit(a[at][back][3])
+    assert [len(x) for x in distinct([a[:0]])] == [0, 0]
+    s = Session()
+    for text in ("sin(x)^2+x*cos(y)/(y+1)", "if(x>1,x,y)+floor(y)", "3"):
+        node, env = s.plan(text, ["x", "y"]), {"x": a, "y": b}
+        with np.errstate(all="ignore"):
+            assert np.array_equal(np.asarray(compiled(node, forms=FUNCTIONS)(env)), np.asarray(evaluate(node, env)), equal_nan=True)
