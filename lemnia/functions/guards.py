@@ -17,7 +17,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def divide(a: Column, b: Column, rule: str = "ieee") -> Column:
     """a / b; by zero: infinity of a's sign and NaN for 0/0, or always infinity under the "interpreter" rule."""
-    zero = F.lit(INF) if rule == "interpreter" else F.when(a > 0, F.when(F.isnan(a), F.lit(NAN)).otherwise(F.lit(INF))).when(a < 0, F.lit(-INF)).when(a == 0, F.lit(NAN))
+    zero = F.lit(INF) if rule == "interpreter" else a * F.lit(INF)
     return F.when(b == 0, zero).otherwise(a / b)
 
 

@@ -69,3 +69,15 @@ def test_distinct_rows():
         node, env = s.plan(text, ["x", "y"]), {"x": a, "y": b}
         with np.errstate(all="ignore"):
             assert np.array_equal(np.asarray(compiled(node, forms=FUNCTIONS)(env)), np.asarray(evaluate(node, env)), equal_nan=True)
+
+
+def test_cubic_roots_stay_small(spark):
+    """What is used several times is bound once: 894 cases before."""
+    from lemnia.operators.roots import cubic_roots
+
+    df = spark.createDataFrame([(1.0, -6.0, 11.0, -6.0), (0.0, 1.0, -3.0, 2.0), (0.0, 1.0, 0.0, 1.0), (2.0, 0.0, 0.0, -16.0), (1.0, 0.0, 0.0, 0.0), (None, 1.0, 1.0, 1.0)], "a double, b double, c double, d double").coalesce(1)
+    got = df.select(cubic_roots(*(F.col(k) for k in "abcd")).alias("r"))
+    assert got._jdf.queryExecution().analyzed().toString().count("CASE WHEN") < 60
+    r = [x["r"] for x in got.collect()]
+    assert sorted(r[0][:6:2]) == pytest.approx([1, 2, 3]) and r[0][6] == 0 and sorted(r[1][:4:2]) == [1, 2] and r[2][:4] == [0, 1, 0, -1]
+    assert r[3][0] == pytest.approx(2) and r[3][6] == 2 and r[4][:6] == [0] * 6
