@@ -256,3 +256,122 @@ def _bisected(at, first, second, left):
     small = np.abs(at(a, places)) <= 1e-3 * np.maximum(np.abs(at(low[rows_], places)), np.abs(at(high[rows_], places)))
     out[rows_[small]] = a[small]
     return out
+
+
+# -- derivatives --------------------------------------------------------------------
+class _NoArrays(ValueError):
+    """A function that only Columns have a recurrence for, or whose values numpy gives otherwise."""
+
+
+class Arrays:
+    """The recurrences of Jets over arrays: a jet is the list of its coefficients."""
+
+    def __init__(self, name: str, x: np.ndarray, order: int, env: dict, unit: float):
+        self.name, self.x, self.n, self.env, self.unit = name, x, max(1, order), env, unit
+
+    def of(self, node: Node) -> list:
+        if isinstance(node, Var) and node.name == self.name:
+            return self._line(self.x, 1.0)
+        if self.name not in variables(node):
+            return self._line(compiled(node, self.unit)(self.env), 0.0)
+        a, name = node.args, node.name
+        if name in ("+", "-"):
+            return [p + q if name == "+" else p - q for p, q in zip(self.of(a[0]), self.of(a[1]), strict=True)]
+        if name == "*" and isinstance(a[0], Num):
+            return [v * a[0].value for v in self.of(a[1])]
+        if name in ("*", "/"):
+            return (self._times if name == "*" else self._over)(self.of(a[0]), self.of(a[1]))
+        if name in ("^", "pow"):
+            if self.name not in variables(a[1]):
+                return self._power(self.of(a[0]), a[1])
+            return self._exp(self.of(Call("*", (a[1], Call("ln", (a[0],))))))
+        if len(a) != 1:
+            raise _NoArrays(name)
+        return self._function(name, self.of(a[0]))
+
+    def _line(self, first, second) -> list:
+        return [first, second, *[0.0] * (self.n - 1)]
+
+    def _fold(self, first, step) -> list:
+        out = [first]
+        for k in range(1, self.n + 1):
+            out.append(step(out, k))
+        return out
+
+    @staticmethod
+    def _sum(first: int, k: int, term):
+        return sum((term(j) for j in range(first, k + 1)), 0.0)
+
+    @staticmethod
+    def _div(a, b):
+        return np.where(b == 0, math.nan, np.divide(a, b))
+
+    def _times(self, p, q):
+        return [self._sum(0, k, lambda j, k=k: p[j] * q[k - j]) for k in range(self.n + 1)]
+
+    def _over(self, p, q):
+        return self._fold(self._div(p[0], q[0]), lambda c, k: self._div(p[k] - self._sum(1, k, lambda j: q[j] * c[k - j]), q[0]))
+
+    def _exp(self, u):
+        return self._fold(np.exp(u[0]), lambda e, k: self._sum(1, k, lambda j: j * u[j] * e[k - j]) / k)
+
+    def _ln(self, u):
+        return self._fold(np.where(u[0] > 0, np.log(u[0]), math.nan), lambda c, k: self._div(u[k] - self._sum(1, k - 1, lambda j: j * c[j] * u[k - j]) / k, u[0]))
+
+    def _power(self, u, exponent: Node):
+        if isinstance(exponent, Num) and exponent.value == int(exponent.value) and 0 <= exponent.value <= 64:
+            n = int(exponent.value)
+            if n == 0:
+                return self._line(1.0, 0.0)
+            if n == 1:
+                return u
+            half = self._power(u, Num(float(n // 2)))
+            even = self._times(half, half)
+            return even if n % 2 == 0 else self._times(even, u)
+        r = compiled(exponent, self.unit)(self.env)
+        return self._fold(np.power(u[0], r), lambda p, k: self._div(self._sum(1, k, lambda j: (r * j - (k - j)) * u[j] * p[k - j]), u[0]) / k)
+
+    def _pair(self, u, first, second, sign: float):
+        a, b = [first], [second]
+        for k in range(1, self.n + 1):
+            a_k = self._sum(1, k, lambda j, k=k: j * u[j] * b[k - j]) / k
+            b.append(sign * self._sum(1, k, lambda j, k=k: j * u[j] * a[k - j]) / k)
+            a.append(a_k)
+        return a, b
+
+    def _function(self, name: str, u: list) -> list:
+        one = self._line(1.0, 0.0)
+        ratios = {"sin": lambda s, c: s, "cos": lambda s, c: c, "tan": self._over, "cot": lambda s, c: self._over(c, s), "sec": lambda s, c: self._over(one, c), "csc": lambda s, c: self._over(one, s)}
+        if name in ratios:
+            v = [x * self.unit for x in u]
+            return ratios[name](*self._pair(v, np.sin(v[0]), np.cos(v[0]), -1.0))
+        hyperbolic = {"sinh": "sin", "cosh": "cos", "tanh": "tan", "sech": "sec", "csch": "csc", "coth": "cot"}
+        if name in hyperbolic:
+            return ratios[hyperbolic[name]](*self._pair(u, np.sinh(u[0]), np.cosh(u[0]), 1.0))
+        simple = {
+            "exp": self._exp, "ln": self._ln, "square": lambda v: self._times(v, v), "cube": lambda v: self._power(v, Num(3.0)), "sqrt": lambda v: self._power(v, Num(0.5)),
+            "inverse": lambda v: self._over(one, v), "lg": lambda v: [x * (1 / math.log(10)) for x in self._ln(v)], "abs": lambda v: [x * np.sign(v[0]) for x in v],
+        }
+        if name not in simple:
+            raise _NoArrays(name)
+        return simple[name](u)
+
+
+def derivative(low, f, x: Node, order: int) -> Column | None:
+    """The derivative of that order at a point, as the jets of Columns give it."""
+    p = f.params[0]
+    if not agrees(f.body, low.session, {*low.env, p}):
+        return None
+    body = Body(f.body, p, low.session)
+
+    def run(at, *columns):
+        env = dict(zip(body.others, columns, strict=True))
+        top = Arrays(p, at, order, env, body.unit).of(body.trees["f"])[order]
+        return np.broadcast_to(np.asarray(top, float) * float(math.factorial(order)), at.shape)
+
+    try:
+        with np.errstate(all="ignore"):
+            run(np.ones(1), *[np.ones(1)] * len(body.others))
+    except _NoArrays:
+        return None
+    return _column(low, body, run, (x,))

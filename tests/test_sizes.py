@@ -81,3 +81,11 @@ def test_cubic_roots_stay_small(spark):
     r = [x["r"] for x in got.collect()]
     assert sorted(r[0][:6:2]) == pytest.approx([1, 2, 3]) and r[0][6] == 0 and sorted(r[1][:4:2]) == [1, 2] and r[2][:4] == [0, 1, 0, -1]
     assert r[3][0] == pytest.approx(2) and r[3][6] == 2 and r[4][:6] == [0] * 6
+
+
+@pytest.mark.parametrize("formula", ["autodiff(@(t)exp(2*t),x,12)", "autodiff(@(t)sin(t)*t^y,x,5)", "autodiff(@(t)sqrt(t)+t^2.5+t^7,x,4)", "autodiff(@(t)ln(t)/cosh(t)+tan(t),x,3)", "autodiff(@(t)square(t)*cube(t)+inverse(t),x,3)", "autodiff(@(t)t^t+sec(t),y+0.5,4)"])
+@pytest.mark.parametrize("unit", ["RAD", "DEG"])
+def test_derivatives_in_batches(odd, formula, unit):
+    rows, batch = _both(odd, formula, Session(unit))
+    assert batch
+    _same(rows)
