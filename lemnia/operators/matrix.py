@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,70 +182,124 @@ def _stacked_eigenvalues(m: np.ndarray) -> np.ndarray:
     return np.stack([e.real, e.imag], -1)
 
 
-#: Functions of whole stacks (rows of a batch, rows, columns); the others go matrix by matrix.
+def _stacked_cofactors(m: np.ndarray) -> np.ndarray:
+    n = m.shape[1]
+    out = np.ones((len(m), n, n))
+    for i in range(n if n > 1 else 0):
+        for j in range(n):
+            out[:, i, j] = (-1) ** (i + j) * np.linalg.det(m[:, [x for x in range(n) if x != i]][:, :, [x for x in range(n) if x != j]])
+    return out
+
+
+def _pivoted(m: np.ndarray, k: int) -> np.ndarray:
+    """Rows swapped where pivot k is 0; the matrices that have one then."""
+    zero = np.flatnonzero(m[:, k, k] == 0)
+    below = k + np.argmax(m[zero, k:, k] != 0, axis=1)
+    m[zero, k], m[zero, below] = m[zero, below].copy(), m[zero, k].copy()
+    return np.flatnonzero(m[:, k, k] != 0)
+
+
+def _stacked_triangular(m: np.ndarray) -> np.ndarray:
+    m = m.copy()
+    for k in range(min(m.shape[1:])):
+        at = _pivoted(m, k)
+        m[at, k] = m[at, k] / m[at, k, k][:, None]
+        m[at, k + 1 :] -= m[at, k + 1 :, k][:, :, None] * m[at, k][:, None, :]
+    return m
+
+
+def _stacked_echelon(m: np.ndarray) -> np.ndarray:
+    m = m.copy()
+    for k in range(min(m.shape[1:])):
+        at = _pivoted(m, k)
+        for i in range(k + 1, m.shape[1]):
+            on = at[m[at, i, k] != 0]
+            m[on, i] = m[on, k, k][:, None] * m[on, i] - m[on, i, k][:, None] * m[on, k]
+    return m
+
+
+def _stacked_eigenvectors(m: np.ndarray) -> np.ndarray:
+    e, v = np.linalg.eig(m)
+    v = np.real(np.take_along_axis(v, np.lexsort((e.imag, e.real), axis=-1)[:, None, :], -1))
+    top = np.take_along_axis(v, np.argmax(np.abs(v), axis=1)[:, None, :], 1)
+    return v * np.where(top < 0, -1, 1)
+
+
+#: Functions of whole stacks (rows of a batch, rows, columns).
 STACKED = {
-    "invert": np.linalg.inv, "transpose": lambda m: np.swapaxes(m, 1, 2), "eigvalues": _stacked_eigenvalues, "linear_sys": lambda m: np.linalg.solve(m[:, :, :-1], m[:, :, -1:]),
+    "invert": np.linalg.inv, "transpose": lambda m: np.swapaxes(m, 1, 2), "eigvalues": _stacked_eigenvalues, "eigvec": _stacked_eigenvectors, "linear_sys": lambda m: np.linalg.solve(m[:, :, :-1], m[:, :, -1:]),
+    "tri_mat": _stacked_triangular, "echelon": _stacked_echelon, "cofactor": _stacked_cofactors, "adjoint": lambda m: np.swapaxes(_stacked_cofactors(m), 1, 2),
     "matrix_add": np.add, "matrix_sub": np.subtract, "matrix_mul": np.matmul, "matrix_div": lambda a, b: a @ np.linalg.inv(b),
 }
 
 
-def _stacks(frames: list[pd.DataFrame]):
-    """(positions, stacks) of the rows whose matrices have the same shapes."""
-    shapes = pd.concat([f[["rows", "cols"]].set_axis([f"r{k}", f"c{k}"], axis=1).reset_index(drop=True) for k, f in enumerate(frames)], axis=1)
-    for shape, at in shapes.groupby(list(shapes.columns)).indices.items():
-        yield at, [np.stack(f["data"].iloc[at].to_list()).astype(float).reshape(len(at), *shape[2 * k : 2 * k + 2]) for k, f in enumerate(frames)]
-
-
-def _computed(name: str, op, frames: list[pd.DataFrame], empty):
-    """The results in the order of the rows; ``empty`` where a matrix is singular or ill-shaped."""
-    out: list = [empty] * len(frames[0])
-    for at, stacks in _stacks(frames):
-        whole = STACKED.get(name)
+def _stacks(given: tuple[pa.StructArray, ...]):
+    """(positions, stacks) of the rows whose matrices have the same shapes; rows without a matrix, or with too many or too few cells, are in none."""
+    fits, shapes, cells = np.ones(len(given[0]), bool), [], []
+    for c in given:
+        rows, cols = (pc.fill_null(pc.struct_field(c, k), -1).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("rows", "cols"))
+        data = pc.struct_field(c, "data")
+        size = pc.fill_null(pc.list_value_length(data), -1).to_numpy(zero_copy_only=False)
+        flat = data.flatten().to_numpy(zero_copy_only=False).astype(float)
+        fits &= (rows >= 0) & (cols >= 0) & (size == rows * cols)
+        shapes += [rows, cols]
+        cells.append((np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), flat))
+    table, places = np.stack(shapes, 1), np.flatnonzero(fits)
+    while len(places):
+        shape = table[places[0]]
+        same = (table[places] == shape).all(axis=1)
+        at, places = places[same], places[~same]
+        yield at, [flat[start[at][:, None] + np.arange(shape[2 * k] * shape[2 * k + 1])].reshape(len(at), *shape[2 * k : 2 * k + 2]) for k, (start, flat) in enumerate(cells)]
+
+
+def _computed(whole, op, given: tuple[pa.StructArray, ...]):
+    """(positions, stack of results) for all rows that have one; none where a matrix is singular or ill-shaped."""
+    for at, stacks in _stacks(given):
         if whole:
             try:
-                for k, m in zip(at, whole(*stacks), strict=True):
-                    out[k] = m
+                yield at, whole(*stacks)
                 continue
             except (np.linalg.LinAlgError, ValueError):
                 pass  # at least one has no result: each by itself
-        for i, k in enumerate(at):
+        for i in range(len(at)):
             try:
-                out[k] = op(*(s[i] for s in stacks))
+                yield at[i : i + 1], op(*(s[i] for s in stacks))[None]
             except (np.linalg.LinAlgError, ValueError):
-                out[k] = empty
-    return out
+                pass
 
 
 def apply(name: str, *matrices: Column, exponent: int | None = None) -> Column:
     """A struct function by name; singular or ill-shaped inputs give an empty matrix."""
-    op = (lambda m: np.linalg.matrix_power(m, int(exponent))) if name == "matrix_pow" else UNARY.get(name) or BINARY[name]
-    none = np.zeros((0, 0))
-
-    def packed(frames: list[pd.DataFrame]) -> pd.DataFrame:
-        got = _computed(name, op, frames, none)
-        return pd.DataFrame({"rows": [m.shape[0] for m in got], "cols": [m.shape[1] for m in got], "data": [m.ravel() for m in got]})
-
-    @F.pandas_udf(TYPE)
-    def one(a: pd.DataFrame) -> pd.DataFrame:
-        return packed([a])
-
-    @F.pandas_udf(TYPE)
-    def two(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return packed([a, b])
-
-    return one(*matrices) if len(matrices) == 1 else two(*matrices)
+    power_ = lambda m: np.linalg.matrix_power(m, int(exponent))
+    op = power_ if name == "matrix_pow" else UNARY.get(name) or BINARY[name]
+    whole = power_ if name == "matrix_pow" else STACKED.get(name)
+
+    @F.arrow_udf(TYPE)
+    def run(*given: pa.Array) -> pa.Array:
+        got, shape = list(_computed(whole, op, given)), np.zeros((len(given[0]), 2), np.int32)
+        for at, m in got:
+            shape[at] = m.shape[1:]
+        size = shape[:, 0].astype(np.int64) * shape[:, 1]
+        ends = np.cumsum(size)
+        cells = np.zeros(int(size.sum()))
+        for at, m in got:
+            cells[(ends - size)[at][:, None] + np.arange(m.shape[1] * m.shape[2])] = m.reshape(len(at), -1)
+        data = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(cells))
+        return pa.StructArray.from_arrays([pa.array(shape[:, 0].copy()), pa.array(shape[:, 1].copy()), data], ["rows", "cols", "data"])
+
+    return run(*matrices)
 
 
 def determinant(m: Column) -> Column:
     """Null for what is not square."""
 
-    @F.pandas_udf("double")
-    def det(a: pd.DataFrame) -> pd.Series:
+    @F.arrow_udf("double")
+    def det(a: pa.Array) -> pa.Array:
         out = np.full(len(a), np.nan)
-        for at, (stack,) in _stacks([a]):
+        for at, (stack,) in _stacks((a,)):
             if stack.shape[1] == stack.shape[2]:
                 out[at] = np.linalg.det(stack)
-        return pd.Series(out)
+        return pa.array(out, from_pandas=True)
 
     return det(m)
 

@@ -89,3 +89,32 @@ def test_derivatives_in_batches(odd, formula, unit):
     rows, batch = _both(odd, formula, Session(unit))
     assert batch
     _same(rows)
+
+
+def test_whole_stacks():
+    """Each function of a stack gives what it gives for each matrix, zero and NaN pivots and singular matrices among them."""
+    import numpy as np
+
+    from lemnia.operators import matrix
+
+    r = np.random.default_rng(3)
+    for shape in ((1, 1), (2, 2), (3, 3), (4, 4), (2, 3), (3, 5)):
+        m = r.integers(-2, 3, (40, *shape)).astype(float)
+        m[0, 0, 0], m[1, :, 0] = math.nan, 0.0
+        for name in ("tri_mat", "echelon", "cofactor", "adjoint"):
+            if shape[0] == shape[1] or name in ("tri_mat", "echelon"):
+                with np.errstate(all="ignore"):
+                    assert np.array_equal(matrix.STACKED[name](m), np.stack([matrix.UNARY[name](x) for x in m]), equal_nan=True), (name, shape)
+        if shape[0] == shape[1] > 1:
+            s = r.normal(size=(40, *shape))
+            assert matrix.STACKED["eigvec"](s) == pytest.approx(np.stack([matrix.UNARY["eigvec"](x) for x in s]))
+
+
+def test_matrices_without_cells(spark):
+    from lemnia.operators import matrix
+
+    rows = [(0, (2, 2, [4.0, 1.0, 2.0, 3.0])), (1, None), (2, (2, 2, [1.0])), (3, (3, 3, [float(x) for x in range(9)])), (4, (2, 2, [1.0, None, 0.0, 1.0]))]
+    df = spark.createDataFrame(rows, f"k int, m {matrix.TYPE}").coalesce(1)
+    got = {r["k"]: r for r in df.select("k", matrix.apply("adjoint", F.col("m")).alias("a"), matrix.determinant(F.col("m")).alias("d")).collect()}
+    assert got[0]["a"]["data"] == pytest.approx([3, -1, -2, 4]) and got[0]["d"] == pytest.approx(10)
+    assert got[1]["a"]["rows"] == 0 and got[2]["a"]["data"] == [] and got[1]["d"] is None and got[3]["a"]["rows"] == 3 and math.isnan(got[4]["a"]["data"][1])
