@@ -118,3 +118,15 @@ def test_matrices_without_cells(spark):
     got = {r["k"]: r for r in df.select("k", matrix.apply("adjoint", F.col("m")).alias("a"), matrix.determinant(F.col("m")).alias("d")).collect()}
     assert got[0]["a"]["data"] == pytest.approx([3, -1, -2, 4]) and got[0]["d"] == pytest.approx(10)
     assert got[1]["a"]["rows"] == 0 and got[2]["a"]["data"] == [] and got[1]["d"] is None and got[3]["a"]["rows"] == 3 and math.isnan(got[4]["a"]["data"][1])
+
+
+def test_digits_are_parsed_once(spark):
+    """One decimal text for each rounding to digits, where there were 72 in the plan."""
+    s = Session()
+    df = spark.createDataFrame([(x,) for x in (0.0, 9.995, 99.95, -123456.5, 1.5e20, 1e-9, 5e-324, math.inf, math.nan, None)], "x double").coalesce(1)
+    got = df.select(*(s.compile(f, df.columns).alias(f"c{k}") for k, f in enumerate(["roundDigitsN(3,x)", "ceilDigitsN(2,x)", "floorDigitsN(2,x)", "lengthFractional(x)"])))
+    one = df.select(s.compile("roundDigitsN(3,x)", df.columns).alias("v"))
+    assert one._jdf.queryExecution().analyzed().toString().count("abs(") == 1
+    rows = [tuple(r) for r in got.collect()]
+    assert rows[:7] == [(0, 0, 0, 0), (10.0, 10.0, 9.9, 3), (100.0, 100.0, 99.0, 2), (-123000.0, -120000.0, -130000.0, 1), (1.5e20, 1.5e20, 1.5e20, 0), (1e-9, 1e-9, 1e-9, 9), (5e-324, 5e-324, 5e-324, 325)]
+    assert rows[7] == (math.inf, math.inf, math.inf, 0) and all(map(math.isnan, rows[8][:3])) and rows[9][:3] == (None,) * 3
